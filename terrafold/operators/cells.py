@@ -310,33 +310,29 @@ def sort_tile_boxes(points: DataFrame, cells: int | None = None, ext: Extent | N
     return tile_boxes(sort_tiles(sample, slices, math.ceil(want / slices)))
 
 
-def assign_to_boxes(points: DataFrame, boxes: DataFrame, ext: Extent | None = None, grid: int = 64) -> DataFrame:
+def assign_to_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """First (smallest id) closed box that contains each point, or -1.
 
-    Boxes are listed per coarse grid cell first, so a point only looks at the boxes of its own cell; a grid
-    cell lists at most all boxes, and their number is the caller's parameter.
+    Boxes are listed per cell of a grid cut at the quantiles of the box corners, about one box per cell
+    however the boxes crowd, so a point only looks at the few boxes of its own cell.
     """
-    e = ext or Extent.of(points)
-    sx, sy = (e.width / grid) or 1.0, (e.height / grid) or 1.0
-
-    def slot(value, low: float, step: float) -> Column:
-        i = F.floor((g.c(value) - F.lit(low)) / F.lit(step))
-        return F.least(F.greatest(i, F.lit(0)), F.lit(grid - 1)).cast("int")
-
+    n = boxes.count()
+    side = max(1, math.ceil(math.sqrt(n)))
+    cx, cy = fit_cuts(boxes, ["min_x", "min_y"], side, n) if side > 1 else (Cuts(()), Cuts(()))
+    spans = add_buckets(boxes, x0=("min_x", cx), x1=("max_x", cx), y0=("min_y", cy), y1=("max_y", cy))
     listed = (
-        boxes.withColumn("gx", F.explode(F.sequence(slot("min_x", e.min_x, sx), slot("max_x", e.min_x, sx))))
-        .withColumn("gy", F.explode(F.sequence(slot("min_y", e.min_y, sy), slot("max_y", e.min_y, sy))))
+        spans.withColumn("gx", F.explode(F.sequence("x0", "x1")))
+        .withColumn("gy", F.explode(F.sequence("y0", "y1")))
         .groupBy("gx", "gy")
-        .agg(F.collect_list(F.struct("box_id", "min_x", "min_y", "max_x", "max_y")).alias("boxes"))
+        .agg(F.sort_array(F.collect_list(F.struct("box_id", "min_x", "min_y", "max_x", "max_y"))).alias("boxes"))
     )
-    placed = points.withColumns({"gx": slot("x", e.min_x, sx), "gy": slot("y", e.min_y, sy)})
     hits = F.filter(
         "boxes",
         lambda b: F.col("x").between(b["min_x"], b["max_x"]) & F.col("y").between(b["min_y"], b["max_y"]),
     )
-    first = F.array_min(F.transform(hits, lambda b: b["box_id"]))
     return (
-        placed.join(bounded_broadcast(listed, grid * grid), ["gx", "gy"], "left")
-        .withColumn("cell_id", F.coalesce(first, F.lit(-1)).cast("int"))
+        add_buckets(points, gx=("x", cx), gy=("y", cy))
+        .join(bounded_broadcast(listed, cx.buckets * cy.buckets), ["gx", "gy"], "left")
+        .withColumn("cell_id", F.coalesce(F.get(hits, F.lit(0))["box_id"], F.lit(-1)).cast("int"))
         .drop("gx", "gy", "boxes")
     )

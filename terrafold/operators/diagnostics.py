@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.plans.ordering import RangeOrder, number_rows
 from terrafold.plans.pyramid import box_aggregates
 
 # Fixed value: cells up to this many points count as small.
@@ -124,8 +125,8 @@ def runtime_summary(runs: DataFrame, group: str, value: str) -> DataFrame:
         F.stddev_pop(v).alias("std_pop"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_samp"),
     )
-    order = Window.partitionBy(F.lit(0)).orderBy("avg", group)
-    return stats.withColumn("rank", F.row_number().over(order))
+    ranked = number_rows(stats, ["avg", group], "rank", buckets=RangeOrder.fit(stats, ["avg"]))
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def speedup(runs: DataFrame, query: str, variant: str, value: str, base: str, test: str) -> DataFrame:

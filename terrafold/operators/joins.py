@@ -25,7 +25,7 @@ def _window_pairs(index: PointIndex, windows: DataFrame, key: str, settle: bool)
             .otherwise(BORDER)
         )
 
-    return index.descend(_named_windows(windows, key).filter(proper), state, settle)
+    return index.stored(index.descend(_named_windows(windows, key).filter(proper), state, settle))
 
 
 def window_join(index: PointIndex, windows: DataFrame, key: str = "qid") -> DataFrame:
@@ -97,7 +97,7 @@ def _polygon_pairs(index: PointIndex, polygons: DataFrame, key: str, settle: boo
             .otherwise(DISJOINT)
         )
 
-    return index.descend(sides, state, settle)
+    return index.stored(index.descend(sides, state, settle))
 
 
 def _in_polygon() -> Column:

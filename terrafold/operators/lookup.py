@@ -20,12 +20,14 @@ def point_exists(points: DataFrame, qx: float, qy: float) -> DataFrame:
     return hit.agg((F.count("one") > 0).alias("found"))
 
 
-def points_exist(points: DataFrame, probes: DataFrame) -> DataFrame:
-    """Batch form: probes (qid, qx, qy) with a ``found`` flag, by one equi-join."""
-    known = points.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
-    return probes.join(known.withColumn("found", F.lit(True)), ["qx", "qy"], "left").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+def points_exist(points: DataFrame, probes: DataFrame, key: str = "qid") -> DataFrame:
+    """Batch form: probes (key, qx, qy) with a ``found`` flag.
+
+    The equi-join may broadcast the probes; hits are de-duplicated before they are shuffled.
+    """
+    same = g.same_point("x", "y", "qx", "qy")
+    hits = points.select("x", "y").join(probes, same).select(key).distinct().withColumn("found", F.lit(True))
+    return probes.join(hits, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def point_lookup_eps(

@@ -49,6 +49,10 @@ def lossless_knots(model: DataFrame, cell: str = "cell_id", chunk: int = KEYS_PE
 
 def segment_slopes(knots: DataFrame, cell: str = "cell_id", chunk: int = KEYS_PER_CHUNK) -> DataFrame:
     """Segments (cell, key, rank, next_key, next_rank, slope) between consecutive knots."""
+    return _segments(stored(knots, "knots"), cell, chunk)
+
+
+def _segments(knots: DataFrame, cell: str, chunk: int = KEYS_PER_CHUNK) -> DataFrame:
     staged = with_neighbours(number_rows(knots, ["key"], "knot_no", by=[cell]), "knot_no", chunk, [cell])
     w = Window.partitionBy(cell, "__chunk").orderBy("key")
     return (
@@ -164,7 +168,8 @@ def estimate_rank(
     (cell, key range); a segment that starts in an earlier range is repeated at the start of each range it
     crosses, so ranges are independent of each other.
     """
-    segments = segment_slopes(knots, cell).select(
+    knots = stored(knots, "knots")
+    segments = _segments(knots, cell).select(
         cell, F.col("key").alias("k0"), F.col("rank").alias("r0"), F.col("next_key").alias("k1"), "slope"
     )
     ends = knots.groupBy(cell).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.operators.prepare import drop_missing
 from terrafold.plans.pyramid import BOX, PointIndex
 
 
@@ -17,9 +18,8 @@ def _positive(k: int) -> int:
 
 def knn(points: DataFrame, qx: float, qy: float, k: int) -> DataFrame:
     """The k nearest points of one place: per-task heaps merged by a top-k node."""
-    return (
-        points.withColumn("dist", g.distance("x", "y", qx, qy)).orderBy("dist", "x", "y", "id").limit(_positive(k))
-    )
+    placed = drop_missing(points).withColumn("dist", g.distance("x", "y", qx, qy))
+    return placed.orderBy("dist", "x", "y", "id").limit(_positive(k))
 
 
 def cells_within_reach(cells: DataFrame, k: int) -> DataFrame:
@@ -73,7 +73,7 @@ def knn_join(index: PointIndex, queries: DataFrame, k: int, key: str = "qid") ->
         few = single.withColumn("__r", F.row_number().over(per_place)).filter(F.col("__r") <= k).drop("__r")
         ordinary = ordinary.unionByName(few)
     within = g.distance("x", "y", "qx", "qy") <= F.col("reach")
-    candidates = index.join_points(frontier, within, points=ordinary)
+    candidates = index.join_points(index.stored(frontier), within, points=ordinary)
     candidates = candidates.withColumn("dist", g.distance("x", "y", "qx", "qy")).drop("bx", "by", "reach", "qx", "qy")
     return topk_refine(candidates, k, key)
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -119,6 +120,7 @@ class RangeOrder:
         """Add the bucket columns; a level below a bucket of many values is -1."""
         d = self.depth
         out = add_buckets(df, **{f"__b{i}": (self.columns[i], self.cuts[i]) for i in range(d)})
+        out = out.withColumns({f"__b{i}": F.coalesce(f"__b{i}", F.lit(-1)) for i in range(d)})  # nulls sort first
         single: Column | None = None
         for i in range(1, d):
             here = F.col(f"__b{i - 1}").isin(*self.cuts[i - 1].heavy)
@@ -176,34 +178,46 @@ def exact_quantiles(
     Equal values are counted before anything is ordered, and only the rows around the wanted ranks are kept.
     """
     by = by or []
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
-    run = running_total(counts, [column], F.col("__n"), "__cum", by, buckets)
+    known = df.filter(F.col(column).isNotNull()).select(*by, column)
+    counts = known.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
+    ranges = buckets or RangeOrder.fit(known, [column])
+    run = running_total(counts, [column], F.col("__n"), "__cum", by, ranges)
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    wanted = totals.select(
-        *by, "__total", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
-    ).withColumn("__h", (F.col("__total") - 1) * F.col("prob"))
-    wanted = wanted.groupBy(*by).agg(F.collect_list(F.struct("prob", "__h")).alias("__want"))
-    rows = _join_on(run, wanted, by)
-    first, last = F.col("__cum") - F.col("__n"), F.col("__cum") - 1  # 0-based ranks of this value
-
-    def holds(rank: Column) -> Column:
-        return (rank >= first) & (rank <= last)
-
-    hits = rows.withColumn(
-        "__want", F.filter("__want", lambda w: holds(F.floor(w["__h"])) | holds(F.ceil(w["__h"])))
-    ).filter(F.size("__want") > 0)
-    hits = hits.select(*by, F.col(column).cast("double").alias("__v"), "__cum", "__n", F.explode("__want").alias("__w"))
-    low = F.max(F.when(holds(F.floor("__w.__h")), F.col("__v")))
-    high = F.max(F.when(holds(F.ceil("__w.__h")), F.col("__v")))
-    share = F.max(F.col("__w.__h") - F.floor("__w.__h"))
-    return hits.groupBy(*by, F.col("__w.prob").alias("prob")).agg((low + (high - low) * share).alias("value"))
+    rows = _join_on(run, totals, by)
+
+    def rank(p: float) -> Column:
+        return (F.col("__total") - 1) * F.lit(float(p))
+
+    def holds(position: Column) -> Column:
+        """Is this 0-based rank one of the ranks of this row's value?"""
+        return (position >= F.col("__cum") - F.col("__n")) & (position < F.col("__cum"))
+
+    wanted = reduce(lambda a, b: a | b, [holds(F.floor(rank(p))) | holds(F.ceil(rank(p))) for p in probs])
+    value = F.col(column).cast("double")
+    parts = []
+    for i, p in enumerate(probs):
+        parts += [
+            F.max(F.when(holds(F.floor(rank(p))), value)).alias(f"__low{i}"),
+            F.max(F.when(holds(F.ceil(rank(p))), value)).alias(f"__high{i}"),
+            F.max(rank(p) - F.floor(rank(p))).alias(f"__share{i}"),
+        ]
+    between = F.array(*[
+        F.struct(
+            F.lit(float(p)).alias("prob"),
+            (F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * F.col(f"__share{i}")).alias("value"),
+        )
+        for i, p in enumerate(probs)
+    ])
+    out = rows.filter(wanted).groupBy(*by).agg(*parts).select(*by, F.inline(between))
+    return out.filter(F.col("value").isNotNull())
 
 
 def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join a per-group table; without groups it is a single aggregated row, joined on a constant."""
+    """Join a per-group table; without groups it is one aggregated row, attached as a scalar subquery."""
     if by:
         return left.join(right, by)
-    return left.withColumn("__one", F.lit(1)).join(F.broadcast(right.withColumn("__one", F.lit(1))), "__one").drop("__one")
+    (name,) = right.columns
+    return left.withColumn(name, right.scalar())
 
 
 def with_neighbours(df: DataFrame, number: str, chunk: int, by: list[str] | None = None) -> DataFrame:

@@ -131,7 +131,8 @@ class PointIndex:
         ext = Extent.of(points)
         grid = RankGrid.fit(points, ext.n, per_cell=per_cell)
         placed = grid.add(points)
-        cells = placed.groupBy("bx", "by").agg(*box_aggregates())
+        known = F.col("bx").isNotNull() & F.col("by").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+        cells = placed.filter(known).groupBy("bx", "by").agg(*box_aggregates())
         places = F.array(*[
             F.struct(F.lit(i).alias("level"), F.shiftright("bx", sx).alias("nx"), F.shiftright("by", sy).alias("ny"))
             for i, (sx, sy) in enumerate(grid.shifts)
@@ -171,12 +172,6 @@ class PointIndex:
         fields = ", ".join(f"node_{k} {t}" for k, t in zip(names, types))
         return F.array(*rows).cast(f"array<struct<{fields}>>")
 
-    def parallel(self, frontier: DataFrame) -> DataFrame:
-        """Spread small query-side tables before the work multiplies; coalescing would put them in one task."""
-        spark = frontier.sparkSession
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        return frontier.repartition(parts, "nx", "ny")
-
     # ------------------------------------------------------------ descent
 
     def descend(self, queries: DataFrame, state: Callable[[tuple[Column, ...]], Column], settle: bool) -> DataFrame:
@@ -216,16 +211,27 @@ class PointIndex:
 
     # ------------------------------------------------------------ cell join
 
+    def stored(self, pairs: DataFrame) -> DataFrame:
+        """Write (query, cell) pairs to shared storage.
+
+        The join with the points is then planned from their measured size (a broadcast only when they are
+        small, so that a large point table is never shuffled on a guess), no level of the descent runs twice,
+        and the even spread over files keeps the work that multiplies from here on parallel.
+        """
+        spark = pairs.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return written(pairs.repartition(parts, "nx", "ny"), "pairs")
+
     def join_points(
         self, pairs: DataFrame, test: Column | None = None, how: str = "inner", points: DataFrame | None = None
     ) -> DataFrame:
-        """Equi-join finest-level (query, cell) pairs with the points of those cells.
+        """Equi-join stored finest-level (query, cell) pairs with the points of those cells.
 
         ``test`` is the exact predicate. ``how`` may be ``left_semi`` or ``left_anti``, which return points.
         Cells above the hot limit are split by a hash of the point id; their query rows are repeated per split.
         """
         pts = self.points if points is None else points
-        left = self.parallel(pairs).withColumnsRenamed({"nx": "cell_x", "ny": "cell_y"})
+        left = pairs.withColumnsRenamed({"nx": "cell_x", "ny": "cell_y"})
         on = (F.col("bx") == F.col("cell_x")) & (F.col("by") == F.col("cell_y"))
         if self.hot:
             rows = [h[:3] for h in self.hot]  # bounded, see build

@@ -54,6 +54,13 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_copy(df: DataFrame, rows: int) -> DataFrame:
+    """A metadata table of at most BROADCAST_ROWS rows as a local relation, so that filters on it need no job."""
+    if rows > BROADCAST_ROWS:
+        return df
+    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only when ``max_rows``, a bound the caller can prove, is small.
 

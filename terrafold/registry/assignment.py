@@ -179,7 +179,7 @@ def str_assign(spark, sf):
     )
     here = p.select((F.col("id") * 2).alias("id"), "x", "y")
     away = p.select((F.col("id") * 2 + 1).alias("id"), (F.col("x") + 250000).alias("x"), "y")
-    return cells.assign_to_boxes(here.unionByName(away), boxes, core.ext(spark, sf)).select("id", "cell_id")
+    return cells.assign_to_boxes(here.unionByName(away), boxes).select("id", "cell_id")
 
 
 # ---------------------------------------------------------------- properties of data-driven cells
@@ -217,7 +217,7 @@ def quad_tree_check(spark, sf):
 def sort_tile_check(spark, sf):
     e = core.ext(spark, sf)
     boxes = cells.sort_tile_boxes(core.pts(spark, sf), 30, e)
-    return _checked(spark, sf, "sort tiles", cells.assign_to_boxes(core.pts(spark, sf), boxes, e), 3)
+    return _checked(spark, sf, "sort tiles", cells.assign_to_boxes(core.pts(spark, sf), boxes), 3)
 
 
 # ---------------------------------------------------------------- diagnostics

@@ -114,7 +114,9 @@ def append_report(spark, sf):
         for label in ("first", "second"):
             sinks.append_report(diagnostics.report(p, assigned, "grid", 400, label), path)
 
-    return spark.read.json(_files(spark, sf, "report", write)).select("label", "n_before", "n_lost")
+    path = scratch_path(spark, "report")
+    write(path)
+    return spark.read.json(path).select("label", "n_before", "n_lost")
 
 
 @query(
@@ -141,12 +143,7 @@ def layout_roundtrip(spark, sf):
 @query("stream_range_query", RANGE_SQL)
 def stream_range_query(spark, sf):
     """The window filter as a stream over the orders file."""
-    schema = core.table(spark, sf, "orders").schema
-
-    def write(path):
-        days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("double")
-        stream = read_point_stream(spark, sf, schema, "orders.parquet")
-        points = stream.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"), days.alias("y"))
-        run_to_files(points, path, lambda df: lookup.range_query(df, WINDOW))
-
-    return spark.read.parquet(_files(spark, sf, "stream", write))
+    days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("double")
+    stream = read_point_stream(spark, sf, core.table(spark, sf, "orders").schema, "orders.parquet")
+    points = stream.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"), days.alias("y"))
+    return run_to_files(points, scratch_path(spark, "stream-out"), lambda df: lookup.range_query(df, WINDOW))

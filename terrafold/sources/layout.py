@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 
 from terrafold.functions import geometry as g
 from terrafold.operators import diagnostics, lookup, nearest
-from terrafold.plans.session import bounded_broadcast
+from terrafold.plans.session import bounded_broadcast, local_copy
 
 ROWS_PER_FILE = 5_000_000
 MAX_LITERAL_CELLS = 1_000
+MAX_WRITE_TASKS = 50_000
 
 
 def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -36,17 +37,13 @@ def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PE
             "salt", F.pmod(F.xxhash64("id", "x", "y"), F.coalesce("splits", F.lit(1)))
         ).drop("splits")
         keys = ["cell_id", "salt"]
-    tasks = max(1, min(size["cells"] + (size["n"] or 0) // rows_per_file, 4 * _parallelism(spark)))
+    tasks = max(1, min(MAX_WRITE_TASKS, size["cells"] + (size["n"] or 0) // rows_per_file))
     sort_keys = [*keys, "y"]  # the writer groups by cell_id, so the order must begin with it
     out.repartition(tasks, *keys).sortWithinPartitions(*sort_keys).drop("salt").write.partitionBy("cell_id").parquet(
         f"{path}/points"
     )
 
 
-def _parallelism(spark: SparkSession) -> int:
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 @dataclass
 class ClusteredPoints:
     """Queries over a written layout. Same results as on the raw table, fewer cells read."""
@@ -59,7 +56,8 @@ class ClusteredPoints:
     def read(cls, spark: SparkSession, path: str, schema: T.StructType) -> ClusteredPoints:
         points = spark.read.schema(schema).parquet(f"{path}/points")
         cells = spark.read.parquet(f"{path}/cells")
-        return cls(points, cells, cells.count())
+        n = cells.count()
+        return cls(points, local_copy(cells, n), n)
 
     @classmethod
     def write(cls, assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> ClusteredPoints:
