@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import codes
 from terrafold.functions import geometry as g
+from terrafold.functions.literals import double_array
 from terrafold.plans.extent import Extent
-from terrafold.plans.ordering import Cuts, add_buckets, exact_quantiles, fit_cuts, number_rows
+from terrafold.plans.ordering import Cuts, RangeOrder, add_buckets, exact_quantiles, fit_cuts, number_rows
 from terrafold.plans.pyramid import box_aggregates
 from terrafold.plans.session import bounded_broadcast, written
 
@@ -86,7 +87,7 @@ class QuantileGrid:
         cx = fit_cuts(sample, ["x"], slices, min(e.n, SAMPLE_ROWS))[0] if slices > 1 else Cuts(())
         span = (e.height or 1.0) * 1.0000001
         staged = cls(cx, Cuts(()), e.min_y, span)._position(sample)
-        marks = F.array(*[F.lit(i / rows) for i in range(1, rows)])
+        marks = double_array(i / rows for i in range(1, rows))
         found = (
             staged.groupBy("slice").agg(F.percentile_approx("__p", marks, F.lit(10_000)).alias("q")).collect()
             if rows > 1 else []
@@ -227,12 +228,13 @@ class KdTree:
         e = ext or Extent.of(points)
         depth = max(0, math.ceil(math.log2(max(1, cells or default_cells(e.n)))))
         source = points.select("x", "y") if exact else written(bounded_sample(points, e.n, seed=seed), "kd-sample")
+        orders = {axis: RangeOrder.fit(source, [axis], e.n) for axis in "xy"[:depth]} if exact else {}
         splits: list[tuple[float, ...]] = []
         for level in range(depth):
             axis = "xy"[level % 2]
             placed = cls(tuple(splits)).assign(source, "node")
             if exact:
-                medians = exact_quantiles(placed, axis, [0.5], by=["node"])
+                medians = exact_quantiles(placed, axis, [0.5], by=["node"], buckets=orders[axis])
             else:
                 medians = placed.groupBy("node").agg(F.percentile_approx(axis, 0.5, 10_000).alias("value"))
             found = {r["node"]: r["value"] for r in medians.select("node", "value").collect()}  # 2 ** level rows
@@ -243,7 +245,7 @@ class KdTree:
         """Walk down one level per column; every level is a lookup in a literal array."""
         out = points.withColumn(name, F.lit(0))
         for level, values in enumerate(self.splits):
-            split = F.element_at(F.array(*[F.lit(v) for v in values]), F.col(name) + 1)
+            split = F.element_at(double_array(values), F.col(name) + 1)
             right = (F.col("xy"[level % 2]) >= split).cast("int")
             out = out.withColumn(name, F.col(name) * 2 + right)
         return out
@@ -287,9 +289,10 @@ def sort_tiles(points: DataFrame, slices: int, rows: int, n: int | None = None)
     Positions come from range-wise numbering, so neither sort runs in one task.
     """
     total = points.count() if n is None else n
-    by_x = number_rows(points, ["x", "y", "id"], "__px")
+    by_x = number_rows(points, ["x", "y", "id"], "__px", n=total)
+    y_order = RangeOrder.fit(points, ["y", "x", "id"], total)  # from the input: slicing does not change its values
     sliced = by_x.withColumn("slice", _tile_of(F.col("__px"), F.lit(total).cast("bigint"), slices).cast("int"))
-    by_y = number_rows(sliced.drop("__px"), ["y", "x", "id"], "__py", by=["slice"])
+    by_y = number_rows(sliced.drop("__px"), ["y", "x", "id"], "__py", by=["slice"], buckets=y_order)
     size = (F.lit(total // slices) + (F.col("slice") < total % slices).cast("bigint")).cast("bigint")
     tile = _tile_of(F.col("__py"), size, rows).cast("int")
     return by_y.withColumn("cell_id", F.col("slice") * rows + tile).drop("__py", "slice")
@@ -306,8 +309,8 @@ def sort_tile_boxes(points: DataFrame, cells: int | None = None, ext: Extent | N
     want = cells or default_cells(e.n)
     slices = max(1, math.ceil(math.sqrt(want)))
     sample = bounded_sample(points, e.n).withColumn("id", F.xxhash64("x", "y"))
-    sample = written(sample, "tile-sample")
-    return tile_boxes(sort_tiles(sample, slices, math.ceil(want / slices)))
+    tiled = sort_tiles(written(sample, "tile-sample"), slices, math.ceil(want / slices))
+    return written(tile_boxes(tiled), "boxes")  # at most ``cells`` rows
 
 
 def assign_to_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:

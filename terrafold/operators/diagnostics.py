@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import geometry as g
 from terrafold.plans.ordering import RangeOrder, number_rows
 from terrafold.plans.pyramid import box_aggregates
+from terrafold.plans.session import written
 
 # Fixed value: cells up to this many points count as small.
 SMALL_CELL = 100
@@ -71,31 +72,33 @@ def small_cell_ratio(cells: DataFrame, threshold: int = SMALL_CELL) -> DataFrame
 
 def loss_check(points: DataFrame, assigned: DataFrame, key: str = "cell_id") -> DataFrame:
     """Rows before and after cell assignment; rows without a cell count as lost."""
-    before = points.agg(F.count(F.lit(1)).alias("n_before"), F.lit(1).alias("one"))
-    after = assigned.agg(F.count(key).alias("n_after"), F.lit(1).alias("one"))
-    return (
-        before.join(F.broadcast(after), "one").drop("one").withColumn("n_lost", F.col("n_before") - F.col("n_after"))
-    )
+    after = assigned.agg(F.count(key).alias("n_after"))
+    counted = points.agg(F.count(F.lit(1)).alias("n_before")).withColumn("n_after", after.scalar())
+    return counted.withColumn("n_lost", F.col("n_before") - F.col("n_after"))
 
 
 def report(points: DataFrame, assigned: DataFrame, method: str, partitions: int, label: str = "") -> DataFrame:
-    """The whole diagnostics as one row, ready for ``append_report``."""
-    cells = cells_table(assigned)
-    one = F.lit(1).alias("one")
-    histogram = size_histogram(cells, partitions).groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "cells"))).alias("histogram"), one
-    )
-    parts = [
-        loss_check(points, assigned).withColumn("one", F.lit(1)),
-        partition_balance(cells, partitions).withColumn("one", F.lit(1)),
-        small_cell_ratio(cells).withColumn("one", F.lit(1)),
-        histogram,
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(F.broadcast(part), "one")
-    head = {"method": F.lit(method), "label": F.lit(label), "reported_at": F.current_timestamp()}
-    return out.drop("one").withColumns(head)
+    """The whole diagnostics as one row, ready for ``append_report``.
+
+    The assigned points are read once: everything else comes from the stored cells table.
+    """
+    cells = written(cells_table(assigned), "report-cells")
+    placed = cells.filter(F.col("cell_id").isNotNull())
+    n_before, n_after = points.agg(F.count(F.lit(1))).scalar(), F.coalesce(placed.agg(F.sum("n")).scalar(), F.lit(0))
+    classes = size_histogram(placed, partitions).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "cells"))))
+    small = small_cell_ratio(placed)
+    return partition_balance(placed, partitions).withColumns({
+        "method": F.lit(method),
+        "label": F.lit(label),
+        "reported_at": F.current_timestamp(),
+        "n_before": n_before,
+        "n_after": n_after,
+        "n_lost": n_before - n_after,
+        "histogram": classes.scalar(),
+        "non_empty": small.select("non_empty").scalar(),
+        "small": small.select("small").scalar(),
+        "small_ratio": small.select("ratio").scalar(),
+    })
 
 
 def pruning_report(cells: DataFrame, window: tuple[float, float, float, float]) -> DataFrame:

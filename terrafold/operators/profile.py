@@ -100,9 +100,9 @@ def ecdf(points: DataFrame, axis: str, n: int | None = None) -> DataFrame:
     return run.select("value", F.col("n_le").cast("bigint").alias("n_le"), share.alias("cdf"))
 
 
-def quantile_profile(points: DataFrame, axis: str) -> DataFrame:
+def quantile_profile(points: DataFrame, axis: str, n: int | None = None) -> DataFrame:
     """One row: q1, median, q3, 1.5 IQR fences and the number of outliers, all exact."""
-    q = exact_quantiles(points, axis, [0.25, 0.5, 0.75])
+    q = exact_quantiles(points, axis, [0.25, 0.5, 0.75], n=n)
     row = {r["prob"]: r["value"] for r in q.collect()}  # three rows
     q1, q2, q3 = row.get(0.25), row.get(0.5), row.get(0.75)
     if q1 is None:

@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.functions.literals import double_array, is_one_of
+
 ROWS_PER_BUCKET = 50_000
 MIN_BUCKETS = 4
 MAX_BUCKETS = 65_536
@@ -62,7 +64,7 @@ def fit_quantiles(df: DataFrame, columns: list[str], parts: int, n: int, seed: i
     source = df.select(*columns)
     if n > wanted:
         source = source.sample(False, wanted / n, seed)
-    marks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    marks = double_array(i / parts for i in range(1, parts))
     row = source.agg(*[
         F.percentile_approx(F.col(name).cast("double"), marks, F.lit(max(10_000, 16 * parts))).alias(f"q{i}")
         for i, name in enumerate(columns)
@@ -84,11 +86,10 @@ def add_buckets(df: DataFrame, **targets: tuple[str, Cuts]) -> DataFrame:
         splitsArray=[targets[n][1].splits if targets[n][1].values else [-math.inf, 0.0, math.inf] for n in names],
         handleInvalid="keep",
     )
-    out = stage.transform(df)
-    for name, tmp in zip(names, staged):
-        one = not targets[name][1].values
-        out = out.withColumn(name, F.lit(0) if one else F.col(tmp).cast("int"))
-    return out.drop(*staged)
+    whole = {
+        name: F.col(tmp).cast("int") if targets[name][1].values else F.lit(0) for name, tmp in zip(names, staged)
+    }
+    return stage.transform(df).withColumns(whole).drop(*staged)
 
 
 @dataclass(frozen=True)
@@ -123,7 +124,7 @@ class RangeOrder:
         out = out.withColumns({f"__b{i}": F.coalesce(f"__b{i}", F.lit(-1)) for i in range(d)})  # nulls sort first
         single: Column | None = None
         for i in range(1, d):
-            here = F.col(f"__b{i - 1}").isin(*self.cuts[i - 1].heavy)
+            here = is_one_of(f"__b{i - 1}", self.cuts[i - 1].heavy)
             single = here if single is None else single & here
             out = out.withColumn(f"__b{i}", F.when(single, F.col(f"__b{i}")).otherwise(F.lit(-1)))
         return out
@@ -136,10 +137,11 @@ def running_total(
     name: str,
     by: list[str] | None = None,
     buckets: RangeOrder | None = None,
+    n: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order`` (a total order of numeric columns) within ``by``."""
     by = by or []
-    ranges = buckets or RangeOrder.fit(df, order)
+    ranges = buckets or RangeOrder.fit(df, order, n)
     staged = ranges.add(df.withColumn("__v", value))
     keys = by + ranges.names
     before = Window.orderBy(*ranges.names) if not by else Window.partitionBy(*by).orderBy(*ranges.names)
@@ -164,14 +166,20 @@ def number_rows(
     name: str = "row_no",
     by: list[str] | None = None,
     buckets: RangeOrder | None = None,
+    n: int | None = None,
 ) -> DataFrame:
     """0-based position of every row in ``order`` within ``by``."""
-    out = running_total(df, order, F.lit(1).cast("bigint"), name, by, buckets)
+    out = running_total(df, order, F.lit(1).cast("bigint"), name, by, buckets, n)
     return out.withColumn(name, F.col(name) - 1)
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probs: list[float], by: list[str] | None = None, buckets: RangeOrder | None = None
+    df: DataFrame,
+    column: str,
+    probs: list[float],
+    by: list[str] | None = None,
+    buckets: RangeOrder | None = None,
+    n: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by..., prob, value).
 
@@ -180,7 +188,7 @@ def exact_quantiles(
     by = by or []
     known = df.filter(F.col(column).isNotNull()).select(*by, column)
     counts = known.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
-    ranges = buckets or RangeOrder.fit(known, [column])
+    ranges = buckets or RangeOrder.fit(known, [column], n)
     run = running_total(counts, [column], F.col("__n"), "__cum", by, ranges)
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
     rows = _join_on(run, totals, by)

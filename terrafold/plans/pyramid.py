@@ -16,9 +16,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.functions.literals import double_text, is_one_of
 from terrafold.plans.extent import Extent
 from terrafold.plans.ordering import Cuts, add_buckets, fit_quantiles
 from terrafold.plans.session import bounded_broadcast, written
@@ -30,6 +31,7 @@ MAX_AXIS_BITS = 16
 STEP_BITS = 4  # bits of both axes together between two levels: about 16 children per node
 MAX_HOT_CELLS = 2_048
 MIN_HOT_ROWS = 100_000
+SPREAD_ROWS = 5_000_000
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 # States of a (query, node) pair.
@@ -115,6 +117,10 @@ def _levels(bits_x: int, bits_y: int, size_x: float, size_y: float) -> tuple[tup
     return tuple(shifts)
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 @dataclass
 class PointIndex:
     """Points with columns (id, x, y, ...) plus rank cell (bx, by), and the written pyramid."""
@@ -166,11 +172,14 @@ class PointIndex:
 
     def top_nodes(self) -> Column:
         """The coarsest level as an array literal."""
-        names = ("nx", "ny", "n", *BOX)
-        types = ("int", "int", "bigint", "double", "double", "double", "double")
-        rows = [F.struct(*[F.lit(v).cast(t).alias(f"node_{k}") for v, k, t in zip(r, names, types)]) for r in self.top]
-        fields = ", ".join(f"node_{k} {t}" for k, t in zip(names, types))
-        return F.array(*rows).cast(f"array<struct<{fields}>>")
+        rows = [
+            f"named_struct('node_nx', {nx}, 'node_ny', {ny}, 'node_n', {n}L, "
+            + ", ".join(f"'node_{b}', {double_text(v)}" for b, v in zip(BOX, box))
+            + ")"
+            for nx, ny, n, *box in self.top
+        ]
+        fields = ", ".join(["node_nx int", "node_ny int", "node_n bigint", *[f"node_{b} double" for b in BOX]])
+        return F.expr(f"cast(array({', '.join(rows)}) as array<struct<{fields}>>)")
 
     # ------------------------------------------------------------ descent
 
@@ -218,9 +227,7 @@ class PointIndex:
         small, so that a large point table is never shuffled on a guess), no level of the descent runs twice,
         and the even spread over files keeps the work that multiplies from here on parallel.
         """
-        spark = pairs.sparkSession
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        return written(pairs.repartition(parts, "nx", "ny"), "pairs")
+        return written(pairs.repartition(_tasks(pairs.sparkSession), "nx", "ny"), "pairs")
 
     def join_points(
         self, pairs: DataFrame, test: Column | None = None, how: str = "inner", points: DataFrame | None = None
@@ -231,6 +238,9 @@ class PointIndex:
         Cells above the hot limit are split by a hash of the point id; their query rows are repeated per split.
         """
         pts = self.points if points is None else points
+        if self.extent.n <= SPREAD_ROWS:
+            # a small table often sits in one file, which one task would read and multiply alone
+            pts = pts.repartition(_tasks(pts.sparkSession), "id")
         left = pairs.withColumnsRenamed({"nx": "cell_x", "ny": "cell_y"})
         on = (F.col("bx") == F.col("cell_x")) & (F.col("by") == F.col("cell_y"))
         if self.hot:
@@ -257,5 +267,5 @@ class PointIndex:
         by_x: dict[int, list[int]] = {}
         for bx, by in singles:
             by_x.setdefault(bx, []).append(by)
-        here = reduce(lambda a, b: a | b, [(F.col("bx") == bx) & F.col("by").isin(*bys) for bx, bys in by_x.items()])
+        here = reduce(lambda a, b: a | b, [(F.col("bx") == bx) & is_one_of("by", bys) for bx, bys in by_x.items()])
         return self.points.filter(~here), self.points.filter(here)

@@ -22,6 +22,8 @@ def build_session(app: str = "terrafold", cores: str | int = "*", shuffle_partit
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # call-site capture costs a JVM round trip or more per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if cores is not None:
         builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "16g")

@@ -190,7 +190,7 @@ def _checked(spark, sf, method, assigned, limit):
     p = core.pts(spark, sf)
     loss = diagnostics.loss_check(p, assigned)
     sizes = diagnostics.cell_counts(assigned).agg((F.max("n") <= F.avg("n") * limit).alias("balanced"))
-    return loss.join(F.broadcast(sizes)).select(F.lit(method).alias("method"), "n_before", "n_lost", "balanced")
+    return loss.select(F.lit(method).alias("method"), "n_before", "n_lost", sizes.scalar().alias("balanced"))
 
 
 def _check_sql(method: str) -> str:

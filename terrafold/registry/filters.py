@@ -257,7 +257,7 @@ def distance_query_antimeridian(spark, sf):
     f"WITH {PTS} SELECT id, row_number() OVER (ORDER BY y, x, id) - 1 AS row_no FROM pts",
 )
 def row_numbers(spark, sf):
-    return number_rows(core.pts(spark, sf), ["y", "x", "id"]).select("id", "row_no")
+    return number_rows(core.pts(spark, sf), ["y", "x", "id"], n=core.ext(spark, sf).n).select("id", "row_no")
 
 
 @query("sort_by_y", f"WITH {PTS} SELECT id, x, y FROM pts ORDER BY y, x, id")

@@ -109,7 +109,7 @@ def quantiles(spark, sf):
     p = core.pts(spark, sf)
     names = ("q1", "median", "q3", "low_fence", "high_fence")
     rows = [
-        profile.quantile_profile(p, a).select(F.lit(a).alias("axis"), *[r6(n).alias(n) for n in names], "n_outliers")
+        profile.quantile_profile(p, a, core.ext(spark, sf).n).select(F.lit(a).alias("axis"), *[r6(n).alias(n) for n in names], "n_outliers")
         for a in ("x", "y")
     ]
     return rows[0].unionByName(rows[1])

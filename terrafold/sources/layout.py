@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.functions import geometry as g
+from terrafold.functions.literals import is_one_of
 from terrafold.operators import diagnostics, lookup, nearest
 from terrafold.plans.session import bounded_broadcast, local_copy
 
@@ -69,7 +70,7 @@ class ClusteredPoints:
         source = self.points if points is None else points
         ids = [r[0] for r in cells.select("cell_id").limit(MAX_LITERAL_CELLS + 1).collect()]
         if len(ids) <= MAX_LITERAL_CELLS:
-            return source.filter(F.col("cell_id").isin(ids)) if ids else source.filter(F.lit(False))
+            return source.filter(is_one_of("cell_id", ids))
         keep = bounded_broadcast(cells.select("cell_id"), self.n_cells)
         return source.join(keep, "cell_id", "left_semi")
 
