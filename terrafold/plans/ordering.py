@@ -183,24 +183,36 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by..., prob, value).
 
-    Equal values are counted before anything is ordered, and only the rows around the wanted ranks are kept.
+    Equal values are counted before anything is ordered. Bucket totals tell which buckets hold the wanted
+    ranks, and only those buckets are sorted.
     """
     by = by or []
     known = df.filter(F.col(column).isNotNull()).select(*by, column)
     counts = known.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
     ranges = buckets or RangeOrder.fit(known, [column], n)
-    run = running_total(counts, [column], F.col("__n"), "__cum", by, ranges)
-    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
-    rows = _join_on(run, totals, by)
+    staged, keys = ranges.add(counts), by + ranges.names
 
     def rank(p: float) -> Column:
         return (F.col("__total") - 1) * F.lit(float(p))
 
+    def wanted(first: Column, end: Column) -> Column:
+        """Does [first, end) hold a rank that some quantile needs?"""
+        marks = [r for p in probs for r in (F.floor(rank(p)), F.ceil(rank(p)))]
+        return reduce(lambda a, b: a | b, [(m >= first) & (m < end) for m in marks])
+
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows are bucket totals
+    before = group.orderBy(*ranges.names).rowsBetween(Window.unboundedPreceding, -1)
+    totals = staged.groupBy(*keys).agg(F.sum("__n").alias("__t")).withColumns({
+        "__o": F.coalesce(F.sum("__t").over(before), F.lit(0)), "__total": F.sum("__t").over(group)
+    })
+    needed = totals.filter(wanted(F.col("__o"), F.col("__o") + F.col("__t"))).drop("__t")
+    inside = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = staged.join(needed, keys).withColumn("__cum", F.col("__o") + F.sum("__n").over(inside))
+
     def holds(position: Column) -> Column:
         """Is this 0-based rank one of the ranks of this row's value?"""
         return (position >= F.col("__cum") - F.col("__n")) & (position < F.col("__cum"))
 
-    wanted = reduce(lambda a, b: a | b, [holds(F.floor(rank(p))) | holds(F.ceil(rank(p))) for p in probs])
     value = F.col(column).cast("double")
     parts = []
     for i, p in enumerate(probs):
@@ -216,18 +228,11 @@ def exact_quantiles(
         )
         for i, p in enumerate(probs)
     ])
-    out = rows.filter(wanted).groupBy(*by).agg(*parts).select(*by, F.inline(between))
+    hits = rows.filter(wanted(F.col("__cum") - F.col("__n"), F.col("__cum")))
+    out = hits.groupBy(*by).agg(*parts).select(*by, F.inline(between))
     return out.filter(F.col("value").isNotNull())
 
 
-def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join a per-group table; without groups it is one aggregated row, attached as a scalar subquery."""
-    if by:
-        return left.join(right, by)
-    (name,) = right.columns
-    return left.withColumn(name, right.scalar())
-
-
 def with_neighbours(df: DataFrame, number: str, chunk: int, by: list[str] | None = None) -> DataFrame:
     """Split numbered rows into chunks and copy each chunk's border rows into the adjacent chunk.
 

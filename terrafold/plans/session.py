@@ -57,10 +57,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def local_copy(df: DataFrame, rows: int) -> DataFrame:
-    """A metadata table of at most BROADCAST_ROWS rows as a local relation, so that filters on it need no job."""
-    if rows > BROADCAST_ROWS:
-        return df
-    return df.sparkSession.createDataFrame([tuple(r) for r in df.collect()], df.schema)
+    """A metadata table of at most BROADCAST_ROWS rows as a local relation: filters and projections need no job."""
+    return df.sparkSession.createDataFrame(df.toArrow()) if rows <= BROADCAST_ROWS else df
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:

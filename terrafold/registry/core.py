@@ -44,7 +44,7 @@ def built(spark: SparkSession, sf: str, name: str, make: Callable[[], Any]) -> A
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return built(spark, sf, f"table:{name}", lambda: spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def pts(spark: SparkSession, sf: str) -> DataFrame:

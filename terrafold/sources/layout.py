@@ -6,16 +6,18 @@ sorted by y let Parquet statistics skip row groups.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.functions import geometry as g
 from terrafold.functions.literals import is_one_of
 from terrafold.operators import diagnostics, lookup, nearest
-from terrafold.plans.session import bounded_broadcast, local_copy
+from terrafold.plans.pyramid import BOX
+from terrafold.plans.session import BROADCAST_ROWS, bounded_broadcast, local_copy
 
 ROWS_PER_FILE = 5_000_000
 MAX_LITERAL_CELLS = 1_000
@@ -65,50 +67,66 @@ class ClusteredPoints:
         write_clustered(assigned, path, rows_per_file)
         return cls.read(assigned.sparkSession, path, assigned.schema)
 
-    def _prune(self, cells: DataFrame, points: DataFrame | None = None) -> DataFrame:
-        """Keep the given cells: a literal partition filter when few, else a semi join that prunes at run time."""
-        source = self.points if points is None else points
-        ids = [r[0] for r in cells.select("cell_id").limit(MAX_LITERAL_CELLS + 1).collect()]
+    @property
+    def is_local(self) -> bool:
+        return self.n_cells <= BROADCAST_ROWS
+
+    def _prune(self, cells: DataFrame) -> DataFrame:
+        """Keep the points of these cells: a literal partition filter when they are few, else a semi join."""
+        ids = cells.select("cell_id")
+        return self._keep([r[0] for r in (ids if self.is_local else ids.limit(MAX_LITERAL_CELLS + 1)).collect()], ids)
+
+    def _keep(self, ids: list[int], cells: DataFrame) -> DataFrame:
         if len(ids) <= MAX_LITERAL_CELLS:
-            return source.filter(is_one_of("cell_id", ids))
-        keep = bounded_broadcast(cells.select("cell_id"), self.n_cells)
-        return source.join(keep, "cell_id", "left_semi")
+            return self.points.filter(is_one_of("cell_id", ids))
+        return self.points.join(bounded_broadcast(cells, self.n_cells), "cell_id", "left_semi")
 
-    def _hit(self, window):
-        return g.boxes_intersect(window, ("min_x", "min_y", "max_x", "max_y"))
+    def _hit(self, window) -> Column:
+        return g.boxes_intersect(window, BOX)
 
     def point_lookup(self, qx: float, qy: float, distinct: bool = False) -> DataFrame:
-        held = g.box_contains_point("min_x", "min_y", "max_x", "max_y", qx, qy)
-        return lookup.point_lookup(self._prune(self.cells.filter(held)), qx, qy, distinct).drop("cell_id")
+        held = self.cells.filter(g.box_contains_point(*BOX, qx, qy))
+        return lookup.point_lookup(self._prune(held), qx, qy, distinct).drop("cell_id")
 
     def range_query(self, window: tuple[float, float, float, float]) -> DataFrame:
         return lookup.range_query(self._prune(self.cells.filter(self._hit(window))), window).drop("cell_id")
 
     def range_count(self, window: tuple[float, float, float, float]) -> DataFrame:
         """Whole cells are counted from the cells table; only border cells are read."""
-        inside = g.box_contains_box(window, ("min_x", "min_y", "max_x", "max_y"))
-        hit = self.cells.filter(self._hit(window))
-        whole = hit.filter(inside).select("n")
-        border = lookup.range_query(self._prune(hit.filter(~inside)), window).agg(F.count(F.lit(1)).alias("n"))
-        return whole.unionByName(border).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+        inside = g.box_contains_box(window, BOX)
+        proper = F.lit(window[0] <= window[2] and window[1] <= window[3])
+        hit = self.cells.filter(self._hit(window) & proper).select("cell_id", "n", inside.alias("whole"))
+        border = lookup.range_query(self._prune(hit.filter(~F.col("whole"))), window)
+        if self.is_local:
+            known = sum(r["n"] for r in hit.filter("whole").collect())
+            return border.agg((F.count(F.lit(1)) + F.lit(known)).cast("bigint").alias("n"))
+        parts = hit.filter("whole").select("n").unionByName(border.agg(F.count(F.lit(1)).alias("n")))
+        return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
 
     def circle_query(self, cx: float, cy: float, r: float) -> DataFrame:
-        near = g.box_min_distance(("min_x", "min_y", "max_x", "max_y"), cx, cy) <= F.lit(float(r))
-        return lookup.circle_query(self._prune(self.cells.filter(near)), cx, cy, r).drop("cell_id")
+        near = self.cells.filter(g.box_min_distance(BOX, cx, cy) <= F.lit(float(r)))
+        return lookup.circle_query(self._prune(near), cx, cy, r).drop("cell_id")
 
     def knn(self, qx: float, qy: float, k: int) -> DataFrame:
         """Exact kNN that reads only cells that can hold a result.
 
         Cells by farthest corner give a radius that surely covers k points; cells that begin beyond it are out.
         """
-        return nearest.knn(self._prune(self.knn_cells(qx, qy, k)), qx, qy, k).drop("cell_id")
-
-    def knn_cells(self, qx: float, qy: float, k: int) -> DataFrame:
-        box = ("min_x", "min_y", "max_x", "max_y")
         ranged = self.cells.select(
-            "cell_id", "n", g.box_min_distance(box, qx, qy).alias("near"), g.box_max_distance(box, qx, qy).alias("far")
+            "cell_id", "n", g.box_min_distance(BOX, qx, qy).alias("near"), g.box_max_distance(BOX, qx, qy).alias("far")
         )
-        return nearest.cells_within_reach(ranged, k)
+        if not self.is_local:
+            return nearest.knn(self._prune(nearest.cells_within_reach(ranged, k)), qx, qy, k).drop("cell_id")
+        rows = sorted(ranged.collect(), key=lambda r: r["far"])
+        held, reach = 0, math.inf
+        for r in rows:
+            held += r["n"]
+            if held >= k:
+                reach = r["far"]
+                break
+        within = ranged.filter(F.col("near") <= F.lit(reach)).select("cell_id")
+        kept = self._keep([r["cell_id"] for r in rows if r["near"] <= reach], within)
+        return nearest.knn(kept, qx, qy, k).drop("cell_id")
 
     def pruning_report(self, window: tuple[float, float, float, float]) -> DataFrame:
         return diagnostics.pruning_report(self.cells, window)

@@ -31,6 +31,7 @@ def layout(points, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("layout") / "kd")
     made = ClusteredPoints.write(cells.kd_tree_cells(points, 16), path, rows_per_file=300)
     made.path = path
+    assert made.is_local
     return made
 
 
@@ -81,3 +82,12 @@ def test_files_are_sorted_and_hot_cells_are_split(layout):
     per_folder = pd.Series([f.split("cell_id=")[1].split("/")[0] for f in files]).value_counts()
     assert per_folder.max() > 1
     assert max(pq.ParquetFile(f).metadata.num_rows for f in files) < N // 4
+
+
+def test_large_cell_tables_stay_distributed(points, layout, monkeypatch):
+    monkeypatch.setattr("terrafold.sources.layout.BROADCAST_ROWS", 1)
+    assert not layout.is_local
+    for window in WINDOWS:
+        assert layout.range_count(window).first()["n"] == lookup.range_query(points, window).count()
+    got = [r["id"] for r in layout.knn(51.0, 50.0, 10).collect()]
+    assert got == [r["id"] for r in nearest.knn(points, 51.0, 50.0, 10).collect()]
