@@ -47,7 +47,3 @@ def add_quad_number(
 def quad_text(number: Column, depth: int) -> Column:
     """The digit string of a quad number."""
     return F.lpad(F.conv(number.cast("string"), 10, 4), depth, "0")
-
-
-def quad_ancestor(number: Column, depth: int, level: int) -> Column:
-    return F.shiftright(number, 2 * (depth - level))

@@ -31,9 +31,9 @@ def default_cells(n: int, rows_per_cell: int = ROWS_PER_CELL) -> int:
     return max(MIN_CELLS, min(MAX_CELLS, math.ceil(n / rows_per_cell)))
 
 
-def bounded_sample(points: DataFrame, n: int, rows: int = SAMPLE_ROWS, seed: int = 42) -> DataFrame:
-    """All coordinates, or a seeded sample of about ``rows`` of them."""
-    source = points.select("x", "y")
+def bounded_sample(points: DataFrame, n: int, cells: int, seed: int = 42) -> DataFrame:
+    """All coordinates, or a seeded sample that still has 64 rows or more per wanted cell."""
+    rows, source = max(SAMPLE_ROWS, 64 * cells), points.select("x", "y")
     return source if n <= rows else source.sample(False, rows / n, seed)
 
 
@@ -83,8 +83,8 @@ class QuantileGrid:
         want = cells or default_cells(e.n)
         slices = max(1, round(math.sqrt(want)))
         rows = max(1, math.ceil(want / slices))
-        sample = bounded_sample(points, e.n)
-        cx = fit_cuts(sample, ["x"], slices, min(e.n, SAMPLE_ROWS))[0] if slices > 1 else Cuts(())
+        sample = bounded_sample(points, e.n, want)
+        cx = fit_cuts(points, ["x"], slices, e.n)[0] if slices > 1 else Cuts(())
         span = (e.height or 1.0) * 1.0000001
         staged = cls(cx, Cuts(()), e.min_y, span)._position(sample)
         marks = double_array(i / rows for i in range(1, rows))
@@ -226,8 +226,9 @@ class KdTree:
     ) -> KdTree:
         """Medians of a bounded sample by default; ``exact`` takes them from all rows, one pass per level."""
         e = ext or Extent.of(points)
-        depth = max(0, math.ceil(math.log2(max(1, cells or default_cells(e.n)))))
-        source = points.select("x", "y") if exact else written(bounded_sample(points, e.n, seed=seed), "kd-sample")
+        want = max(1, cells or default_cells(e.n))
+        depth = math.ceil(math.log2(want))
+        source = points.select("x", "y") if exact else written(bounded_sample(points, e.n, want, seed), "kd-sample")
         orders = {axis: RangeOrder.fit(source, [axis], e.n) for axis in "xy"[:depth]} if exact else {}
         splits: list[tuple[float, ...]] = []
         for level in range(depth):
@@ -308,7 +309,7 @@ def sort_tile_boxes(points: DataFrame, cells: int | None = None, ext: Extent | N
     e = ext or Extent.of(points)
     want = cells or default_cells(e.n)
     slices = max(1, math.ceil(math.sqrt(want)))
-    sample = bounded_sample(points, e.n).withColumn("id", F.xxhash64("x", "y"))
+    sample = bounded_sample(points, e.n, want).withColumn("id", F.xxhash64("x", "y"))
     tiled = sort_tiles(written(sample, "tile-sample"), slices, math.ceil(want / slices))
     return written(tile_boxes(tiled), "boxes")  # at most ``cells`` rows
 

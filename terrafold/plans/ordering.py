@@ -13,15 +13,16 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.literals import double_array, is_one_of
-
 ROWS_PER_BUCKET = 50_000
 MIN_BUCKETS = 4
-MAX_BUCKETS = 65_536
+MAX_BUCKETS = 16_384
+SAMPLES_PER_PART = 64
+MIN_SAMPLE = 20_000
 SAMPLE_SEED = 42
 
 
@@ -44,32 +45,39 @@ class Cuts:
     def splits(self) -> list[float]:
         return [-math.inf, *self.values, math.inf]
 
+    @property
+    def fences(self) -> Cuts:
+        """Only the cuts around heavy values: a value is heavy when it falls into an odd bucket of these."""
+        return Cuts(tuple(v for b in self.heavy for v in self.values[b - 1 : b + 1]))
+
     @classmethod
     def from_quantiles(cls, quantiles) -> Cuts:
         """Cuts from evenly spaced quantiles. A value drawn twice holds a whole share: it is fenced in."""
         finite = sorted(q for q in quantiles if math.isfinite(q))
         repeated = {a for a, b in zip(finite, finite[1:]) if a == b}
         values = sorted(set(finite) | {math.nextafter(v, math.inf) for v in repeated})
-        heavy = tuple(values.index(v) + 1 for v in sorted(repeated))
-        return cls(tuple(v for v in values if math.isfinite(v)), heavy)
+        at = {v: i + 1 for i, v in enumerate(values)}
+        return cls(tuple(values), tuple(at[v] for v in sorted(repeated)))
 
 
 def fit_quantiles(df: DataFrame, columns: list[str], parts: int, n: int, seed: int = SAMPLE_SEED) -> list[list[float]]:
-    """Evenly spaced quantiles of several columns in one pass over a sample of bounded size.
+    """Evenly spaced quantiles of several columns from one sample of bounded size.
 
-    Cuts only steer the distribution of work, never a result, so a sample is enough; it also bounds what the
-    final reducer of the quantile sketch has to merge.
+    Cuts only steer the distribution of work, never a result, so a sample is enough: SAMPLES_PER_PART values
+    per part and column, sorted on the driver, the way Spark finds the bounds of a range partitioning.
     """
-    wanted = max(1_000_000, 64 * parts)
-    source = df.select(*columns)
+    wanted = max(MIN_SAMPLE, SAMPLES_PER_PART * parts)
+    source = df.select(*[F.col(name).cast("double").alias(f"q{i}") for i, name in enumerate(columns)])
     if n > wanted:
         source = source.sample(False, wanted / n, seed)
-    marks = double_array(i / parts for i in range(1, parts))
-    row = source.agg(*[
-        F.percentile_approx(F.col(name).cast("double"), marks, F.lit(max(10_000, 16 * parts))).alias(f"q{i}")
-        for i, name in enumerate(columns)
-    ]).first()
-    return [[float(q) for q in row[f"q{i}"] or () if q is not None] for i in range(len(columns))]
+    drawn = source.toArrow()
+    out = []
+    for i in range(len(columns)):
+        values = drawn.column(f"q{i}").drop_null().to_numpy()
+        values = np.sort(values[~np.isnan(values)])
+        ranks = np.ceil(np.arange(1, parts) / parts * len(values)).astype(int) - 1
+        out.append([float(v) for v in values[np.maximum(ranks, 0)]] if len(values) else [])
+    return out
 
 
 def fit_cuts(df: DataFrame, columns: list[str], buckets: int, n: int) -> list[Cuts]:
@@ -120,14 +128,15 @@ class RangeOrder:
     def add(self, df: DataFrame) -> DataFrame:
         """Add the bucket columns; a level below a bucket of many values is -1."""
         d = self.depth
-        out = add_buckets(df, **{f"__b{i}": (self.columns[i], self.cuts[i]) for i in range(d)})
-        out = out.withColumns({f"__b{i}": F.coalesce(f"__b{i}", F.lit(-1)) for i in range(d)})  # nulls sort first
-        single: Column | None = None
+        places = {f"__b{i}": (self.columns[i], self.cuts[i]) for i in range(d)}
+        fences = {f"__h{i}": (self.columns[i], self.cuts[i].fences) for i in range(d - 1)}
+        out = add_buckets(df, **places, **fences)
+        staged = {"__b0": F.coalesce("__b0", F.lit(-1))}  # nulls sort first
+        single = F.lit(True)
         for i in range(1, d):
-            here = is_one_of(f"__b{i - 1}", self.cuts[i - 1].heavy)
-            single = here if single is None else single & here
-            out = out.withColumn(f"__b{i}", F.when(single, F.col(f"__b{i}")).otherwise(F.lit(-1)))
-        return out
+            single = single & (F.col(f"__h{i - 1}") % 2 == 1)
+            staged[f"__b{i}"] = F.coalesce(F.when(single, F.col(f"__b{i}")), F.lit(-1))
+        return out.withColumns(staged).drop(*fences)
 
 
 def running_total(

@@ -27,7 +27,7 @@ from terrafold.plans.session import bounded_broadcast, written
 POINTS_PER_CELL = 64
 MIN_CELL_BITS = 4
 MAX_CELL_BITS = 24
-MAX_AXIS_BITS = 16
+MAX_AXIS_BITS = 14
 STEP_BITS = 4  # bits of both axes together between two levels: about 16 children per node
 MAX_HOT_CELLS = 2_048
 MIN_HOT_ROWS = 100_000

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrafold.functions import geometry as g
 from terrafold.operators import distance, joins, lookup, nearest
 from terrafold.plans.ordering import number_rows
 from terrafold.registry import core
@@ -156,7 +157,7 @@ def topk_refine(spark, sf):
     w = core.windows(spark, sf)
     pairs = joins.window_join(core.index(spark, sf), w)
     mid = w.select("qid", ((F.col("min_x") + F.col("max_x")) / 2).alias("qx"), ((F.col("min_y") + F.col("max_y")) / 2).alias("qy"))
-    found = pairs.join(mid, "qid").withColumn("dist", nearest.g.distance("x", "y", "qx", "qy"))
+    found = pairs.join(mid, "qid").withColumn("dist", g.distance("x", "y", "qx", "qy"))
     return nearest.topk_refine(found, 5).select("qid", "id", r6("dist").alias("dist"), "rank")
 
 

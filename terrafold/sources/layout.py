@@ -42,9 +42,8 @@ def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PE
         keys = ["cell_id", "salt"]
     tasks = max(1, min(MAX_WRITE_TASKS, size["cells"] + (size["n"] or 0) // rows_per_file))
     # the writer groups by cell_id, so the order must begin with it
-    out.repartition(tasks, *keys).sortWithinPartitions("cell_id", "y").drop("salt").write.partitionBy("cell_id").parquet(
-        f"{path}/points"
-    )
+    placed = lookup.sort_within_cells(out.repartition(tasks, *keys)).drop("salt")
+    placed.write.partitionBy("cell_id").parquet(f"{path}/points")
 
 
 @dataclass

@@ -107,6 +107,8 @@ def test_quantile_profile_counts_outliers(spark):
     df = spark.createDataFrame([(i, float(i), 0.0) for i in range(1, 100)] + [(1000, 1e6, 0.0)], SCHEMA)
     r = profile.quantile_profile(df, "x").first()
     assert r["median"] == 50.5 and r["n_outliers"] == 1
+    rough = profile.approximate_quantiles(df, "x", [0.25, 0.5]).first()["quantiles"]
+    assert rough == [25.0, 50.0]
 
 
 def test_histogram_closes_last_bin(spark):
