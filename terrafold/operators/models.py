@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ MAX_ERROR = 32
 KEYS_PER_CHUNK = 100_000
 ERROR_LADDER = tuple(float(2**i) for i in range(0, 31))
 
+# The fit functions travel to the executors by value, so this package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def cdf(points: DataFrame, key: str = "y", cell: str = "cell_id", n: int | None = None) -> DataFrame:
     """Rows (cell, key, rank): 0-based rank of the last occurrence of each distinct key in its cell."""

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from terrafold.operators import models
@@ -23,6 +27,18 @@ def test_corridor_keeps_its_bound(steps, error):
     assert np.abs(np.interp(keys, keys[at], ranks[at]) - ranks).max() <= error + 1e-6
 
 
+def test_fit_needs_no_package_on_the_workers(tmp_path):
+    blob = tmp_path / "fit.bin"
+    blob.write_bytes(cloudpickle.dumps(models.corridor))
+    code = (
+        "import pickle, sys, numpy as np; f = pickle.load(open(sys.argv[1], 'rb')); "
+        "assert not any(m.startswith('terrafold') for m in sys.modules); "
+        "print(list(map(int, f(np.arange(4.0), np.array([0.0, 1, 2, 9]), 0.0))))"
+    )
+    run = subprocess.run([sys.executable, "-c", code, str(blob)], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert run.stdout.strip() == "[0, 2, 3]", run.stderr
+
+
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.default_rng(2)
