@@ -71,9 +71,11 @@ def small_cell_ratio(cells: DataFrame, threshold: int = SMALL_CELL) -> DataFrame
 
 
 def loss_check(points: DataFrame, assigned: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Rows before and after cell assignment; rows without a cell count as lost."""
-    after = assigned.agg(F.count(key).alias("n_after"))
-    counted = points.agg(F.count(F.lit(1)).alias("n_before")).withColumn("n_after", after.scalar())
+    """Rows before and after cell assignment; rows without a cell count as lost, rows in cell -1 as unplaced."""
+    unplaced = F.count_if(F.col(key).cast("string") == "-1")
+    after = assigned.agg(F.struct(F.count(key).alias("n"), unplaced.alias("u")).alias("after")).scalar()
+    counted = points.agg(F.count(F.lit(1)).alias("n_before")).withColumn("__a", after)
+    counted = counted.withColumns({"n_after": F.col("__a.n"), "n_unplaced": F.col("__a.u")}).drop("__a")
     return counted.withColumn("n_lost", F.col("n_before") - F.col("n_after"))
 
 

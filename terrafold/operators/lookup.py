@@ -23,11 +23,11 @@ def point_exists(points: DataFrame, qx: float, qy: float) -> DataFrame:
 def points_exist(points: DataFrame, probes: DataFrame, key: str = "qid") -> DataFrame:
     """Batch form: probes (key, qx, qy) with a ``found`` flag.
 
-    The equi-join may broadcast the probes; hits are de-duplicated before they are shuffled.
+    Places are made distinct first, with partial sums, so many points and many probes at one place never multiply.
     """
-    same = g.same_point("x", "y", "qx", "qy")
-    hits = points.select("x", "y").join(probes, same).select(key).distinct().withColumn("found", F.lit(True))
-    return probes.join(hits, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    places = points.select(F.col("x").alias("__x"), F.col("y").alias("__y")).distinct().withColumn("found", F.lit(True))
+    joined = probes.join(places, g.same_point("__x", "__y", "qx", "qy"), "left").drop("__x", "__y")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def point_lookup_eps(

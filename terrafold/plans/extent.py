@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 
 def extent(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """One row: n, min_x, min_y, max_x, max_y. An empty input gives n = 0 and nulls."""
+    """One row: n, min_x, min_y, max_x, max_y. An empty input gives n = 0 and nulls; NaN counts as missing."""
+
+    def known(name: str):
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+
     return points.agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(x).alias("min_x"),
-        F.min(y).alias("min_y"),
-        F.max(x).alias("max_x"),
-        F.max(y).alias("max_y"),
+        F.min(known(x)).alias("min_x"),
+        F.min(known(y)).alias("min_y"),
+        F.max(known(x)).alias("max_x"),
+        F.max(known(y)).alias("max_y"),
     )
 
 

@@ -163,12 +163,19 @@ def running_total(
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         staged.withColumn("__l", F.sum("__v").over(inside))
-        .join(offsets, keys)
+        .transform(_join_groups, offsets, keys)
         .withColumn(name, F.col("__l") + F.col("__o"))
         .drop("__v", "__l", "__o", *ranges.names)
     )
 
 
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on ``keys`` with null equal to null, so that a null group stays a group."""
+    other = {k: f"__g_{k}" for k in keys}
+    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`{v}`")) for k, v in other.items()])
+    return rows.join(groups.withColumnsRenamed(other), on).drop(*other.values())
+
+
 def number_rows(
     df: DataFrame,
     order: list[str],
@@ -216,7 +223,7 @@ def exact_quantiles(
     })
     needed = totals.filter(wanted(F.col("__o"), F.col("__o") + F.col("__t"))).drop("__t")
     inside = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = staged.join(needed, keys).withColumn("__cum", F.col("__o") + F.sum("__n").over(inside))
+    rows = _join_groups(staged, needed, keys).withColumn("__cum", F.col("__o") + F.sum("__n").over(inside))
 
     def holds(position: Column) -> Column:
         """Is this 0-based rank one of the ranks of this row's value?"""

@@ -280,7 +280,7 @@ def small_cell_ratio(spark, sf):
     return diagnostics.small_cell_ratio(_cells(spark, sf)).withColumn("ratio", r6("ratio"))
 
 
-@query("loss_check", f"WITH {PTS} SELECT count(*) AS n_before, count(*) AS n_after, CAST(0 AS BIGINT) AS n_lost FROM pts")
+@query("loss_check", f"WITH {PTS} SELECT count(*) AS n_before, count(*) AS n_after, CAST(0 AS BIGINT) AS n_unplaced, CAST(0 AS BIGINT) AS n_lost FROM pts")
 def loss_check(spark, sf):
     return diagnostics.loss_check(core.pts(spark, sf), core.grid_assigned(spark, sf, 20))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.plans.ordering import number_rows
 from terrafold.registry import core
 from terrafold.registry.core import EXT, GEO, POLYS, PTS, WINDOWS, query
 from terrafold.sources.readers import rings_from_vertices
@@ -108,7 +109,8 @@ def sphere_functions(spark, sf):
 
 @query(
     "lexicographic_first",
-    f"WITH {PTS} SELECT id, x, y FROM pts ORDER BY x, y, id LIMIT 100",
+    f"WITH {PTS} SELECT id, x, y, row_number() OVER (ORDER BY x, y, id) - 1 AS position FROM pts",
 )
 def lexicographic_first(spark, sf):
-    return core.pts(spark, sf).orderBy(g.point(), "id").limit(100)
+    """Every row with its place in the order, without a window over the whole table."""
+    return number_rows(core.pts(spark, sf), ["x", "y", "id"], "position")

@@ -221,6 +221,52 @@ def sample_points_hashed(spark, sf):
     return sampling.sample_points(core.pts(spark, sf), 200, seed=42)
 
 
+def _sample_check(name: str) -> str:
+    return f"SELECT '{name}' AS sample, true AS in_bounds, true AS subset, true AS repeats"
+
+
+def _checked_sample(spark, sf, name, take, low, high):
+    """Size within bounds, rows of the table only, and the same rows again, in one row."""
+    ids = core.pts(spark, sf).select("id")
+    first, again = (take(core.pts(spark, sf)).select("id") for _ in range(2))
+    n = first.count()
+    foreign = first.join(ids, "id", "left_anti").count()
+    return ids.agg(
+        F.lit(name).alias("sample"),
+        (F.lit(n) >= F.floor(F.count(F.lit(1)) * low)) & (F.lit(n) <= F.ceil(F.count(F.lit(1)) * high)),
+        F.lit(foreign == 0), F.lit(first.exceptAll(again).count() == 0 == again.exceptAll(first).count()),
+    ).toDF("sample", "in_bounds", "subset", "repeats")
+
+
+@query("sample_fraction_check", _sample_check("fraction"))
+def sample_fraction_check(spark, sf):
+    return _checked_sample(spark, sf, "fraction", lambda p: sampling.sample_fraction(p, 0.1, seed=42), 0.05, 0.15)
+
+
+@query("sample_points_check", _sample_check("points"))
+def sample_points_check(spark, sf):
+    return _checked_sample(spark, sf, "points", lambda p: sampling.sample_points(p, 200, seed=42), 0.0, 1.0)
+
+
+@query(
+    "random_windows_check",
+    f"WITH {PTS} SELECT CAST(count(*) // 100 AS BIGINT) AS n, true AS in_extent, true AS repeats FROM pts",
+)
+def random_windows_check(spark, sf):
+    """Window centres lie in the extent of the points, as many as asked for, the same in every run."""
+    e = core.ext(spark, sf)
+    first, again = random_windows(spark, sf), random_windows(spark, sf)
+    cx, cy = (F.col("min_x") + F.col("max_x")) / 2, (F.col("min_y") + F.col("max_y")) / 2
+    boxes = ["min_x", "min_y", "max_x", "max_y"]
+    same = first.select(*boxes).exceptAll(again.select(*boxes)).count() == 0
+    slack = 1e-6
+    return first.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and(cx.between(e.min_x - slack, e.max_x + slack) & cy.between(e.min_y - slack, e.max_y + slack)).alias("in_extent"),
+        F.lit(same).alias("repeats"),
+    )
+
+
 @query("sample_fraction")
 def sample_fraction(spark, sf):
     return sampling.sample_fraction(core.pts(spark, sf), 0.1, seed=42)

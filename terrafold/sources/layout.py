@@ -21,13 +21,12 @@ from terrafold.plans.session import BROADCAST_ROWS, bounded_broadcast, local_cop
 
 ROWS_PER_FILE = 5_000_000
 MAX_LITERAL_CELLS = 1_000
-MAX_WRITE_TASKS = 50_000
 
 
 def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Write points that carry ``cell_id``. A cell above ``rows_per_file`` is spread over several tasks."""
     cells = diagnostics.cells_table(assigned)
-    cells.coalesce(1).write.parquet(f"{path}/cells")
+    cells.write.parquet(f"{path}/cells")
     spark = assigned.sparkSession
     stored = spark.read.parquet(f"{path}/cells")
     size = stored.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.max("n").alias("max_n")).first()
@@ -40,7 +39,7 @@ def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PE
             "salt", F.pmod(F.xxhash64("id", "x", "y"), F.coalesce("splits", F.lit(1)))
         ).drop("splits")
         keys = ["cell_id", "salt"]
-    tasks = max(1, min(MAX_WRITE_TASKS, size["cells"] + (size["n"] or 0) // rows_per_file))
+    tasks = max(1, size["cells"] + (size["n"] or 0) // rows_per_file)
     # the writer groups by cell_id, so the order must begin with it
     placed = lookup.sort_within_cells(out.repartition(tasks, *keys)).drop("salt")
     placed.write.partitionBy("cell_id").parquet(f"{path}/points")
@@ -71,12 +70,13 @@ class ClusteredPoints:
         return self.n_cells <= BROADCAST_ROWS
 
     def _prune(self, cells: DataFrame) -> DataFrame:
-        """Keep the points of these cells: a literal partition filter when they are few, else a semi join."""
+        """Keep the points of these cells: a literal partition filter when the cells table is local or the hits
+        are few, else a semi join with the stored cells table, which prunes folders at run time."""
         ids = cells.select("cell_id")
         return self._keep([r[0] for r in (ids if self.is_local else ids.limit(MAX_LITERAL_CELLS + 1)).collect()], ids)
 
     def _keep(self, ids: list[int], cells: DataFrame) -> DataFrame:
-        if len(ids) <= MAX_LITERAL_CELLS:
+        if self.is_local or len(ids) <= MAX_LITERAL_CELLS:
             return self.points.filter(is_one_of("cell_id", ids))
         return self.points.join(bounded_broadcast(cells, self.n_cells), "cell_id", "left_semi")
 

@@ -20,7 +20,8 @@ LOG_BAD_RUN = r"SKIPPED|FAILED"
 
 
 def _number(value: Column, strict: bool) -> Column:
-    return value.cast("double") if strict else value.try_cast("double")
+    number = value.try_cast("double")
+    return F.coalesce(number, F.raise_error(F.lit("a row without a number")).cast("double")) if strict else number
 
 
 def read_points_csv(

@@ -14,8 +14,10 @@ def read_point_stream(spark: SparkSession, folder: str, schema: T.StructType, gl
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
 
-def run_to_files(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame], timeout: int = 600) -> DataFrame:
-    """Process everything available through a stateless step into a Parquet folder and return that folder."""
+def run_to_files(stream: DataFrame, path: str, step: Callable[[DataFrame], DataFrame], timeout: int | None = None) -> DataFrame:
+    """Process everything available through a stateless step into a Parquet folder and return that folder.
+
+    ``timeout`` in seconds stops a stream that takes longer; by default there is no limit."""
     out = step(stream)
     query = (
         out.writeStream.format("parquet")
@@ -24,7 +26,8 @@ def run_to_files(stream: DataFrame, path: str, step: Callable[[DataFrame], DataF
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
+    finished = query.awaitTermination() is None if timeout is None else query.awaitTermination(timeout)
+    if not finished:
         query.stop()
         raise TimeoutError("stream did not finish in time")
     return stream.sparkSession.read.schema(out.schema).parquet(path)
