@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import lines, mixing, packing, simhash, toxicity
-from terrafold.llm.common import read
+from terrafold.llm.common import NOT_WHITE, read
 from terrafold.plans.session import written
 
 # The classifier and the seeded fold have no SQL form; tests compare the stages with brute force.
@@ -32,7 +32,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A document that keeps no line but empty ones goes, unless it came in that way."""
     out = lines.line_dedup(docs)
-    blank = F.length(F.trim("text")) == 0
+    blank = ~F.col("text").rlike(NOT_WHITE)
     kept = out.filter(~(blank & (F.col("n_dropped") > 0)))
     return kept.select(*[(F.length("text").cast("bigint") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from collections import defaultdict
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame

@@ -34,7 +34,7 @@ def test_toxicity(spark, stages, sf):
 
 def test_lines(stages):
     before, after, *_ = stages[1]
-    want = {i: t for i, _, n, t in brute_lines([(r["doc_id"], r["text"]) for r in before]) if t.strip(" ") or not n}
+    want = {i: t for i, _, n, t in brute_lines([(r["doc_id"], r["text"]) for r in before]) if t.strip(" \t\n\r\x0b\f") or not n}
     assert {r["doc_id"]: r["text"] for r in after} == want
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
