@@ -25,29 +25,37 @@ def _window_pairs(index: PointIndex, windows: DataFrame, key: str, settle: bool)
             .otherwise(BORDER)
         )
 
-    return index.stored(index.descend(_named_windows(windows, key).filter(proper), state, settle))
+    # a window listed twice under one key is one window
+    return index.stored(index.descend(_named_windows(windows, key).filter(proper).distinct(), state, settle))
 
 
 def window_join(index: PointIndex, windows: DataFrame, key: str = "qid") -> DataFrame:
     """All (window key, point) pairs with the point in the closed window."""
     pairs = _window_pairs(index, windows, key, settle=False)
     inside = F.col("covered") | g.box_contains_point(*WINDOW, "x", "y")
-    return index.join_points(pairs, inside).drop(*WINDOW, "covered", "n", "bx", "by")
+    return index.join_points(pairs, inside).drop(*WINDOW, "covered", "n")
 
 
-def _counts(index: PointIndex, pairs: DataFrame, keys: DataFrame, key: str, inside: Column) -> DataFrame:
-    """Whole nodes count from the pyramid, border cells from their points; keys without points get 0."""
-    whole = pairs.filter("covered").select(key, F.col("n").alias("n"))
+def _found(index: PointIndex, pairs: DataFrame, keys: list[str], inside: Column) -> DataFrame:
+    """Rows (keys, n): whole nodes count from the pyramid, border cells from their points."""
+    whole = pairs.filter("covered").select(*keys, F.col("n").alias("n"))
     border = index.join_points(pairs.filter(~F.col("covered")).drop("n"), inside)
-    tested = border.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    found = whole.unionByName(tested).groupBy(key).agg(F.sum("n").alias("n"))
-    return keys.join(found, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    tested = border.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return whole.unionByName(tested).groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def _or_zero(n: str = "n") -> Column:
+    return F.coalesce(n, F.lit(0)).cast("bigint")
 
 
 def window_counts(index: PointIndex, windows: DataFrame, key: str = "qid") -> DataFrame:
-    """Number of points per window, for all windows in one job; empty windows stay with 0."""
+    """Number of points per window, for all windows in one job; empty windows stay with 0.
+
+    Every row of ``windows`` gets the count of its own box, also where rows repeat a key."""
     pairs = _window_pairs(index, windows, key, settle=True)
-    return _counts(index, pairs, windows, key, g.box_contains_point(*WINDOW, "x", "y"))
+    found = _found(index, pairs, [key, *WINDOW], g.box_contains_point(*WINDOW, "x", "y"))
+    named = found.withColumnsRenamed(dict(zip(WINDOW, BOX)))
+    return windows.drop("n").join(named, [key, *BOX], "left").select(*[c for c in windows.columns if c != "n"], _or_zero().alias("n"))
 
 
 def window_selectivity(index: PointIndex, windows: DataFrame, key: str = "qid") -> DataFrame:
@@ -107,12 +115,13 @@ def _in_polygon() -> Column:
 def polygon_join(index: PointIndex, polygons: DataFrame, key: str = "poly_id") -> DataFrame:
     """All (polygon, point) pairs with the point inside by the even-odd rule."""
     joined = index.join_points(_polygon_pairs(index, polygons, key, settle=False), _in_polygon())
-    return joined.drop(*WINDOW, "edges", "covered", "n", "bx", "by")
+    return joined.drop(*WINDOW, "edges", "covered", "n")
 
 
 def polygon_counts(index: PointIndex, polygons: DataFrame, key: str = "poly_id") -> DataFrame:
     pairs = _polygon_pairs(index, polygons, key, settle=True)
-    return _counts(index, pairs, polygons.select(key), key, _in_polygon())
+    found = _found(index, pairs, [key], _in_polygon())
+    return polygons.select(key).join(found, key, "left").withColumn("n", _or_zero())
 
 
 def polygon_join_by_edges(index: PointIndex, edges: DataFrame, key: str = "poly_id") -> DataFrame:
@@ -144,4 +153,4 @@ def points_in_no_polygon(index: PointIndex, polygons: DataFrame) -> DataFrame:
 
 def _by_membership(index: PointIndex, polygons: DataFrame, how: str) -> DataFrame:
     pairs = _polygon_pairs(index, polygons, "poly_id", settle=False).drop("poly_id", "n")
-    return index.join_points(pairs, _in_polygon(), how).drop("bx", "by")
+    return index.join_points(pairs, _in_polygon(), how)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
 from terrafold.operators.prepare import drop_missing
-from terrafold.plans.pyramid import BOX, PointIndex
+from terrafold.plans.pyramid import BOX, NODE, PointIndex
 
 
 def _positive(k: int) -> int:
@@ -69,12 +69,12 @@ def knn_join(index: PointIndex, queries: DataFrame, k: int, key: str = "qid") ->
     ordinary, single = index.split_single_locations()
     if single is not None:
         # points of one location differ only by id: the k smallest ids are all that can ever be returned
-        per_place = Window.partitionBy("bx", "by").orderBy("id")
+        per_place = Window.partitionBy(NODE, "bx", "by").orderBy("id")
         few = single.withColumn("__r", F.row_number().over(per_place)).filter(F.col("__r") <= k).drop("__r")
         ordinary = ordinary.unionByName(few)
     within = g.distance("x", "y", "qx", "qy") <= F.col("reach")
     candidates = index.join_points(index.stored(frontier), within, points=ordinary)
-    candidates = candidates.withColumn("dist", g.distance("x", "y", "qx", "qy")).drop("bx", "by", "reach", "qx", "qy")
+    candidates = candidates.withColumn("dist", g.distance("x", "y", "qx", "qy")).drop("reach", "qx", "qy")
     return topk_refine(candidates, k, key)
 
 

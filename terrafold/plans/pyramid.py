@@ -4,6 +4,8 @@
   value that holds more than one share of its axis is fenced into a bucket of its own, so a cell stays within
   one share of the rows unless its points are one single location.
 * The pyramid keeps count and tight bounding box per cell and for coarser levels above.
+* Points are stored once, in folders by a coarse node and sorted by cell inside them. A batch reads only the
+  folders, and by Parquet statistics the row groups, of cells that occur in its (query, cell) pairs.
 * Batches of windows, polygons or query points walk the pyramid from the top with one equi-join per level.
   Only pairs that can still matter survive a level, so no cross join and no range join is planned, and a node
   that lies wholly inside a window is settled by its count without reading its points.
@@ -13,8 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,13 @@ MIN_CELL_BITS = 4
 MAX_CELL_BITS = 24
 MAX_AXIS_BITS = 14
 STEP_BITS = 4  # bits of both axes together between two levels: about 16 children per node
-MAX_HOT_CELLS = 2_048
-MIN_HOT_ROWS = 100_000
-SPREAD_ROWS = 5_000_000
+HOT_ROWS = 1_000_000  # a cell above this many rows is split, however many rows there are in all
+ROWS_PER_FOLDER = 1_000_000
+FOLDER_BITS = 16
+ROWS_PER_FILE = 5_000_000
+MIN_ROWS_PER_FILE = 10_000
+NODE, SALT, SINGLE = "__node", "__salt", "__single"
+PLACED = ("bx", "by", NODE, SALT, SINGLE)  # what the stored points carry beside their own columns
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 # States of a (query, node) pair.
@@ -123,17 +128,25 @@ def _tasks(spark: SparkSession) -> int:
 
 @dataclass
 class PointIndex:
-    """Points with columns (id, x, y, ...) plus rank cell (bx, by), and the written pyramid."""
+    """Stored points (id, x, y, ...) with their rank cell (bx, by), and the written pyramid.
+
+    ``__node`` is the folder, ``__salt`` the part of a split cell and ``__single`` marks the points of a split
+    cell that is one location. A point without coordinates has no cell and lies in a folder of its own.
+    """
 
     points: DataFrame
     grid: RankGrid
     pyramid: DataFrame  # level, nx, ny, n, box
     extent: Extent
     top: list[tuple]  # nodes of the coarsest level, at most 2 ** STEP_BITS
-    hot: list[tuple[int, int, int, bool]] = field(default_factory=list)  # bx, by, splits, single location
+    folder_level: int
+    hot: DataFrame | None = None  # hx, hy, splits, single: cells above the row limit
 
     @classmethod
-    def build(cls, points: DataFrame, per_cell: int = POINTS_PER_CELL, hot_rows: int | None = None) -> PointIndex:
+    def build(
+        cls, points: DataFrame, per_cell: int = POINTS_PER_CELL, hot_rows: int = HOT_ROWS,
+        rows_per_folder: int = ROWS_PER_FOLDER,
+    ) -> PointIndex:
         ext = Extent.of(points)
         grid = RankGrid.fit(points, ext.n, per_cell=per_cell)
         placed = grid.add(points)
@@ -145,18 +158,17 @@ class PointIndex:
         ])
         levels = cells.withColumn("p", F.explode(places)).groupBy("p.level", "p.nx", "p.ny")
         pyramid = written(levels.agg(*merged_box_aggregates()), "pyramid", partition_by="level")
-        limit = hot_rows or max(MIN_HOT_ROWS, ext.n // MAX_HOT_CELLS)
+        top = [(r["nx"], r["ny"], r["n"], *[r[b] for b in BOX]) for r in pyramid.filter("level = 0").collect()]
+
         finest = len(grid.shifts) - 1
         single = (F.col("min_x") == F.col("max_x")) & (F.col("min_y") == F.col("max_y"))
-        # both lists are bounded by construction: 2 ** STEP_BITS top nodes, and at most n / limit hot cells
-        wanted = pyramid.filter((F.col("level") == 0) | ((F.col("level") == finest) & (F.col("n") > limit)))
-        top, hot = [], []
-        for r in wanted.withColumn("single", single).collect():
-            if r["level"] == 0:
-                top.append((r["nx"], r["ny"], r["n"], *[r[b] for b in BOX]))
-            if r["level"] == finest and r["n"] > limit:
-                hot.append((r["nx"], r["ny"], math.ceil(r["n"] / limit), r["single"]))
-        return cls(placed, grid, pyramid, ext, sorted(top), sorted(hot))
+        crowded = pyramid.filter((F.col("level") == finest) & (F.col("n") > hot_rows)).select(
+            F.col("nx").alias("hx"), F.col("ny").alias("hy"),
+            F.ceil(F.col("n") / hot_rows).cast("int").alias("splits"), single.alias("single"),
+        )
+        hot = written(crowded, "hot-cells") if crowded.limit(1).count() else None
+        level = _folder_level(grid.shifts, ext.n, rows_per_folder)
+        return cls(_store(placed, grid, ext.n, level, hot), grid, pyramid, ext, sorted(top), level, hot)
 
     # ------------------------------------------------------------ levels
 
@@ -221,51 +233,86 @@ class PointIndex:
     # ------------------------------------------------------------ cell join
 
     def stored(self, pairs: DataFrame) -> DataFrame:
-        """Write (query, cell) pairs to shared storage.
+        """Write (query, cell) pairs to shared storage, spread evenly whatever cell they name.
 
         The join with the points is then planned from their measured size (a broadcast only when they are
         small, so that a large point table is never shuffled on a guess), no level of the descent runs twice,
-        and the even spread over files keeps the work that multiplies from here on parallel.
+        and the cells they name say what is read of the points.
         """
-        return written(pairs.repartition(_tasks(pairs.sparkSession), "nx", "ny"), "pairs")
+        return written(pairs.repartition(_tasks(pairs.sparkSession)), "pairs")
+
+    def touched(self, pairs: DataFrame, points: DataFrame) -> DataFrame:
+        """The points in folders and cell ranges that ``pairs`` name: partition filters and pushed comparisons.
+
+        What comes back to the driver is one row per folder, at most 2 ** FOLDER_BITS."""
+        node = _node("nx", "ny", self.grid.shifts[self.folder_level])
+        spans = pairs.groupBy(node.alias("node")).agg(
+            F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1")
+        ).collect()
+        if not spans:
+            return points.filter(F.lit(False))
+        low_x, high_x = min(r["x0"] for r in spans), max(r["x1"] for r in spans)
+        low_y, high_y = min(r["y0"] for r in spans), max(r["y1"] for r in spans)
+        here = is_one_of(NODE, sorted(r["node"] for r in spans))
+        return points.filter(here & F.col("bx").between(low_x, high_x) & F.col("by").between(low_y, high_y))
 
     def join_points(
         self, pairs: DataFrame, test: Column | None = None, how: str = "inner", points: DataFrame | None = None
     ) -> DataFrame:
         """Equi-join stored finest-level (query, cell) pairs with the points of those cells.
 
-        ``test`` is the exact predicate. ``how`` may be ``left_semi`` or ``left_anti``, which return points.
-        Cells above the hot limit are split by a hash of the point id; their query rows are repeated per split.
+        ``test`` is the exact predicate. ``how`` may be ``left_semi`` or ``left_anti``, which return points; an
+        anti join reads all points, since those of other cells belong to its result. The query rows of a split
+        cell are repeated for each of its parts.
         """
         pts = self.points if points is None else points
-        if self.extent.n <= SPREAD_ROWS:
-            # a small table often sits in one file, which one task would read and multiply alone
-            pts = pts.repartition(_tasks(pts.sparkSession), "id")
+        if how != "left_anti":
+            pts = self.touched(pairs, pts)
         left = pairs.withColumnsRenamed({"nx": "cell_x", "ny": "cell_y"})
         on = (F.col("bx") == F.col("cell_x")) & (F.col("by") == F.col("cell_y"))
-        if self.hot:
-            rows = [h[:3] for h in self.hot]  # bounded, see build
-            hot = pts.sparkSession.createDataFrame(rows, "hx int, hy int, splits int")
-            splits = F.coalesce("splits", F.lit(1))
-            left = left.join(
-                F.broadcast(hot), (F.col("cell_x") == F.col("hx")) & (F.col("cell_y") == F.col("hy")), "left"
-            ).withColumn("cell_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
-            pts = pts.join(
-                F.broadcast(hot), (F.col("bx") == F.col("hx")) & (F.col("by") == F.col("hy")), "left"
-            ).withColumn("salt", F.pmod(F.xxhash64("id"), splits).cast("int"))
-            left, pts = left.drop("hx", "hy", "splits"), pts.drop("hx", "hy", "splits")
-            on = on & (F.col("salt") == F.col("cell_salt"))
+        if self.hot is not None:
+            here = (F.col("cell_x") == F.col("hx")) & (F.col("cell_y") == F.col("hy"))
+            parts = F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)
+            left = left.join(self.hot.drop("single"), here, "left").withColumn("cell_salt", F.explode(parts))
+            left = left.drop("hx", "hy", "splits")
+            on = on & (F.col(SALT) == F.col("cell_salt"))
         if test is not None:
             on = on & test
-        return pts.join(left, on, how).drop("cell_x", "cell_y", "cell_salt", "salt")
+        return pts.join(left, on, how).drop("cell_x", "cell_y", "cell_salt", *PLACED)
 
     def split_single_locations(self) -> tuple[DataFrame, DataFrame | None]:
-        """(ordinary points, points of hot cells that are one single location or None)."""
-        singles = [(h[0], h[1]) for h in self.hot if h[3]]
-        if not singles:
+        """(ordinary points, points of split cells that are one single location or None)."""
+        if self.hot is None:
             return self.points, None
-        by_x: dict[int, list[int]] = {}
-        for bx, by in singles:
-            by_x.setdefault(bx, []).append(by)
-        here = reduce(lambda a, b: a | b, [(F.col("bx") == bx) & is_one_of("by", bys) for bx, bys in by_x.items()])
-        return self.points.filter(~here), self.points.filter(here)
+        return self.points.filter(~F.col(SINGLE)), self.points.filter(SINGLE)
+
+
+def _node(bx: str, by: str, shift: tuple[int, int]) -> Column:
+    """Folder number of a cell; levels that make folders have at most FOLDER_BITS bits in all."""
+    return F.shiftright(bx, shift[0]) * 2**FOLDER_BITS + F.shiftright(by, shift[1])
+
+
+def _folder_level(shifts: tuple[tuple[int, int], ...], n: int, rows_per_folder: int) -> int:
+    """The finest level whose nodes hold ``rows_per_folder`` rows on average."""
+    level = 0
+    while level + 1 < len(shifts) and STEP_BITS * (level + 2) <= FOLDER_BITS and n >= rows_per_folder * 2 ** (STEP_BITS * (level + 2)):
+        level += 1
+    return level
+
+
+def _store(placed: DataFrame, grid: RankGrid, n: int, level: int, hot: DataFrame | None) -> DataFrame:
+    """Write points in folders by node. Ranges of (node, finer nodes, id) are even even where a cell is hot,
+    so no task takes more than its share, and a file holds neighbouring cells."""
+    out = placed.withColumn(NODE, _node("bx", "by", grid.shifts[level]))
+    if hot is None:
+        out = out.withColumns({SALT: F.lit(0), SINGLE: F.lit(False)})
+    else:
+        out = out.join(hot, (F.col("bx") == F.col("hx")) & (F.col("by") == F.col("hy")), "left").withColumns({
+            SALT: F.pmod(F.xxhash64("id"), F.coalesce("splits", F.lit(1))).cast("int"),
+            SINGLE: F.coalesce("single", F.lit(False)),
+        }).drop("hx", "hy", "splits", "single")
+    inner = [k for sx, sy in grid.shifts[level + 1 :] for k in (F.shiftright("bx", sx), F.shiftright("by", sy))]
+    files = max(1, math.ceil(n / ROWS_PER_FILE), min(_tasks(placed.sparkSession), math.ceil(n / MIN_ROWS_PER_FILE)))
+    keys = [F.col(NODE), *inner, F.col("bx"), F.col("by")]
+    spread = out.repartitionByRange(files, *keys, F.col("id")).sortWithinPartitions(*keys)
+    return written(spread, "points", partition_by=NODE)

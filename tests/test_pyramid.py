@@ -31,8 +31,8 @@ def points(spark, data):
 
 @pytest.fixture(scope="module", params=[None, 40], ids=["plain", "salted"])
 def index(request, points):
-    built = PointIndex.build(points, per_cell=8, hot_rows=request.param)
-    assert bool(built.hot) == (request.param is not None)
+    built = PointIndex.build(points, per_cell=8, **({"hot_rows": request.param} if request.param else {}))
+    assert (built.hot is not None) == (request.param is not None)
     return built
 
 
@@ -190,3 +190,37 @@ def test_nested_lists_are_bounded_and_whole(spark, index, data, shapes):
     nested = joins.nested_points(pairs, ids_per_list=100).collect()
     assert max(len(r["ids"]) for r in nested) <= 100
     assert sorted((r["poly_id"], i) for r in nested for i in r["ids"]) == sorted(brute_pairs(data))
+
+
+@pytest.mark.parametrize("per_folder", [1_000_000, 10], ids=["16 folders", "256 folders"])
+def test_one_window_reads_its_folders_only(spark, points, data, per_folder):
+    index = PointIndex.build(points, per_cell=8, rows_per_folder=per_folder)
+    box = (10.0, 25.0, 20.0, 45.0)
+    one = spark.createDataFrame([(1, *box)], "qid int, min_x double, min_y double, max_x double, max_y double")
+    found = joins.window_join(index, one)
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scan = next(part for part in plan.split("\n\n") if "Scan parquet" in part and "PartitionFilters" in part and "__node" in part)
+    assert "__node" in scan.split("PartitionFilters:")[1].split("\n")[0]
+    pushed = scan.split("PushedFilters:")[1].split("\n")[0]
+    assert "GreaterThanOrEqual(bx" in pushed and "LessThanOrEqual(by" in pushed
+    assert "hashpartitioning(bx" not in plan  # the points stay where they are
+    folders = {p.split("__node=")[1].split("/")[0] for p in index.points.inputFiles()}
+    read = {p.split("__node=")[1].split("/")[0] for p in index.touched(joins._window_pairs(index, one, "qid", False), index.points).inputFiles()}
+    assert index.folder_level == (1 if per_folder == 10 else 0) and len(folders) > 16 * index.folder_level and read <= folders
+    w = next(pd.DataFrame([(1, *box)], columns=["qid", "min_x", "min_y", "max_x", "max_y"]).itertuples())
+    assert sorted(r["id"] for r in found.collect()) == sorted(inside(data, w).id)
+
+
+def test_a_hot_cell_is_split_into_bounded_parts(index, data):
+    if index.hot is None:
+        return
+    parts = index.points.filter("bx IS NOT NULL").groupBy("bx", "by", "__salt").count()
+    assert parts.agg(F.max("count")).first()[0] < 3 * 40
+    assert index.points.filter("__single").count() >= len(data) // 3
+
+
+def test_windows_that_repeat_a_key_keep_their_own_counts(spark, index, data, boxes):
+    rows = [(1, 0.0, 0.0, 100.0, 50.0), (1, 0.0, 0.0, 100.0, 50.0), (1, 40.0, 20.0, 40.0, 20.0), (1, None, 0.0, 1.0, 1.0)]
+    asked = spark.createDataFrame(rows, "qid int, min_x double, min_y double, max_x double, max_y double")
+    got = sorted(r["n"] for r in joins.window_counts(index, asked).collect())
+    assert got == sorted([0, int(((data.x == 40) & (data.y == 20)).sum()), len(data), len(data)])
