@@ -31,9 +31,14 @@ def default_cells(n: int, rows_per_cell: int = ROWS_PER_CELL) -> int:
     return max(MIN_CELLS, min(MAX_CELLS, math.ceil(n / rows_per_cell)))
 
 
+def sample_rows(cells: int) -> int:
+    """Size of the samples that cuts are taken from: 64 rows or more per wanted cell."""
+    return max(SAMPLE_ROWS, 64 * cells)
+
+
 def bounded_sample(points: DataFrame, n: int, cells: int, seed: int = 42) -> DataFrame:
     """All coordinates, or a seeded sample that still has 64 rows or more per wanted cell."""
-    rows, source = max(SAMPLE_ROWS, 64 * cells), points.select("x", "y")
+    rows, source = sample_rows(cells), points.select("x", "y")
     return source if n <= rows else source.sample(False, rows / n, seed)
 
 
@@ -93,7 +98,7 @@ class QuantileGrid:
             if rows > 1 else []
         )  # one array per slice: fewer values than cells
         borders = [float(i) for i in range(1, cx.buckets)]
-        inner = [v for r in found for v in r["q"]]
+        inner = [v for r in found if r["q"] for v in r["q"]]  # missing coordinates have no quantiles
         return cls(cx, Cuts(tuple(sorted(set(borders + inner)))), e.min_y, span)
 
     def _position(self, points: DataFrame) -> DataFrame:
@@ -305,12 +310,18 @@ def tile_boxes(tiled: DataFrame) -> DataFrame:
 
 
 def sort_tile_boxes(points: DataFrame, cells: int | None = None, ext: Extent | None = None) -> DataFrame:
-    """Boxes of a sort-tile packing of a bounded sample."""
+    """Boxes of a sort-tile packing that cover all points with coordinates.
+
+    All rows are packed exactly up to the size of a bounded sample. Beyond it a sample only says where to cut:
+    x slices and y cuts inside each slice; the boxes are taken from all rows, so none is left outside."""
     e = ext or Extent.of(points)
     want = cells or default_cells(e.n)
+    if e.n > sample_rows(want):
+        known = points.filter(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull())
+        return written(tile_boxes(QuantileGrid.fit(known, want, e).assign(known)), "boxes")
     slices = max(1, math.ceil(math.sqrt(want)))
-    sample = bounded_sample(points, e.n, want).withColumn("id", F.xxhash64("x", "y"))
-    tiled = sort_tiles(written(sample, "tile-sample"), slices, math.ceil(want / slices))
+    rows = points.select("x", "y", F.xxhash64("x", "y").alias("id"))
+    tiled = sort_tiles(written(rows, "tile-rows"), slices, math.ceil(want / slices))
     return written(tile_boxes(tiled), "boxes")  # at most ``cells`` rows
 
 

@@ -137,3 +137,13 @@ def test_balance_counts_empty_cells(spark):
     assert flags == {0: False, 3: True}
     r = diagnostics.report(df, df, "demo", 4).first()
     assert r["n_lost"] == 0 and r["histogram"]["1-100"] == 2 and r["empty"] == 2
+
+
+def test_boxes_cut_from_a_sample_leave_no_point_outside(spark, monkeypatch):
+    monkeypatch.setattr(cells, "SAMPLE_ROWS", 500)
+    rows = [(i, float(i * 7919 % 10_007), float(i * 104_729 % 3_001)) for i in range(6_000)] + [(6_000, None, 1.0), (6_001, float("nan"), 1.0)]
+    points = spark.createDataFrame(rows, "id int, x double, y double")
+    boxes = cells.sort_tile_boxes(points, cells=25)
+    assert boxes.agg(F.sum("n"), F.count("box_id")).first() == (6_000, 25)
+    lost = cells.assign_to_boxes(points, boxes).filter("cell_id = -1")
+    assert sorted(r["id"] for r in lost.collect()) == [6_000, 6_001]
