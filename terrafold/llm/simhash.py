@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.llm.common import carried, map_texts, order_id
+from terrafold.llm.common import carried, map_texts, order_id, whole_text
 from terrafold.llm.components import components
 from terrafold.plans.session import written
 
@@ -19,6 +19,10 @@ BITS = 64
 SHINGLE = 3
 MAX_DISTANCE = 2
 SEGMENTS = 8
+# Near copies as the corpus pipeline takes them: fingerprints propose, shared five-word shingles decide.
+NEAR_DISTANCE = 5
+NEAR_WORDS = 5
+NEAR_SIMILARITY = 0.8
 # Keys that more fingerprints share are refined by the next segments of the ring.
 KEY_ROWS = 256
 HASHES_PER_BLOCK = 16_384
@@ -51,6 +55,19 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return map_texts(docs, start, "fp bigint")
 
 
+def shingle_set(text: str | None, words: int = NEAR_WORDS) -> np.ndarray:
+    """Distinct XXH64 hashes of the word shingles; fewer words: the whole sequence; none: no hash."""
+    import xxhash
+
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(tokens) <= words:
+        shingles = iter([b" ".join(tokens)] if tokens else [])
+    else:
+        shingles = map(b" ".join, zip(*[tokens[i:] for i in range(words)]))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype=np.uint64)
+    return np.unique(hashes).view(np.int64)
+
+
 def links(prints: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGMENTS, key_rows: int = KEY_ROWS) -> DataFrame:
     """All pairs (a, b) of distinct fingerprints ``fp`` that differ in 1 to ``distance`` bits.
 
@@ -104,12 +121,52 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGME
     return found.distinct()
 
 
-def classes(docs: DataFrame, words: int = SHINGLE, distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """``docs`` without ``text``, plus ``fp``, ``root`` (the class) and ``component_id``."""
-    clash = [c for c in docs.columns if c.lower() in ("fp", "root", "component_id")]
-    prints = written(fingerprints(docs.drop(*clash), words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(written(links(nodes, distance, segments), "simhash_links"))
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of fingerprints whose texts share at least ``similarity`` of their word shingles (Jaccard).
+
+    A fingerprint's text is that of its smallest document: ``nodes`` name it by ``first.id`` and ``first.copy``.
+    Only texts that occur in a pair are shingled, each once.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    chosen = written(nodes.join(ends, "fp", "left_semi").select("fp", "first.id", "first.copy"), "simhash_ends")
+    rows = docs.select(order_id().alias("id"), F.xxhash64(whole_text()).alias("copy"), "text")
+
+    def start():
+        return lambda texts: [[shingle_set(t, words) for t in texts]]
+
+    sets = map_texts(rows.join(chosen, ["id", "copy"]).select("fp", "text"), start, "shingles array<bigint>")
+    sets = written(sets.dropDuplicates(["fp"]), "simhash_sets")
+    a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("at_a"))
+    b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("at_b"))
+    shared = F.size(F.array_intersect("at_a", "at_b"))
+    enough = shared >= F.lit(similarity) * (F.size("at_a") + F.size("at_b") - shared)
+    return pairs.join(a, "a").join(b, "b").filter(enough).select("a", "b")
+
+
+def classes(
+    docs: DataFrame, words: int = SHINGLE, distance: int = MAX_DISTANCE, segments: int = SEGMENTS,
+    similar_words: int = NEAR_WORDS, similarity: float | None = None,
+) -> DataFrame:
+    """``docs`` without ``text``, plus ``fp``, ``root`` (the class) and ``component_id``.
+
+    With ``similarity`` a link counts only if the texts share that much of their ``similar_words`` shingles;
+    equal fingerprints need no such check.
+    """
+    clash = [c for c in docs.columns if c.lower() in ("fp", "root", "component_id", "__copy")]
+    docs = docs.drop(*clash)
+    if similarity is None:
+        prints = written(fingerprints(docs, words), "simhash")
+        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        found = written(links(nodes, distance, segments), "simhash_links")
+    else:
+        marked = docs.withColumn("__copy", F.xxhash64(whole_text()))
+        prints = written(fingerprints(marked, words), "simhash")
+        first = F.min(F.struct(order_id().alias("id"), F.col("__copy").alias("copy"))).alias("first")
+        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first), "simhash_nodes")
+        proposed = written(links(nodes, distance, segments), "simhash_proposed")
+        found = written(confirmed(proposed, docs, nodes, similar_words, similarity), "simhash_links")
+        prints = prints.drop("__copy")
+    roots = components(found)
     named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = written(named, "simhash_roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -259,7 +259,7 @@ def test_simhash_links_are_whole(spark):
     hot = rng.getrandbits(24) << 40
     prints |= {hot | rng.getrandbits(40) for _ in range(700)} | {hot | rng.getrandbits(10) for _ in range(300)}
     df = spark.createDataFrame([(signed(f),) for f in prints], "fp bigint")
-    for distance, segments in ((2, 8), (3, 16), (1, 4)):
+    for distance, segments in ((2, 8), (3, 16), (1, 4), (5, 8)):
         want = {tuple(sorted((signed(a), signed(b)))) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= distance}
         assert {tuple(sorted(map(int, r))) for r in simhash.links(df, distance, segments, key_rows=50).collect()} == want
 
@@ -277,6 +277,60 @@ def test_simhash_odd_rows(odd, clash, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def brute_similarity(a, b, words=5):
+    def sets(text):
+        w = (text or "").encode().lower().split()
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    a, b = sets(a), sets(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_near(texts, distance=5, similarity=0.8):
+    """Smallest id of the group of every id, by all pairs of fingerprints; texts is {id: text}."""
+    first, prints = {}, {i: brute_fingerprint(t) for i, t in texts.items()}
+    for i in sorted(prints):
+        first.setdefault(prints[i], i)
+    parent = {f: f for f in first}
+
+    def top(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    fs = np.array(sorted(first), dtype=np.uint64)
+    for k, a in enumerate(fs):
+        for b in fs[k + 1 :][np.bitwise_count(fs[k + 1 :] ^ a) <= distance]:
+            if brute_similarity(texts[first[int(a)]], texts[first[int(b)]]) >= similarity:
+                parent[top(int(b))] = top(int(a))
+    least = {}
+    for i, f in prints.items():
+        least[top(f)] = min(i, least.get(top(f), i))
+    return {i: least[top(f)] for i, f in prints.items()}
+
+
+def test_near_copies_by_shared_shingles(spark, odd, clash, empty):
+    """Edited copies of several lengths: fingerprints propose, shared five-word shingles decide."""
+    rng = random.Random(3)
+    texts, i = {}, 0
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 8, 60, 300]))]
+        for edits in (0, 0, 1, 2, 4, 8):
+            copy = base[:]
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            texts[i], i = " ".join(copy), i + 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    near = {"distance": simhash.NEAR_DISTANCE, "similarity": simhash.NEAR_SIMILARITY}
+    want = brute_near(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, **near).collect()}
+    assert got == want and len(set(want.values())) > 60
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs, **near).collect()) == sorted(set(want.values()))
+    stays = simhash.keep_one(clash, **near)
+    assert stays.columns == clash.columns and stays.count() == 8
+    assert simhash.near_duplicates(odd, **near).count() == len(ODD) and simhash.keep_one(empty, **near).count() == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
     random.Random(1).shuffle(chain)

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
-from test_llm_operators import brute_components, brute_fingerprint, brute_lines, check_packing, water_fill
+from test_llm_operators import brute_lines, brute_near, check_packing, water_fill
 
 
 @pytest.fixture(scope="module")
@@ -41,12 +41,8 @@ def test_lines(stages):
 
 def test_near_copies(stages):
     before, after, *_ = stages[2]
-    prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in before}
-    roots = brute_components(set(prints.values()))
-    least = {}
-    for i, f in prints.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
-    assert sorted(r["doc_id"] for r in after) == sorted(least.values())
+    want = set(brute_near({r["doc_id"]: r["text"] for r in before}).values())
+    assert sorted(r["doc_id"] for r in after) == sorted(want)
 
 
 def test_mixing(stages):
