@@ -25,6 +25,8 @@ NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 # Keys that more fingerprints share are refined by the next segments of the ring.
 KEY_ROWS = 256
+# Shorter first keys are shared by many fingerprints in any table, so they are always refined.
+LEAST_KEY_BITS = 16
 HASHES_PER_BLOCK = 16_384
 
 
@@ -79,7 +81,8 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGME
 
     A key that more than ``key_rows`` fingerprints share is refined: the next segments of the chain have a
     budget of one bit or more, so each member probes its own value and all values within that budget on a
-    longer key. That is exact; groups on the longer key hold at most 2^(bits left) fingerprints.
+    longer key. That is exact; groups on the longer key hold at most 2^(bits left) fingerprints. A first key of
+    less than ``LEAST_KEY_BITS`` bits is refined for all fingerprints, so the plan is the same at every size.
     """
     width = BITS // segments
     budget = [k * distance // segments for k in range(segments + 1)]
@@ -99,8 +102,9 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGME
         .withColumn("key", F.shiftrightunsigned("ring", BITS - key_bits))
     )
     ring = written(ring, "simhash_ring")
-    sizes = ring.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ring = written(ring.join(sizes, ["start", "key"]), "simhash_keys")
+    if key_bits >= LEAST_KEY_BITS:
+        sizes = ring.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        ring = written(ring.join(sizes, ["start", "key"]), "simhash_keys")
 
     def pairs(probe: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
         a, b = probe.alias("a"), rows.alias("b")
@@ -112,12 +116,17 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGME
             viable = viable & (F.bit_count(F.shiftrightunsigned(diff, BITS - k * width)) <= budget[k])
         return a.join(b, viable).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
-    light = ring.filter(F.col("n") <= key_rows)
-    heavy = ring.filter(F.col("n") > key_rows)
     short = F.shiftrightunsigned("ring", BITS - long_bits)
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << i).cast("bigint") for i in range(long_bits - key_bits)])
-    probes = heavy.withColumn("long", F.explode(F.transform(flips, lambda x: short.bitwiseXOR(x))))
-    found = pairs(light, light, ["start", "key"]).union(pairs(probes, heavy.withColumn("long", short), ["start", "long"]))
+
+    def refined(rows: DataFrame) -> DataFrame:
+        probes = rows.withColumn("long", F.explode(F.transform(flips, lambda x: short.bitwiseXOR(x))))
+        return pairs(probes, rows.withColumn("long", short), ["start", "long"])
+
+    if key_bits < LEAST_KEY_BITS:
+        return refined(ring).distinct()
+    light = ring.filter(F.col("n") <= key_rows)
+    found = pairs(light, light, ["start", "key"]).union(refined(ring.filter(F.col("n") > key_rows)))
     return found.distinct()
 
 
