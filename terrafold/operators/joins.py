@@ -105,7 +105,16 @@ def _polygon_pairs(index: PointIndex, polygons: DataFrame, key: str, settle: boo
             .otherwise(DISJOINT)
         )
 
-    return index.stored(index.descend(sides, state, settle))
+    def near(box) -> Column:
+        # a ray going right from a point of the box meets no other edge
+        return F.filter(
+            "edges",
+            lambda e: (F.least(e["y1"], e["y2"]) <= box[3])
+            & (F.greatest(e["y1"], e["y2"]) >= box[1])
+            & (F.greatest(e["x1"], e["x2"]) >= box[0]),
+        )
+
+    return index.stored(index.descend(sides, state, settle, {"edges": near}))
 
 
 def _in_polygon() -> Column:

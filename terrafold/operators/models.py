@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -17,7 +18,6 @@ from terrafold.plans.session import written
 MAX_ERROR = 32
 
 KEYS_PER_CHUNK = 100_000
-ERROR_LADDER = tuple(float(2**i) for i in range(0, 31))
 
 # The fit functions travel to the executors by value, so this package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -127,39 +127,52 @@ def fit_knots(
     )
 
 
-def fit_sizes(
-    model: DataFrame, errors: tuple[float, ...] = ERROR_LADDER, cell: str = "cell_id", chunk: int = KEYS_PER_CHUNK
-) -> DataFrame:
-    """Knots needed per cell for every error bound of a ladder: (cell, error, knots)."""
-    numbered = numbered_cdf(model, cell).withColumn("chunk", F.floor(F.col("key_no") / F.lit(chunk)).cast("bigint"))
-    cell_type = dict(model.dtypes)[cell]
-
-    def sizes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        keys, ranks = pdf["key"].to_numpy(float), pdf["rank"].to_numpy(float)
-        needed = [len(corridor(keys, ranks, e)) for e in errors]
-        return pd.DataFrame({cell: pdf[cell].iloc[0], "error": list(errors), "knots": needed})
+def smallest_fit(keys: np.ndarray, ranks: np.ndarray, max_knots: int) -> np.ndarray:
+    """Knots of the smallest error 2^i, found by bisection, that needs at most ``max_knots`` of them.
 
-    per_chunk = (
-        numbered.select(cell, "chunk", "key", "rank")
-        .groupBy(cell, "chunk")
-        .applyInPandas(sizes, f"{cell} {cell_type}, error double, knots bigint")
-    )
-    return per_chunk.groupBy(cell, "error").agg(F.sum("knots").alias("knots"))
+    An error of the whole rank span needs two knots, so there always is one."""
+    low, high = 0, max(0, math.ceil(math.log2(max(1.0, ranks[-1] - ranks[0]))))
+    best = corridor(keys, ranks, 2.0**high)
+    while low < high:
+        middle = (low + high) // 2
+        found = corridor(keys, ranks, 2.0**middle)
+        if len(found) <= max_knots:
+            high, best = middle, found
+        else:
+            low = middle + 1
+    return best
 
 
 def fit_within_size(
     model: DataFrame, max_knots: int, cell: str = "cell_id", chunk: int = KEYS_PER_CHUNK
 ) -> DataFrame:
-    """Fit every cell with the smallest error of the ladder that needs at most ``max_knots`` knots.
+    """Fit every cell with at most ``max_knots`` knots (two or more), however many keys it has.
 
-    Two knots per chunk are the least a fit can have; a cell of more than max_knots / 2 chunks gets that many.
+    Chunks of at most ``chunk`` keys are fitted to the size each; the knots that remain are numbered and fitted
+    again in chunks until a cell is one chunk, so a round divides the rows of a cell by chunk / max_knots and no
+    task holds more than a chunk. Knots lie on the curve, so the errors of the rounds add up.
     """
-    sizes = fit_sizes(model, cell=cell, chunk=chunk)
-    chosen = sizes.groupBy(cell).agg(
-        F.coalesce(F.min(F.when(F.col("knots") <= max_knots, F.col("error"))), F.max("error")).alias("error")
-    )
-    return fit_knots(model.join(chosen, cell), F.col("error"), cell, chunk)
+    if max_knots < 2 or chunk < 2 * max_knots:
+        raise ValueError("take at least two knots, and chunks of at least twice as many keys")
+    cell_type = dict(model.dtypes)[cell]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        at = smallest_fit(pdf["key"].to_numpy(float), pdf["rank"].to_numpy(float), max_knots)
+        return pdf.iloc[at][[cell, "chunk", "key", "rank"]]
+
+    knots = model
+    while True:
+        numbered = numbered_cdf(knots.select(cell, "key", "rank"), cell)
+        numbered = numbered.withColumn("chunk", F.floor(F.col("key_no") / F.lit(chunk)).cast("bigint"))
+        fitted = (
+            numbered.select(cell, "chunk", "key", "rank")
+            .groupBy(cell, "chunk")
+            .applyInPandas(fit, f"{cell} {cell_type}, chunk bigint, key double, rank bigint")
+        )
+        knots = stored(fitted, "knots")
+        if not knots.agg(F.max("chunk")).first()[0]:
+            return knots.select(cell, "key", "rank")
 
 
 # ---------------------------------------------------------------- estimates

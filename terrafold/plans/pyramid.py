@@ -195,20 +195,31 @@ class PointIndex:
 
     # ------------------------------------------------------------ descent
 
-    def descend(self, queries: DataFrame, state: Callable[[tuple[Column, ...]], Column], settle: bool) -> DataFrame:
+    def descend(
+        self, queries: DataFrame, state: Callable[[tuple[Column, ...]], Column], settle: bool,
+        clip: dict[str, Callable[[tuple[Column, ...]], Column]] | None = None,
+    ) -> DataFrame:
         """Pair every query with pyramid nodes that meet it.
 
         ``state`` classifies a query row against a node box as DISJOINT, BORDER or COVERED. Returns the query
         columns plus ``nx, ny, n, covered``. With ``settle`` a covered node of any level stays as it is (its
         count settles it) and the rest are cells of the finest level. Without, all rows are finest cells and
         ``covered`` only says that their points need no test.
+
+        ``clip`` gives for a query column the part of its value that matters in a node's box. It is applied at
+        every level to border pairs; a covered pair keeps an empty array.
         """
-        kept = queries.columns
+        clip = clip or {}
         box = tuple(F.col(f"node_{b}") for b in BOX)
+        border = F.col("state") == BORDER
+        kept = [
+            F.when(border, clip[c](box)).otherwise(F.array().cast(queries.schema[c].dataType)).alias(c) if c in clip else F.col(c)
+            for c in queries.columns
+        ]
         node = [F.col(f"node_{k}").alias(k) for k in ("nx", "ny", "n")]
         frontier = (
             queries.withColumn("node", F.explode(self.top_nodes()))
-            .select(*kept, "node.*")
+            .select(*queries.columns, "node.*")
             .withColumn("state", state(box))
             .filter(F.col("state") != DISJOINT)
             .select(*kept, *node, (F.col("state") == COVERED).alias("covered"))

@@ -95,3 +95,18 @@ def test_single_distinct_key(spark):
 def test_size_bound(model):
     knots = models.stored(models.fit_within_size(model, 10))
     assert models.model_size(knots, model).agg(F.max("knots")).first()[0] <= 10
+
+
+def test_size_bound_holds_over_many_chunks(spark, model):
+    """Chunks far smaller than a cell: the size holds, knots lie on the curve, first and last key stay."""
+    curve = {(r["cell_id"], r["key"]): r["rank"] for r in model.collect()}
+    for chunk in (50, 500):
+        knots = models.fit_within_size(model, 12, chunk=chunk).collect()
+        per_cell = {}
+        for r in knots:
+            assert curve[r["cell_id"], r["key"]] == r["rank"]
+            per_cell.setdefault(r["cell_id"], []).append(r["key"])
+        assert max(map(len, per_cell.values())) <= 12
+        for c in {c for c, _ in curve}:
+            keys = [k for d, k in curve if d == c]
+            assert min(per_cell[c]) == min(keys) and max(per_cell[c]) == max(keys)
