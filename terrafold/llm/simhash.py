@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,12 @@ SEGMENTS = 8
 NEAR_DISTANCE = 5
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
+# Distinct texts are searched in pairs of blocks of fingerprints, by four segments, with a radius that grows.
+RING = 4
+RADII = (3, 7)
+NODES_PER_BLOCK = 65_536
+PAIRS_PER_STEP = 1 << 20
+SKETCH_BITS = 512
 # Keys that more fingerprints share are refined by the next segments of the ring.
 KEY_ROWS = 256
 # Shorter first keys are shared by many fingerprints in any table, so they are always refined.
@@ -130,63 +138,180 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, segments: int = SEGME
     return found.distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts share at least ``similarity`` of their word shingles (Jaccard).
+def shingle_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles' counts in SKETCH_BITS buckets: two sketches differ in no more bits than their
+    sets differ in shingles, so a pair too far apart in it cannot be similar."""
+    buckets = shingles.view(np.uint64) % np.uint64(SKETCH_BITS)
+    return np.packbits(np.bincount(buckets.astype(np.int64), minlength=SKETCH_BITS) & 1, bitorder="little").tobytes()
 
-    A fingerprint's text is that of its smallest document: ``nodes`` name it by ``first.id`` and ``first.copy``.
-    Only texts that occur in a pair are shingled, each once.
-    """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = written(nodes.join(ends, "fp", "left_semi").select("fp", "first.id", "first.copy"), "simhash_ends")
-    rows = docs.select(order_id().alias("id"), F.xxhash64(whole_text()).alias("copy"), "text")
 
-    def start():
-        return lambda texts: [[shingle_set(t, words) for t in texts]]
+class Side:
+    """Texts of one block: node, fingerprint, number of shingles, sketch and the component so far."""
+
+    def __init__(self, table: pa.Table):
+        whole = lambda c: table.column(c).to_numpy()
+        self.node, self.comp, self.size = whole("node"), whole("comp"), whole("n").astype(np.int64)
+        self.fp = whole("fp").view(np.uint64)
+        self.sketch = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(len(self.node), -1)
+
 
-    sets = map_texts(rows.join(chosen, ["id", "copy"]).select("fp", "text"), start, "shingles array<bigint>")
-    sets = written(sets.dropDuplicates(["fp"]), "simhash_sets")
-    a = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("at_a"))
-    b = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("at_b"))
+def block_pairs(a: Side, b: Side, same: bool, distance: int, beyond: int, similarity: float):
+    """Yields (rows of a, rows of b), each pair once: fingerprints more than ``beyond`` and at most ``distance`` bits
+    apart, in different components, and not ruled out by their numbers of shingles or their sketches.
+
+    Fingerprints within d bits agree up to d // 4 bits in one of four segments, so every row looks up all values
+    within that of its own segment; a pair is reported for the first such segment. At most PAIRS_PER_STEP pairs
+    are held at a time.
+    """
+    width, budget = BITS // RING, distance // RING
+    low = np.uint64((1 << width) - 1)
+    flips = [sum(1 << i for i in c) for k in range(budget + 1) for c in itertools.combinations(range(width), k)]
+    segment = lambda x, s: (x >> np.uint64(s * width)) & low
+    for s in range(RING):
+        keys = segment(b.fp, s).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        starts = np.searchsorted(keys[order], np.arange((1 << width) + 1))
+        mine = segment(a.fp, s).astype(np.int64)
+        for flip in flips:
+            first = starts[mine ^ flip]
+            count = starts[(mine ^ flip) + 1] - first
+            hit = np.flatnonzero(count)
+            upto = np.concatenate([[0], np.cumsum(count[hit])])
+            for lo in range(0, int(upto[-1]), PAIRS_PER_STEP):
+                at = np.arange(lo, min(lo + PAIRS_PER_STEP, int(upto[-1])))
+                k = np.searchsorted(upto, at, side="right") - 1
+                i, j = hit[k], order[first[hit[k]] + at - upto[k]]
+                diff = a.fp[i] ^ b.fp[j]
+                bits = np.bitwise_count(diff).astype(np.int64)
+                keep = (bits <= distance) & (bits > beyond) & (a.comp[i] != b.comp[j])
+                if same:
+                    keep &= i < j
+                for t in range(s):
+                    keep &= np.bitwise_count(segment(diff, t)) > budget
+                i, j = i[keep], j[keep]
+                n, m = a.size[i], b.size[j]
+                keep = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+                i, j, n, m = i[keep], j[keep], n[keep], m[keep]
+                apart = np.bitwise_count(a.sketch[i] ^ b.sketch[j]).sum(axis=1, dtype=np.int64)
+                keep = apart <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+                if keep.any():
+                    yield i[keep], j[keep]
+
+
+def proposed(nodes: DataFrame, n: int, distance: int, beyond: int, similarity: float, ends: bool = False) -> DataFrame:
+    """All pairs (a, b) of ``nodes`` (node, fp, n, bits, comp) that ``block_pairs`` finds; with ``ends`` the nodes in them.
+
+    The nodes are dealt at random into blocks, and each pair of blocks is one group."""
+    blocks = max(1, -(-n // NODES_PER_BLOCK))
+    own = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(blocks)).cast("int")
+    left = nodes.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
+    right = nodes.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
+    names = ["node"] if ends else ["a", "b"]
+
+    def search(one: pa.Table, other: pa.Table) -> pa.Table:
+        found = [np.empty((0, 2), dtype=np.int64)]
+        if one.num_rows and other.num_rows:
+            same = one.column("i")[0].as_py() == one.column("j")[0].as_py()
+            a = Side(one)
+            b = a if same else Side(other)
+            seen_a, seen_b = np.zeros(len(a.node), dtype=bool), np.zeros(len(b.node), dtype=bool)
+            for i, j in block_pairs(a, b, same, distance, beyond, similarity):
+                if ends:
+                    seen_a[i], seen_b[j] = True, True
+                else:
+                    found.append(np.column_stack([a.node[i], b.node[j]]))
+            if ends:
+                return pa.table([pa.array(np.union1d(a.node[seen_a], b.node[seen_b]), type=pa.int64())], names=names)
+        rows = np.concatenate(found)
+        return pa.table([pa.array(rows[:, k], type=pa.int64()) for k in range(len(names))], names=names)
+
+    schema = ", ".join(f"{c} bigint" for c in names)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, schema)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts share at least ``similarity`` of their word shingles (Jaccard)."""
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("at_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("at_b"))
     shared = F.size(F.array_intersect("at_a", "at_b"))
     enough = shared >= F.lit(similarity) * (F.size("at_a") + F.size("at_b") - shared)
     return pairs.join(a, "a").join(b, "b").filter(enough).select("a", "b")
 
 
+def similar_roots(docs: DataFrame, nodes: DataFrame, words: int, distance: int, similarity: float) -> DataFrame:
+    """Rows (node, root) of the groups of ``nodes``, distinct texts, that links join; nodes without links are left out.
+
+    A link is a pair within ``distance`` bits that shares ``similarity`` of its shingles. First each text is checked
+    against the smallest document's text of its own fingerprint; then the radius grows, and only pairs in different
+    components are looked at, as others change no group. So a group of near copies does not meet in all its pairs.
+    Only texts that occur in a pair are shingled again, each once.
+    """
+    n = nodes.count()
+    alone = nodes.select("node", "fp", "n", "bits", F.col("node").alias("comp"))
+    ends = proposed(alone, n, distance, -1, similarity, ends=True).distinct()
+    chosen = written(nodes.join(ends, "node", "left_semi").select("node", "fp", "id"), "simhash_ends")
+    rows = docs.select(order_id().alias("id"), F.xxhash64(whole_text()).alias("node"), "text")
+
+    def start():
+        return lambda texts: [[shingle_set(t, words) for t in texts]]
+
+    sets = map_texts(rows.join(chosen.select("id", "node"), ["id", "node"]).select("node", "text"), start, "shingles array<bigint>")
+    sets = written(sets.dropDuplicates(["node"]), "simhash_sets")
+    first = chosen.groupBy("fp").agg(F.min(F.struct("id", "node")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    pairs = chosen.join(first, "fp").select(F.col("first.node").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    found = written(confirmed(pairs, sets, similarity), "simhash_links")
+    roots, beyond = components(found), -1
+    for radius in sorted({r for r in RADII if r < distance} | {distance}):
+        table = written(alone.drop("comp").join(chosen.select("node"), "node", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "simhash_comps")
+        pairs = written(proposed(table, n, radius, beyond, similarity), "simhash_proposed")
+        found = written(found.union(confirmed(pairs, sets, similarity)), "simhash_links")
+        roots, beyond = components(found), radius
+    return roots
+
+
 def classes(
     docs: DataFrame, words: int = SHINGLE, distance: int = MAX_DISTANCE, segments: int = SEGMENTS,
     similar_words: int = NEAR_WORDS, similarity: float | None = None,
 ) -> DataFrame:
     """``docs`` without ``text``, plus ``fp``, ``root`` (the class) and ``component_id``.
 
-    With ``similarity`` a link counts only if the texts share that much of their ``similar_words`` shingles;
-    equal fingerprints need no such check.
+    With ``similarity`` the distinct texts are linked, not the fingerprints, and a link counts only if the texts
+    share that much of their ``similar_words`` shingles, also where the fingerprints are equal.
     """
-    clash = [c for c in docs.columns if c.lower() in ("fp", "root", "component_id", "__copy")]
+    clash = [c for c in docs.columns if c.lower() in ("fp", "root", "component_id", "__copy", "__n", "__bits")]
     docs = docs.drop(*clash)
     if similarity is None:
-        prints = written(fingerprints(docs, words), "simhash")
-        nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-        found = written(links(nodes, distance, segments), "simhash_links")
+        prints = written(fingerprints(docs, words).withColumn("__copy", F.col("fp")), "simhash")
+        nodes = prints.groupBy(F.col("__copy").alias("node")).agg(F.min("doc_id").alias("least"))
+        roots = components(written(links(nodes.select(F.col("node").alias("fp")), distance, segments), "simhash_links"))
     else:
+
+        def start():
+            def run(texts):
+                sets = [shingle_set(t, similar_words) for t in texts]
+                prints = [int(np.uint64(fingerprint(t, words)).astype(np.int64)) for t in texts]
+                return [prints, [len(s) for s in sets], [shingle_sketch(s) for s in sets]]
+
+            return run
+
         marked = docs.withColumn("__copy", F.xxhash64(whole_text()))
-        prints = written(fingerprints(marked, words), "simhash")
-        first = F.min(F.struct(order_id().alias("id"), F.col("__copy").alias("copy"))).alias("first")
-        nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), first), "simhash_nodes")
-        proposed = written(links(nodes, distance, segments), "simhash_proposed")
-        found = written(confirmed(proposed, docs, nodes, similar_words, similarity), "simhash_links")
-        prints = prints.drop("__copy")
-    roots = components(found)
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        prints = written(map_texts(marked, start, "fp bigint, __n bigint, __bits binary"), "simhash")
+        nodes = prints.groupBy(F.col("__copy").alias("node")).agg(
+            F.min("doc_id").alias("least"), F.min(order_id()).alias("id"), F.first("fp").alias("fp"), F.first("__n").alias("n"), F.first("__bits").alias("bits")
+        )
+        nodes = written(nodes, "simhash_nodes")
+        roots = similar_roots(docs, nodes, similar_words, distance, similarity)
+    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = written(named, "simhash_roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = named.join(ids, "root").select(F.col("fp").alias("node_fp"), "root", "component_id")
-    return prints.join(table, F.col("fp") == F.col("node_fp")).drop("node_fp")
+    table = named.join(ids, "root").select("node", "root", "component_id")
+    return prints.drop("__n", "__bits").join(table, F.col("__copy") == F.col("node")).drop("node", "__copy")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without ``text``, plus ``fp`` and ``component_id``, the smallest doc_id reachable by links.
 
-    Only distinct fingerprints are linked, so thousands of copies are one node. Empty and null texts share
+    Only distinct fingerprints (with ``similarity`` distinct texts) are linked, so thousands of copies are one node. Empty and null texts share
     fingerprint 0. A null doc_id names no component; a component of null ids only has a null id. Repeated rows
     are each returned. Own names replace columns of the same name.
     """

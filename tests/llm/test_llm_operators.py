@@ -331,6 +331,22 @@ def test_near_copies_by_shared_shingles(spark, odd, clash, empty):
     assert simhash.near_duplicates(odd, **near).count() == len(ODD) and simhash.keep_one(empty, **near).count() == 0
 
 
+def test_equal_fingerprints_of_unlike_texts_stay_apart(spark):
+    """One shingle in over half of all places is the whole fingerprint; the texts around it decide, each by itself."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    dots = [". " * 120 + " ".join(words(60)) for _ in range(6)]
+    base = words(60)
+    like = [". " * 120 + " ".join(base), ". " * 120 + " ".join([*base[:-1], "other"])]
+    assert len({brute_fingerprint(t) for t in dots + like}) == 1
+    texts = dict(enumerate(dots + like + like))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    near = {"distance": simhash.NEAR_DISTANCE, "similarity": simhash.NEAR_SIMILARITY}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, **near).collect()}
+    assert got == {**{i: i for i in range(6)}, **{i: 6 for i in (6, 7, 8, 9)}}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs, **near).collect()) == list(range(7))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
     random.Random(1).shuffle(chain)
