@@ -40,9 +40,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
-    Fingerprints within 5 bits propose pairs; a pair is a link if its texts share 0.8 of their five-word shingles.
+    Fingerprints within 11 bits propose pairs; a pair is a link if its texts share 0.8 of their five-word shingles.
     """
-    return simhash.keep_one(docs, distance=simhash.NEAR_DISTANCE, similarity=simhash.NEAR_SIMILARITY)
+    return simhash.keep_one(docs, distance=simhash.WIDE_DISTANCE, similarity=simhash.NEAR_SIMILARITY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -45,6 +46,23 @@ def test_near_copies(stages):
     assert sorted(r["doc_id"] for r in after) == sorted(want)
 
 
+def test_near_copies_beyond_five_bits(spark, sf):
+    """Against all pairs of 0.8 or more, whatever their fingerprints."""
+    rng = random.Random(3)
+    texts, i = {}, 0
+    for size in [60] * 12 + [300] * 12:
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for edits in (0, 1, 1 + size // 60):
+            copy = base[:]
+            for _ in range(edits):
+                copy[rng.randrange(size)] = f"edit{rng.randrange(10**6)}"
+            texts[i], i = " ".join(copy), i + 1
+    whole = set(brute_near(texts, distance=64).values())
+    assert len(whole) < len(set(brute_near(texts).values()))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf).collect()} == whole
+
+
 def test_mixing(stages):
     before, after, *_ = stages[3]
     size = {r["doc_id"]: len(r["text"].split()) for r in before}
