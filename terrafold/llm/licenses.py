@@ -65,9 +65,55 @@ class Scanner:
         self.ids = {w: i for i, w in enumerate(sorted({w for t in tokens for w in t}))}
         self.sizes = [len(t) for t in tokens]
         self.automaton = SuffixAutomaton([[self.ids[w] for w in t] for t in tokens], occurrences=True)
+        # per state: length of the match and the places of the templates that hold no longer suffix of it
+        self.held = [self._held(state, min_match) for state in range(len(self.automaton.length))]
         self.phrases = [(words_of(p), label) for p, label in phrases]
         self.min_match, self.max_gap, self.covered = min_match, max_gap, covered
 
+    def _held(self, state: int, min_match: int) -> list[tuple[int | None, list[tuple[int, int]]]]:
+        """(length, places) along the suffix links: the whole match (None) first, then the shorter suffixes of
+        ``min_match`` words or more, each for the templates that hold none of the longer ones."""
+        out: list[tuple[int | None, list[tuple[int, int]]]] = []
+        seen: set[int] = set()
+        at = state
+        while at > 0 and (at == state or self.automaton.length[at] >= min_match):
+            places = [(t, p) for t, p in self.automaton.ends[at] if t not in seen]
+            if places:
+                out.append((None if at == state else self.automaton.length[at], places))
+            seen |= {t for t, _ in places}
+            at = self.automaton.link[at]
+        return out
+
+    def credits(self, words: list[bytes]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+        """(end, length, places) of the longest match of every template that drops out of the matching statistics:
+        where the match cannot be extended, or goes on in other templates only."""
+        step, out = self.automaton.step, []
+        state = matched = 0
+
+        def ended(i: int, after: set[int]) -> None:
+            for length, places in self.held[state]:
+                n = matched if length is None else length
+                gone = [(t, p) for t, p in places if t not in after]
+                if n >= self.min_match and gone:
+                    out.append((i, n, gone))
+
+        for i, symbol in enumerate(map(self.ids.get, words)):
+            before, had = state, matched
+            now, length = (0, 0) if symbol is None else step(state, matched, symbol)
+            if had >= self.min_match:
+                # a template goes on if it holds its own match and the word after it
+                goes_on = {}
+                if length:
+                    for n, places in self.held[now]:
+                        for t, _ in places:
+                            goes_on.setdefault(t, length if n is None else n)
+                after = {t for n, places in self.held[before] for t, _ in places if goes_on.get(t, 0) > (had if n is None else n)}
+                ended(i, after)
+            state, matched = now, length
+        if matched >= self.min_match:
+            ended(len(words), set())
+        return out
+
     def matches(self, words: list[bytes]) -> list[tuple[int, int, int]]:
         """(end, length, state) wherever a longest match of ``min_match`` words or more cannot be extended."""
         step, out = self.automaton.step, []
@@ -102,9 +148,9 @@ class Scanner:
             if words_covered >= self.covered * self.sizes[t]:
                 out.append((t, first, end - 1, min(1.0, words_covered / self.sizes[t])))
 
-        for end, length, state in self.matches(words):
+        for end, length, places in self.credits(words):
             latest: dict[int, int] = {}
-            for t, position in self.automaton.ends[state]:
+            for t, position in places:
                 chain = open_.get(t)
                 p = position + 1
                 fits = chain is not None and p > chain[2] and end - length - chain[1] <= self.max_gap

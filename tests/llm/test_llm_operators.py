@@ -431,6 +431,28 @@ def test_license_spans_of_changed_notices(spark):
     assert (got[4]["n_base"], got[4]["first_word"], got[4]["last_word"]) == (2, 1, 4)
 
 
+def test_license_notice_that_runs_on_into_another_template():
+    """The old LGPL notice: its tail is the GPL's, and the words before it still count for the LGPL."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.PHRASES, licenses.MIN_MATCH, licenses.MAX_GAP, licenses.COVERED)
+    old = (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    )
+    labels = lambda text: {scanner.labels[t]: c for t, _, _, c in scanner.spans(licenses.words_of(text))}
+    assert labels(old)["lgpl"] == pytest.approx(29 / 30)
+    # each template's longest matches, one template at a time
+    rng = random.Random(6)
+    templates = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.randint(4, 12)))) for k in range(6)]
+    many = licenses.Scanner(templates, (), 3, 8, 0.8)
+    words = [rng.choice(b"a b c x".split()) for _ in range(400)]
+    got = {(t, end, n) for end, n, places in many.credits(words) for t, _ in places}
+    want = set()
+    for t, one in enumerate(templates):
+        alone = licenses.Scanner([one], (), 3, 8, 0.8)
+        want |= {(t, end, n) for end, n, _ in alone.matches(words)}
+    assert got == want
+
+
 def test_matching_statistics():
     rng = random.Random(5)
     strings = [[rng.randrange(3) for _ in range(rng.randint(1, 25))] for _ in range(5)]
