@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 import zlib
 from bisect import bisect_left, insort
@@ -20,7 +21,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_GROUP = 20_000
-SEARCH_ROUNDS = 2_000
 
 
 # ---------------------------------------------------------------- tokens
@@ -142,73 +142,110 @@ class Bins:
         self.items[b].remove((self.sizes[piece], piece))
         self._file(b, self.room[b] + self.sizes[piece])
 
-    def open_bins(self, but: int) -> list[int]:
-        """Underfull bins, fullest first."""
-        out, rooms = [], self.rooms >> 1
-        r = 1
-        while rooms:
-            step = (rooms & -rooms).bit_length() - 1
-            r, rooms = r + step, rooms >> step
-            out += sorted(b for b in self.at[r] if b != but and self.items[b])
-            r, rooms = r + 1, rooms >> 1
-        return out
-
-
-def _improve(bins: Bins, e: int) -> bool:
-    """One exchange out of bin ``e`` that raises the squared fill: a move, or the swap that gains most."""
-    for size, piece in reversed(bins.items[e]):
+
+class Backs:
+    """Which rooms the bins have that hold a piece of a size, for the pieces that an exchange can take back."""
+
+    def __init__(self, bins: Bins):
+        self.bins = bins
+        self.held: list[dict[int, set[int]]] = [{} for _ in range(bins.capacity + 1)]  # size: room: bins
+        self.rooms = [0] * (bins.capacity + 1)  # size: bit r for room r
+        self.reach = np.full(bins.capacity + 1, -1, dtype=np.int64)  # size + the most room beside it, or -1
+        for b in range(len(bins.items)):
+            self.add(b)
+
+    def add(self, b: int) -> None:
+        room = self.bins.room[b]
+        for size in {s for s, _ in self.bins.items[b]} if room else ():
+            self.held[size].setdefault(room, set()).add(b)
+            self.rooms[size] |= 1 << room
+            self.reach[size] = size + self.rooms[size].bit_length() - 1
+
+    def drop(self, b: int) -> None:
+        room = self.bins.room[b]
+        for size in {s for s, _ in self.bins.items[b]} if room else ():
+            there = self.held[size][room]
+            there.discard(b)
+            if not there:
+                del self.held[size][room]
+                self.rooms[size] &= ~(1 << room)
+                self.reach[size] = size + self.rooms[size].bit_length() - 1 if self.rooms[size] else -1
+
+
+def _improve(bins: Bins, backs: Backs, e: int) -> bool:
+    """One exchange out of bin ``e`` that raises the squared fill: a move, or the swap that gains most.
+
+    A swap gives one piece or any two to a bin with room for what they exceed the piece that comes back. By size:
+    the smallest piece that may come back is looked up among the bins that hold its size, so no bin is scanned."""
+    own, spare = bins.items[e], bins.room[e]
+    for size, piece in reversed(own):
         t = bins.tightest(size, but=e)
-        if t is not None and bins.items[t] and bins.capacity - bins.room[t] + size > bins.capacity - bins.room[e]:
+        if t is not None and bins.items[t] and size + spare > bins.room[t]:
+            backs.drop(e)
+            backs.drop(t)
             bins.take(piece, e)
             bins.put(piece, t)
+            backs.add(e)
+            backs.add(t)
             return True
-    fill = bins.capacity - bins.room[e]
-    own = bins.items[e]
-    singles = [(s, (p,)) for s, p in own]
-    doubles = [(a + b, (p, q)) for i, (a, p) in enumerate(own) for b, q in own[i + 1 : i + 40]]
-    best: tuple[int, int, tuple[int, ...], int] | None = None
-    for t in bins.open_bins(e):
-        room, theirs = bins.room[t], bins.items[t]
-        if best is not None and room <= best[0]:
-            continue
-        for size, out in singles + doubles:
-            k = bisect_left(theirs, (size - room, -1))
-            if k < len(theirs) and theirs[k][0] < size:
-                gain = size - theirs[k][0]
-                if bins.capacity - room + gain > fill and (best is None or gain > best[0]):
-                    best = (gain, t, out, theirs[k][1])
+    few: dict[int, list[int]] = {}
+    for size, piece in own:
+        few.setdefault(size, [])
+        if len(few[size]) < 2:
+            few[size].append(piece)
+    sizes = list(few)
+    out = {s: (few[s][0],) for s in sizes}
+    for i, x in enumerate(sizes):
+        for y in sizes[i:]:
+            if x != y or len(few[x]) == 2:
+                out.setdefault(x + y, (few[x][0], few[y][-1]))
+    backs.drop(e)
+    best: tuple[int, int, int] | None = None
+    for size in out:
+        for back in np.flatnonzero(backs.reach[:size] >= size).tolist():
+            gain = size - back
+            if best is not None and gain <= best[0]:
+                break
+            # a bin with room for the gain that ends up fuller than e is now
+            fits = (backs.rooms[back] >> gain) & ((1 << spare) - 1)
+            if fits:
+                best = (gain, size, gain + (fits & -fits).bit_length() - 1)
+                break
     if best is None:
+        backs.add(e)
         return False
-    _, t, out, back = best
+    gain, size, room = best
+    t = min(backs.held[size - gain][room])
+    back = bins.items[t][bisect_left(bins.items[t], (size - gain, -1))][1]
+    backs.drop(t)
     bins.take(back, t)
-    for p in out:
+    for p in out[size]:
         bins.take(p, e)
         bins.put(p, t)
     bins.put(back, e)
+    backs.add(e)
+    backs.add(t)
     return True
 
 
-def pack(sizes: list[int], capacity: int = CAPACITY, rounds: int = SEARCH_ROUNDS) -> tuple[list[int], list[int]]:
-    """(bin, offset) of every piece. Largest first into the tightest bin; then the emptiest bin gives pieces to
-    fuller ones, one for one, two for one or as moves, each raising the sum of squared fills, until it is empty
-    or no exchange helps. It ends when the number of bins reaches the total over the capacity."""
+def pack(sizes: list[int], capacity: int = CAPACITY, rounds: int | None = None) -> tuple[list[int], list[int]]:
+    """(bin, offset) of every piece. Largest first into the tightest bin; then bins, the emptiest first, give pieces
+    to fuller ones, one for one, two for one or as moves, each raising the sum of squared fills. All bins are
+    visited again until no exchange helps, or the number of bins reaches the total over the capacity. ``rounds``
+    ends the search after so many exchanges."""
     bins = Bins(sizes, capacity)
     for p in sorted(range(len(sizes)), key=lambda p: (-sizes[p], p)):
         bins.put(p, bins.tightest(sizes[p]))
     least = -(-sum(sizes) // capacity)
     used = sum(1 for x in bins.items if x)
-    stuck: set[int] = set()
-    for _ in range(rounds):
-        if used <= least:
-            break
-        e = max((b for b in range(len(bins.items)) if bins.items[b] and b not in stuck and bins.room[b]), key=lambda b: (bins.room[b], -b), default=None)
-        if e is None:
-            break
-        if not _improve(bins, e):
-            stuck.add(e)
-        elif not bins.items[e]:
-            used -= 1
-            stuck.clear()
+    left = math.inf if rounds is None else rounds
+    backs, changed = Backs(bins), True
+    while changed and used > least and left > 0:
+        changed = False
+        for e in sorted(range(len(bins.items)), key=lambda b: (-bins.room[b], b)):
+            while bins.items[e] and bins.room[e] and used > least and left > 0 and _improve(bins, backs, e):
+                changed, left = True, left - 1
+                used -= not bins.items[e]
     place, offset = [0] * len(sizes), [0] * len(sizes)
     for b, items in enumerate(bins.items):
         at = 0

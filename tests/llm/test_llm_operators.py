@@ -406,6 +406,30 @@ def test_local_search_empties_bins():
     assert len(set(packing.pack([6, 5, 5, 4, 4, 4, 2], 15, rounds=0)[0])) >= len(set(packing.pack([6, 5, 5, 4, 4, 4, 2], 15)[0])) == 2
 
 
+def test_local_search_ends_when_no_exchange_helps():
+    def helps(mine, theirs, capacity):
+        """Whether a bin can give one or two pieces to another one, or swap them for one, for a larger squared fill."""
+        fill, room = sum(mine), capacity - sum(theirs)
+        given = [*mine, *(a + b for i, a in enumerate(mine) for b in mine[i + 1 :])]
+        moved = any(s <= room and sum(theirs) + s > fill for s in mine)
+        return moved or any(0 < s - back <= room and sum(theirs) + s - back > fill for s in given for back in theirs)
+
+    rng = random.Random(9)
+    for n in (20, 60, 150):
+        for low, high in ((22, 47), (1, 60), (30, 40)):
+            sizes = [rng.randint(low, high) for _ in range(n)]
+            held = defaultdict(list)
+            for s, b in zip(sizes, packing.pack(sizes, 100)[0]):
+                held[b].append(s)
+            bins = list(held.values())
+            assert all(sum(b) <= 100 for b in bins)
+            if len(bins) > -(-sum(sizes) // 100):
+                assert not any(helps(a, b, 100) for a in bins for b in bins if a is not b and sum(a) < 100)
+    # about 1,700 bins of three pieces: 2,000 steps emptied none of them
+    sizes = [rng.choice((500, 600, 700, 690, 683, 1025, 340)) for _ in range(5000)]
+    assert len(set(packing.pack(sizes)[0])) < 0.95 * len(set(packing.pack(sizes, rounds=0)[0]))
+
+
 # ---------------------------------------------------------------- licenses
 
 
