@@ -551,6 +551,53 @@ def test_toxicity(spark, odd, clash, empty):
     assert toxicity.score_toxicity(odd, toxicity.fit(odd, odd_labels)).count() == len(ODD)
 
 
+def test_toxic_documents_are_caught(spark):
+    """Held-out recall, overall and in each language, at a false alarm rate of at most one in a hundred."""
+    sf = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r["predicted"] for r in QUERIES["op10_toxicity"](spark, sf).filter("held_out").collect()}
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in got}
+    caught = defaultdict(list)
+    for i, toxic in labels.items():
+        if toxic:
+            caught[langs[i]].append(got[i])
+    assert sum(map(sum, caught.values())) >= 0.9 * sum(map(len, caught.values()))
+    assert all(sum(c) >= 0.7 * len(c) for c in caught.values()) and len(caught) == 4
+    clean = [got[i] for i, toxic in labels.items() if toxic == 0]
+    assert sum(clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_bounds_rows_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(7, f"text number {i}") for i in range(3000)] + [(8, "clean text")] * 50, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(7, 1), (8, 0)], "doc_id bigint, toxic int")
+    sample = toxicity._sample(docs, marks, 100, frozenset())
+    assert 0 < sample.count() <= 100 and sample.filter("doc_id = 8").count() <= 1
+
+
+def test_fit_matches_brute_force():
+    """Gradient steps against Newton steps on a small dense problem with the same loss."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 6)) < 0.4).astype(float)
+    y = (x[:, 0] * 2 - x[:, 1] + rng.normal(0, 1, 300) > 0.5).astype(float)
+    swaps, penalty, ridge = {4: 5, 5: 4}, 2.0, 1e-2
+    rows = [list(np.flatnonzero(r)) for r in x]
+    w, bias = toxicity.fit_weights(rows, y, np.ones(300), swaps, 6, penalty, ridge, steps=4000)
+    g = np.full(300, 1 / 300)
+    change = np.zeros_like(x)
+    for a, b in swaps.items():
+        change[:, b] += x[:, a]
+        change[:, a] -= x[:, a]
+    touched = x[:, [4, 5]].any(axis=1)
+    share = touched / touched.sum()
+    full, moves = np.c_[x, np.ones(300)], np.c_[change, np.zeros(300)]
+    keep = np.diag([ridge] * 6 + [0.0]) + 2 * penalty * moves.T @ (moves * share[:, None])
+    v = np.zeros(7)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ v))
+        v -= np.linalg.solve(full.T @ (full * (g * p * (1 - p))[:, None]) + keep, full.T @ (g * (p - y)) + keep @ v)
+    assert np.allclose(np.append(w, bias), v, atol=0.02)
+
+
 def test_swaps_do_not_change_scores(spark):
     """Labels lean on one group's name; the penalty takes the lean away and keeps what is truly toxic."""
     rng = random.Random(2)

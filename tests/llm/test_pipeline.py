@@ -33,6 +33,17 @@ def test_toxicity(spark, stages, sf):
     assert len(after) >= 0.8 * len(before)
 
 
+def test_toxic_documents_go(spark, sf):
+    """The stage drops at least nine of ten documents that are labelled toxic, and nearly no clean one."""
+    sf = sf.replace("sf0.001", "sf0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").join(docs.select("doc_id"), "doc_id").collect()
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    toxic = [r["doc_id"] not in kept for r in labels if r["toxic"] == 1]
+    clean = [r["doc_id"] not in kept for r in labels if r["toxic"] == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+
+
 def test_lines(stages):
     before, after, *_ = stages[1]
     want = {i: t for i, _, n, t in brute_lines([(r["doc_id"], r["text"]) for r in before]) if t.strip(" \t\n\r\x0b\f") or not n}
