@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.values import known
 from terrafold.plans.extent import Extent
 
 # Fixed value: the boundary is widened by this much on its high sides before it is quartered.
@@ -25,12 +26,12 @@ def check_depth(depth: int) -> int:
 def add_quad_number(
     points: DataFrame, ext: Extent, depth: int, name: str = "quad", x: str = "x", y: str = "y", pad: float = EDGE_PAD
 ) -> DataFrame:
-    """Add the base-4 quad number at ``depth``; null for points outside the padded extent."""
+    """Add the base-4 quad number at ``depth``; null for missing points and those outside the padded extent."""
     check_depth(depth)
     cells = float(2**depth)
 
     def slot(axis: str, low: float, width: float) -> Column:
-        s = F.floor((F.col(axis) - F.lit(low)) / F.lit(width + pad) * F.lit(cells)).cast("bigint")
+        s = F.floor((known(axis) - F.lit(low)) / F.lit(width + pad) * F.lit(cells)).cast("bigint")
         return F.when((s >= 0) & (s < int(cells)), s)
 
     # the slots are columns of their own so that they are computed once, not once per digit

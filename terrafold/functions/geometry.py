@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from terrafold.functions.values import finite, known
+
 # Fixed values.
 EARTH_RADIUS_M = 6378137.0
 LOOSE_EPS = 1e-6
@@ -236,11 +238,12 @@ def degree_boxes(lat: float, lon: float, metres: float) -> list[tuple[float, flo
 
 
 def grid_index(value, low: float, step: float, bins: int | None = None) -> Column:
-    """floor((value - low) / step); with ``bins`` the top edge folds into the last cell."""
+    """floor((value - low) / step); with ``bins`` the top edge folds into the last cell. Null if not finite."""
     if step <= 0.0:
-        return F.when(c(value).isNotNull(), F.lit(0))
-    idx = F.floor((c(value) - F.lit(low)) / F.lit(step)).cast("int")
-    return idx if bins is None else F.least(idx, F.lit(bins - 1))
+        return F.when(finite(c(value)), F.lit(0))
+    idx = F.floor((known(c(value)) - F.lit(low)) / F.lit(step)).cast("int")
+    # least() passes over nulls
+    return idx if bins is None else F.when(idx >= bins, F.lit(bins - 1)).otherwise(idx)
 
 
 def expected_knn_radius(k, n, area) -> Column:
@@ -254,8 +257,9 @@ def hex_cell(x, y, size: float) -> tuple[Column, Column]:
     Fractional axial coordinates are rounded on all three cube axes; the axis with the largest rounding
     error (q before r before s on ties) is then rebuilt from the other two.
     """
-    fq = (F.lit(math.sqrt(3.0) / 3.0) * c(x) - F.lit(1.0 / 3.0) * c(y)) / F.lit(size)
-    fr = F.lit(2.0 / 3.0) * c(y) / F.lit(size)
+    x, y = known(c(x)), known(c(y))
+    fq = (F.lit(math.sqrt(3.0) / 3.0) * x - F.lit(1.0 / 3.0) * y) / F.lit(size)
+    fr = F.lit(2.0 / 3.0) * y / F.lit(size)
     fs = -fq - fr
     rq, rr, rs = F.floor(fq + 0.5), F.floor(fr + 0.5), F.floor(fs + 0.5)
     eq, er, es = F.abs(rq - fq), F.abs(rr - fr), F.abs(rs - fs)

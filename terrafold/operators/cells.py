@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from terrafold.functions import codes
 from terrafold.functions import geometry as g
 from terrafold.functions.literals import double_array
+from terrafold.functions.values import finite, known
 from terrafold.plans.extent import Extent
-from terrafold.plans.ordering import Cuts, RangeOrder, add_buckets, exact_quantiles, fit_cuts, number_rows
+from terrafold.plans.ordering import Cuts, add_buckets, exact_quantiles, fit_cuts, number_rows
 from terrafold.plans.pyramid import box_aggregates
 from terrafold.plans.session import bounded_broadcast, written
 
@@ -22,13 +23,12 @@ GRID_PARTITIONS = 100
 
 ROWS_PER_CELL = 1_000_000
 MIN_CELLS = 16
-MAX_CELLS = 65_536
 SAMPLE_ROWS = 2_000_000
 
 
 def default_cells(n: int, rows_per_cell: int = ROWS_PER_CELL) -> int:
     """How many cells suit n rows."""
-    return max(MIN_CELLS, min(MAX_CELLS, math.ceil(n / rows_per_cell)))
+    return max(MIN_CELLS, math.ceil(n / rows_per_cell))
 
 
 def sample_rows(cells: int) -> int:
@@ -38,7 +38,7 @@ def sample_rows(cells: int) -> int:
 
 def bounded_sample(points: DataFrame, n: int, cells: int, seed: int = 42) -> DataFrame:
     """All coordinates, or a seeded sample that still has 64 rows or more per wanted cell."""
-    rows, source = sample_rows(cells), points.select("x", "y")
+    rows, source = sample_rows(cells), points.select("x", "y").filter(finite("x") & finite("y"))
     return source if n <= rows else source.sample(False, rows / n, seed)
 
 
@@ -103,7 +103,7 @@ class QuantileGrid:
 
     def _position(self, points: DataFrame) -> DataFrame:
         # y is clamped so that points outside the fitted extent stay in their slice
-        share = F.least(F.greatest((F.col("y") - F.lit(self.min_y)) / F.lit(self.span_y), F.lit(0.0)), F.lit(0.9999999))
+        share = F.least(F.greatest((known("y") - F.lit(self.min_y)) / F.lit(self.span_y), F.lit(0.0)), F.lit(0.9999999))
         return add_buckets(points, slice=("x", self.x)).withColumn("__p", F.col("slice") + share)
 
     def assign(self, points: DataFrame) -> DataFrame:
@@ -233,14 +233,13 @@ class KdTree:
         e = ext or Extent.of(points)
         want = max(1, cells or default_cells(e.n))
         depth = math.ceil(math.log2(want))
-        source = points.select("x", "y") if exact else written(bounded_sample(points, e.n, want, seed), "kd-sample")
-        orders = {axis: RangeOrder.fit(source, [axis], e.n) for axis in "xy"[:depth]} if exact else {}
+        source = points.select("x", "y").filter(finite("x") & finite("y")) if exact else written(bounded_sample(points, e.n, want, seed), "kd-sample")
         splits: list[tuple[float, ...]] = []
         for level in range(depth):
             axis = "xy"[level % 2]
             placed = cls(tuple(splits)).assign(source, "node")
             if exact:
-                medians = exact_quantiles(placed, axis, [0.5], by=["node"], buckets=orders[axis])
+                medians = exact_quantiles(placed, axis, [0.5], by=["node"], n=e.n)
             else:
                 medians = placed.groupBy("node").agg(F.percentile_approx(axis, 0.5, 10_000).alias("value"))
             found = {r["node"]: r["value"] for r in medians.select("node", "value").collect()}  # 2 ** level rows
@@ -248,8 +247,8 @@ class KdTree:
         return cls(tuple(splits))
 
     def assign(self, points: DataFrame, name: str = "cell_id") -> DataFrame:
-        """Walk down one level per column; every level is a lookup in a literal array."""
-        out = points.withColumn(name, F.lit(0))
+        """Walk down one level per column; every level is a lookup in a literal array. Missing coordinates have no cell."""
+        out = points.withColumn(name, F.when(finite("x") & finite("y"), F.lit(0)))
         for level, values in enumerate(self.splits):
             split = F.element_at(double_array(values), F.col(name) + 1)
             right = (F.col("xy"[level % 2]) >= split).cast("int")
@@ -292,13 +291,12 @@ def _tile_of(position: Column, size: Column, tiles: int) -> Column:
 def sort_tiles(points: DataFrame, slices: int, rows: int, n: int | None = None) -> DataFrame:
     """Sort-tile packing on all rows: slices of equal count by x, tiles of equal count by y in each slice.
 
-    Positions come from range-wise numbering, so neither sort runs in one task.
+    Two range partitionings, one by x and one by slice and y, and offsets per range: the same at any size.
     """
     total = points.count() if n is None else n
     by_x = number_rows(points, ["x", "y", "id"], "__px", n=total)
-    y_order = RangeOrder.fit(points, ["y", "x", "id"], total)  # from the input: slicing does not change its values
     sliced = by_x.withColumn("slice", _tile_of(F.col("__px"), F.lit(total).cast("bigint"), slices).cast("int"))
-    by_y = number_rows(sliced.drop("__px"), ["y", "x", "id"], "__py", by=["slice"], buckets=y_order)
+    by_y = number_rows(sliced.drop("__px"), ["y", "x", "id"], "__py", by=["slice"], n=total)
     size = (F.lit(total // slices) + (F.col("slice") < total % slices).cast("bigint")).cast("bigint")
     tile = _tile_of(F.col("__py"), size, rows).cast("int")
     return by_y.withColumn("cell_id", F.col("slice") * rows + tile).drop("__py", "slice")
@@ -310,17 +308,12 @@ def tile_boxes(tiled: DataFrame) -> DataFrame:
 
 
 def sort_tile_boxes(points: DataFrame, cells: int | None = None, ext: Extent | None = None) -> DataFrame:
-    """Boxes of a sort-tile packing that cover all points with coordinates.
-
-    All rows are packed exactly up to the size of a bounded sample. Beyond it a sample only says where to cut:
-    x slices and y cuts inside each slice; the boxes are taken from all rows, so none is left outside."""
+    """Boxes of a sort-tile packing of all points with coordinates, exact at any size."""
     e = ext or Extent.of(points)
     want = cells or default_cells(e.n)
-    if e.n > sample_rows(want):
-        known = points.filter(~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull())
-        return written(tile_boxes(QuantileGrid.fit(known, want, e).assign(known)), "boxes")
     slices = max(1, math.ceil(math.sqrt(want)))
-    rows = points.select("x", "y", F.xxhash64("x", "y").alias("id"))
+    known = points.filter(finite("x") & finite("y"))
+    rows = known.select("x", "y", F.xxhash64("x", "y").alias("id"))
     tiled = sort_tiles(written(rows, "tile-rows"), slices, math.ceil(want / slices))
     return written(tile_boxes(tiled), "boxes")  # at most ``cells`` rows
 

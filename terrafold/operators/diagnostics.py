@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
-from terrafold.plans.ordering import RangeOrder, number_rows
+from terrafold.plans.ordering import number_rows
 from terrafold.plans.pyramid import box_aggregates
 from terrafold.plans.session import written
 
@@ -130,7 +130,7 @@ def runtime_summary(runs: DataFrame, group: str, value: str) -> DataFrame:
         F.stddev_pop(v).alias("std_pop"),
         F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std_samp"),
     )
-    ranked = number_rows(stats, ["avg", group], "rank", buckets=RangeOrder.fit(stats, ["avg"]))
+    ranked = number_rows(stats, ["avg", group], "rank")
     return ranked.withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 

@@ -25,15 +25,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def cdf(points: DataFrame, key: str = "y", cell: str = "cell_id", n: int | None = None) -> DataFrame:
     """Rows (cell, key, rank): 0-based rank of the last occurrence of each distinct key in its cell."""
-    ranges = RangeOrder.fit(points.withColumn("key", F.col(key)), ["key"], n)
     counts = points.groupBy(cell, F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("c"))
-    run = running_total(counts, ["key"], F.col("c"), "cum", by=[cell], buckets=ranges)
+    run = running_total(counts, ["key"], F.col("c"), "cum", by=[cell], n=n)
     return run.select(cell, "key", (F.col("cum") - 1).cast("bigint").alias("rank"))
 
 
-def numbered_cdf(model: DataFrame, cell: str = "cell_id", buckets: RangeOrder | None = None) -> DataFrame:
+def numbered_cdf(model: DataFrame, cell: str = "cell_id") -> DataFrame:
     """Add ``key_no``, the 0-based position of a key among the distinct keys of its cell."""
-    return number_rows(model, ["key"], "key_no", by=[cell], buckets=buckets)
+    return number_rows(model, ["key"], "key_no", by=[cell])
 
 
 # ---------------------------------------------------------------- exact knots

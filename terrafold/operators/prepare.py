@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.functions.values import finite
 from terrafold.plans.extent import Extent
 
 
 def missing(x: str = "x", y: str = "y") -> Column:
-    return F.col(x).isNull() | F.col(y).isNull() | F.isnan(x) | F.isnan(y)
+    return ~(finite(x) & finite(y))
 
 
 def drop_missing(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """Drop rows with a null or NaN coordinate."""
+    """Drop rows with a coordinate that is null, NaN or infinite."""
     return points.filter(~missing(x, y))
 
 

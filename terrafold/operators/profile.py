@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
 from terrafold.plans.extent import Extent
-from terrafold.plans.ordering import RangeOrder, exact_quantiles, running_total
+from terrafold.plans.ordering import exact_quantiles, running_total
 
 
 def axis_statistics(points: DataFrame, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
@@ -67,7 +67,7 @@ def heatmap(points: DataFrame, bins: int, ext: Extent | None = None) -> DataFram
 def hexbin(points: DataFrame, size: float, x="x", y="y") -> DataFrame:
     """Count per pointy-top hexagon: (q, r, n, center_x, center_y)."""
     q, r = g.hex_cell(x, y, size)
-    counts = points.select(q.alias("q"), r.alias("r")).groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"))
+    counts = points.select(q.alias("q"), r.alias("r")).filter("q IS NOT NULL").groupBy("q", "r").agg(F.count(F.lit(1)).alias("n"))
     cx, cy = g.hex_center("q", "r", size)
     return counts.withColumns({"center_x": cx, "center_y": cy})
 
@@ -93,9 +93,8 @@ def histogram(points: DataFrame, axis: str, bins: int, low: float, high: float)
 def ecdf(points: DataFrame, axis: str, n: int | None = None) -> DataFrame:
     """Rows (value, n_le, cdf) per distinct value, with range-wise prefix sums instead of one big window."""
     total = points.count() if n is None else n
-    ranges = RangeOrder.fit(points.withColumn("value", F.col(axis)), ["value"], total)
     counts = points.groupBy(F.col(axis).alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    run = running_total(counts, ["value"], F.col("c"), "n_le", buckets=ranges)
+    run = running_total(counts, ["value"], F.col("c"), "n_le", n=total)
     share = F.col("n_le") / F.lit(float(max(total, 1)))
     return run.select("value", F.col("n_le").cast("bigint").alias("n_le"), share.alias("cdf"))
 

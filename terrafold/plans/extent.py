@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.functions.values import known
 
-def extent(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """One row: n, min_x, min_y, max_x, max_y. An empty input gives n = 0 and nulls; NaN counts as missing."""
 
-    def known(name: str):
-        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+def extent(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """One row: n, min_x, min_y, max_x, max_y. An empty input gives n = 0 and nulls; coordinates that are not
+    finite count as missing."""
 
     return points.agg(
         F.count(F.lit(1)).alias("n"),

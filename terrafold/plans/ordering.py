@@ -1,10 +1,11 @@
-"""Order-preserving buckets, and global running sums and row numbers built on them.
+"""Order-preserving buckets and ranges, and global running sums and row numbers built on them.
 
-A window without ``partitionBy`` puts the whole table into one task. Here the sort order is cut into ranges
-first: every row gets a bucket from its sort keys, buckets are summed (a small table), their running totals
-become offsets, and the window runs inside each bucket. A sort-key value that holds a large share of the rows
-gets a bucket of its own, which is then cut again on the next sort key, so no bucket holds more than a few
-shares of the rows unless the rows agree on every sort key.
+A window without ``partitionBy`` puts the whole table into one task. Here rows are range-partitioned by the whole
+sort order first, so rows that agree on the first key are still spread by the others; every range is sorted, its
+total becomes an offset for the ranges behind it, and only rows that agree on every sort key stay together.
+
+Buckets are the same idea as a column, for joins by range: a value that holds a large share of the rows gets a
+bucket of its own, which is then cut again on the next sort key.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.functions.values import known
+from terrafold.plans.session import bounded_broadcast, written
+
 ROWS_PER_BUCKET = 50_000
+ROWS_PER_RANGE = 2_000_000
 MIN_BUCKETS = 4
-MAX_BUCKETS = 16_384
+PART, POS = "__part", "__pos"
 SAMPLES_PER_PART = 64
 MIN_SAMPLE = 20_000
 SAMPLE_SEED = 42
 
 
 def bucket_count(n: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, math.ceil(n / rows_per_bucket)))
+    return max(MIN_BUCKETS, math.ceil(n / rows_per_bucket))
 
 
 @dataclass(frozen=True)
@@ -74,7 +79,7 @@ def fit_quantiles(df: DataFrame, columns: list[str], parts: int, n: int, seed: i
     out = []
     for i in range(len(columns)):
         values = drawn.column(f"q{i}").drop_null().to_numpy()
-        values = np.sort(values[~np.isnan(values)])
+        values = np.sort(values[np.isfinite(values)])
         ranks = np.ceil(np.arange(1, parts) / parts * len(values)).astype(int) - 1
         out.append([float(v) for v in values[np.maximum(ranks, 0)]] if len(values) else [])
     return out
@@ -85,19 +90,24 @@ def fit_cuts(df: DataFrame, columns: list[str], buckets: int, n: int) -> list[Cu
 
 
 def add_buckets(df: DataFrame, **targets: tuple[str, Cuts]) -> DataFrame:
-    """Add integer bucket columns, ``name=(column, cuts)``; a JVM-side binary search per value."""
+    """Add integer bucket columns, ``name=(column, cuts)``; a JVM-side binary search per value. Values that are
+    not finite have no bucket."""
     names = list(targets)
-    staged = [f"__{n}_bucket" for n in names]
+    staged, source = [f"__{n}_bucket" for n in names], [f"__{n}_value" for n in names]
     stage = Bucketizer(
-        inputCols=[targets[n][0] for n in names],
+        inputCols=source,
         outputCols=staged,
         splitsArray=[targets[n][1].splits if targets[n][1].values else [-math.inf, 0.0, math.inf] for n in names],
         handleInvalid="keep",
     )
     whole = {
-        name: F.col(tmp).cast("int") if targets[name][1].values else F.lit(0) for name, tmp in zip(names, staged)
+        name: F.col(tmp).cast("int") if targets[name][1].values else F.when(F.col(v).isNotNull(), F.lit(0))
+        for name, tmp, v in zip(names, staged, source)
     }
-    return stage.transform(df).withColumns(whole).drop(*staged)
+    # Bucketizer keeps NaN in a bucket of its own, one past the last
+    whole = {name: F.when(F.col(v).isNotNull(), b) for (name, b), v in zip(whole.items(), source)}
+    values = {v: known(targets[n][0]) for n, v in zip(names, source)}
+    return stage.transform(df.withColumns(values)).withColumns(whole).drop(*staged, *source)
 
 
 @dataclass(frozen=True)
@@ -139,6 +149,33 @@ class RangeOrder:
         return out.withColumns(staged).drop(*fences)
 
 
+def in_ranges(df: DataFrame, order: list[str], n: int | None = None, parts: int | None = None) -> tuple[DataFrame, int]:
+    """(``df`` in sorted ranges of ``order``, number of ranges): adds ``__part``, ascending along the order, and
+    ``__pos``, the 0-based place inside the range.
+
+    One range partitioning, sorted and written: Spark finds the borders from its own sample, a lost executor
+    costs a task of it, and nothing later depends on the borders being found again.
+    """
+    spark = df.sparkSession
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((n or 0) / ROWS_PER_RANGE))
+    spread = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the id is the task's number and, below it, the row's number in the task
+    placed = written(spread.withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    at = F.col("__at")
+    return placed.withColumns({PART: F.shiftright(at, 33).cast("int"), POS: at.bitwiseAND(2**33 - 1)}).drop("__at"), parts
+
+
+def _offsets(placed: DataFrame, parts: int, by: list[str], total: Column) -> DataFrame:
+    """Per range and group: ``__first`` place, and ``__o``, the sum of ``total`` of the group's earlier ranges."""
+    before = (Window.partitionBy(*by) if by else Window).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(PART, *by).agg(F.min(POS).alias("__first"), total.alias("__t"))
+    out = sums.withColumn("__o", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
+    if not by:
+        return bounded_broadcast(out, parts)  # one row per range
+    out = written(out, "offsets")
+    return bounded_broadcast(out, out.count())
+
+
 def running_total(
     df: DataFrame,
     order: list[str],
@@ -148,27 +185,23 @@ def running_total(
     buckets: RangeOrder | None = None,
     n: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` in ``order`` (a total order of numeric columns) within ``by``."""
+    """Inclusive running sum of ``value`` in ``order`` (a total order) within ``by``. ``buckets`` only gives the
+    number of ranges."""
     by = by or []
-    ranges = buckets or RangeOrder.fit(df, order, n)
-    staged = ranges.add(df.withColumn("__v", value))
-    keys = by + ranges.names
-    before = Window.orderBy(*ranges.names) if not by else Window.partitionBy(*by).orderBy(*ranges.names)
-    offsets = (
-        staged.groupBy(*keys)
-        .agg(F.sum("__v").alias("__t"))
-        .withColumn("__o", F.coalesce(F.sum("__t").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("__t")
-    )
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed, parts = in_ranges(df.withColumn("__v", value), [*by, *order], n, _parts(buckets))
+    inside = Window.partitionBy(PART, *by).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        staged.withColumn("__l", F.sum("__v").over(inside))
-        .transform(_join_groups, offsets, keys)
+        placed.withColumn("__l", F.sum("__v").over(inside))
+        .transform(_join_groups, _offsets(placed, parts, by, F.sum("__v")), [PART, *by])
         .withColumn(name, F.col("__l") + F.col("__o"))
-        .drop("__v", "__l", "__o", *ranges.names)
+        .drop("__v", "__l", "__o", "__first", PART, POS)
     )
 
 
+def _parts(buckets: RangeOrder | None) -> int | None:
+    return buckets.cuts[0].buckets if buckets else None
+
+
 def _join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Join on ``keys`` with null equal to null, so that a null group stays a group."""
     other = {k: f"__g_{k}" for k in keys}
@@ -184,9 +217,14 @@ def number_rows(
     buckets: RangeOrder | None = None,
     n: int | None = None,
 ) -> DataFrame:
-    """0-based position of every row in ``order`` within ``by``."""
-    out = running_total(df, order, F.lit(1).cast("bigint"), name, by, buckets, n)
-    return out.withColumn(name, F.col(name) - 1)
+    """0-based position of every row in ``order`` within ``by``; columns of any sortable type, nulls first.
+
+    The rows are shuffled once, by range; the rest is their place in the range and a small table of offsets."""
+    by = by or []
+    placed, parts = in_ranges(df, [*by, *order], n, _parts(buckets))
+    offsets = _offsets(placed, parts, by, F.count(F.lit(1)))
+    out = placed.transform(_join_groups, offsets, [PART, *by])
+    return out.withColumn(name, F.col(POS) - F.col("__first") + F.col("__o")).drop("__first", "__o", PART, POS)
 
 
 def exact_quantiles(
@@ -199,14 +237,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by..., prob, value).
 
-    Equal values are counted before anything is ordered. Bucket totals tell which buckets hold the wanted
-    ranks, and only those buckets are sorted.
+    Equal values are counted before anything is ordered. Totals of value ranges tell which ranges hold the
+    wanted ranks, and running counts are taken in those only.
     """
     by = by or []
     known = df.filter(F.col(column).isNotNull()).select(*by, column)
     counts = known.groupBy(*by, column).agg(F.count(F.lit(1)).alias("__n"))
-    ranges = buckets or RangeOrder.fit(known, [column], n)
-    staged, keys = ranges.add(counts), by + ranges.names
+    placed, _ = in_ranges(counts, [*by, column], n, _parts(buckets))
+    keys = [PART, *by]
 
     def rank(p: float) -> Column:
         return (F.col("__total") - 1) * F.lit(float(p))
@@ -216,14 +254,14 @@ def exact_quantiles(
         marks = [r for p in probs for r in (F.floor(rank(p)), F.ceil(rank(p)))]
         return reduce(lambda a, b: a | b, [(m >= first) & (m < end) for m in marks])
 
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows are bucket totals
-    before = group.orderBy(*ranges.names).rowsBetween(Window.unboundedPreceding, -1)
-    totals = staged.groupBy(*keys).agg(F.sum("__n").alias("__t")).withColumns({
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # rows are totals of ranges
+    before = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys).agg(F.sum("__n").alias("__t")).withColumns({
         "__o": F.coalesce(F.sum("__t").over(before), F.lit(0)), "__total": F.sum("__t").over(group)
     })
     needed = totals.filter(wanted(F.col("__o"), F.col("__o") + F.col("__t"))).drop("__t")
-    inside = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = _join_groups(staged, needed, keys).withColumn("__cum", F.col("__o") + F.sum("__n").over(inside))
+    inside = Window.partitionBy(*keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = _join_groups(placed, needed, keys).withColumn("__cum", F.col("__o") + F.sum("__n").over(inside))
 
     def holds(position: Column) -> Column:
         """Is this 0-based rank one of the ranks of this row's value?"""

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions.literals import double_text, is_one_of
+from terrafold.functions.values import known
 from terrafold.plans.extent import Extent
 from terrafold.plans.ordering import Cuts, add_buckets, fit_quantiles
 from terrafold.plans.session import bounded_broadcast, written
@@ -44,13 +45,13 @@ DISJOINT, BORDER, COVERED = 0, 1, 2
 
 
 def box_aggregates(x: str = "x", y: str = "y") -> list[Column]:
-    """Count and bounding box of points."""
+    """Count and bounding box of points; missing coordinates do not stretch the box."""
     return [
         F.count(F.lit(1)).alias("n"),
-        F.min(x).alias("min_x"),
-        F.min(y).alias("min_y"),
-        F.max(x).alias("max_x"),
-        F.max(y).alias("max_y"),
+        F.min(known(x)).alias("min_x"),
+        F.min(known(y)).alias("min_y"),
+        F.max(known(x)).alias("max_x"),
+        F.max(known(y)).alias("max_y"),
     ]
 
 
@@ -150,8 +151,7 @@ class PointIndex:
         ext = Extent.of(points)
         grid = RankGrid.fit(points, ext.n, per_cell=per_cell)
         placed = grid.add(points)
-        known = F.col("bx").isNotNull() & F.col("by").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
-        cells = placed.filter(known).groupBy("bx", "by").agg(*box_aggregates())
+        cells = placed.filter(F.col("bx").isNotNull() & F.col("by").isNotNull()).groupBy("bx", "by").agg(*box_aggregates())
         places = F.array(*[
             F.struct(F.lit(i).alias("level"), F.shiftright("bx", sx).alias("nx"), F.shiftright("by", sy).alias("ny"))
             for i, (sx, sy) in enumerate(grid.shifts)

@@ -293,3 +293,39 @@ def loss_check(spark, sf):
 )
 def pruning_report(spark, sf):
     return diagnostics.pruning_report(_cells(spark, sf), WINDOW).withColumn("row_share", r6("row_share"))
+
+
+def _every_method(points):
+    """Each way to give points a cell, by name."""
+    tree = cells.QuadTree.fit(points, 16)
+    boxes = cells.sort_tile_boxes(points, 16)
+    return {
+        "fixed_stripes": cells.fixed_stripes(points),
+        "adaptive_stripes": cells.adaptive_stripes(points),
+        "grid": cells.grid_cells(points, 4),
+        "quantile_grid": cells.quantile_grid(points, 16),
+        "quad_tree": tree.assign(points),
+        "kd_tree": cells.kd_tree_cells(points, 16),
+        "kd_tree_exact": cells.kd_tree_cells(points, 16, exact=True),
+        "sort_tiles": cells.sort_tiles(points, 4, 4),
+        "boxes": cells.assign_to_boxes(points, boxes),
+    }
+
+
+EVERY_METHOD = ("fixed_stripes", "adaptive_stripes", "grid", "quantile_grid", "quad_tree", "kd_tree", "kd_tree_exact", "sort_tiles", "boxes")
+KEPT_ROWS = " UNION ALL ".join(
+    f"SELECT '{name}' AS method, part, count(p.id) AS n, count(p.id) AS placed FROM parts LEFT JOIN pts p ON p.id % 2 = parts.part GROUP BY part"
+    for name in EVERY_METHOD
+)
+
+
+@query("every_method_keeps_rows", f"WITH {PTS}, parts AS (SELECT unnest([2, 1]) AS part) {KEPT_ROWS}")
+def every_method_keeps_rows(spark, sf):
+    """All methods on the rows of odd ids, and on a part of the table that has no rows at all."""
+    out = None
+    for part in (2, 1):
+        for name, assigned in _every_method(core.pts(spark, sf).filter(F.col("id") % 2 == part)).items():
+            counted = assigned.agg(F.count(F.lit(1)).alias("n"), F.count("cell_id").alias("placed"))
+            row = counted.select(F.lit(name).alias("method"), F.lit(part).alias("part"), "n", "placed")
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -87,6 +87,16 @@ def polygon_runs(spark, sf):
     return readers.vertex_runs(p.filter(F.col("row_no") != last))
 
 
+@query(
+    "polygon_runs_incomplete",
+    f"""WITH {PTS}, v AS (SELECT id // 5 AS poly_id FROM pts WHERE id % 7 <> 0)
+    SELECT poly_id, count(*) AS vertices FROM v GROUP BY poly_id HAVING count(*) <> 5""",
+)
+def polygon_runs_incomplete(spark, sf):
+    p = core.pts(spark, sf).withColumnRenamed("id", "row_no")
+    return readers.incomplete_runs(p.filter(F.col("row_no") % 7 != 0))
+
+
 @query(
     "merge_files",
     f"""WITH {PTS}, {WINDOWS} SELECT CAST('points' AS VARCHAR) AS kind, count(*) AS n, count(x) AS with_x FROM pts

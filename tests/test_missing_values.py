@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from terrafold.operators import lookup, models, prepare
+from terrafold.operators import cells, joins, lookup, models, prepare
 from terrafold.plans.extent import Extent
 from terrafold.plans.ordering import exact_quantiles, number_rows
+from terrafold.plans.pyramid import PointIndex
 
 
 def points(spark):
@@ -37,3 +38,22 @@ def test_batch_existence_does_not_multiply(spark):
     probes = spark.createDataFrame([(i, 1.0, 2.0) for i in range(300)] + [(900, 3.0, 4.0), (901, 9.0, 9.0)], "qid bigint, qx double, qy double")
     got = {r["qid"]: r["found"] for r in lookup.points_exist(many, probes).collect()}
     assert len(got) == 302 and got[900] and not got[901] and got[5]
+
+
+def test_infinite_coordinates_are_missing_everywhere(spark):
+    rows = [(i, float(i % 50), float(i % 37), "g") for i in range(500)]
+    wild = rows + [(500 + k, v, 1.0, "g") for k, v in enumerate((math.inf, -math.inf, math.nan, None))]
+    schema = "id bigint, x double, y double, g string"
+    clean, odd = spark.createDataFrame(rows, schema), spark.createDataFrame(wild, schema)
+    for make in (
+        lambda p: cells.grid_cells(p, 8), lambda p: cells.quad_tree_cells(p, 16), lambda p: cells.kd_tree_cells(p, 8, exact=True),
+        lambda p: cells.quantile_grid(p, 16), lambda p: cells.assign_to_boxes(p, cells.sort_tile_boxes(p, 9)),
+    ):
+        want = {r["id"]: r["cell_id"] for r in make(clean).collect()}
+        got = {r["id"]: r["cell_id"] for r in make(odd).collect()}
+        assert {i: c for i, c in got.items() if i < 500} == want and len(got) == 504
+        assert all(c in (None, -1) for i, c in got.items() if i >= 500)
+    index = PointIndex.build(odd)
+    everything = spark.createDataFrame([(1, -1e300, -1e300, 1e300, 1e300)], "qid int, min_x double, min_y double, max_x double, max_y double")
+    assert joins.window_counts(index, everything).first()["n"] == 500
+    assert joins.window_join(index, everything).count() == 500

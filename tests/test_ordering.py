@@ -7,7 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrafold.plans.ordering import Cuts, RangeOrder, add_buckets, exact_quantiles, number_rows, with_neighbours
+from conftest import plan_of
+from terrafold.plans.ordering import (
+    PART, Cuts, RangeOrder, add_buckets, exact_quantiles, in_ranges, number_rows, running_total, with_neighbours,
+)
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +77,20 @@ def test_add_buckets_edges(spark):
     got = [r["b"] for r in add_buckets(df, b=("v", Cuts((0.0, 1.0)))).orderBy("v").collect()]
     assert got == [0, 1, 2, 2]
     assert [r["b"] for r in add_buckets(df, b=("v", Cuts(()))).collect()] == [0] * 4
+
+
+def test_numbering_shuffles_rows_once(spark, rows):
+    """One exchange by range under the written ranges; what is left is a join with one row per range."""
+    df = spark.createDataFrame(rows)
+    plan = plan_of(number_rows(df, ["y", "x", "id"]))
+    assert "SortMergeJoin" not in plan and "rangepartitioning" not in plan
+    placed, parts = in_ranges(df, ["y", "x", "id"], parts=16)
+    sizes = [r["n"] for r in placed.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert parts == 16 and max(sizes) < len(rows) / 8  # although a sixth of the rows agree on both x and y
+
+
+def test_running_total_by_text_and_null_groups(spark):
+    data = [("b", None, 1), ("a", None, 2), ("c", "g", 4), (None, "g", 8), ("d", "g", 16)]
+    df = spark.createDataFrame(data, "k string, g string, v int")
+    got = {(r["g"], r["k"]): r["t"] for r in running_total(df, ["k"], F.col("v"), "t", by=["g"]).collect()}
+    assert got == {(None, "a"): 2, (None, "b"): 3, ("g", None): 8, ("g", "c"): 12, ("g", "d"): 28}
