@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import fold, read
+from terrafold.llm.decontam import decontaminate
 from terrafold.llm.exact import exact_dedup
 from terrafold.llm.languages import identify, language_samples
 from terrafold.llm.licenses import license_scan
@@ -148,3 +149,30 @@ def op10_toxicity(spark, sf):
     model = fit(docs, read(spark, sf, "labels").select("doc_id", "toxic"))
     out = score_toxicity(docs.select("doc_id", "text", (fold() == 0).alias("held_out")), model)
     return out.select("doc_id", "held_out", "score", "predicted")
+
+
+_WORDS = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op11_decontamination",
+    f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+     b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+     i AS (SELECT item, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
+     v AS (SELECT item, n, list_slice(w, s, s + n - 1) AS win FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+     k AS (SELECT DISTINCT n, win FROM v),
+     p AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n),
+     h AS (SELECT p.rid, p.s, k.n, k.win FROM p JOIN k ON k.n = p.n AND k.win = list_slice(p.w, p.s, p.s + p.n - 1)),
+     c AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS place FROM h) GROUP BY rid),
+     t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM
+             (SELECT DISTINCT h.rid, v.item FROM h JOIN v ON v.n = h.n AND v.win = h.win WHERE v.item IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items,
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+""",
+)
+def op11_decontamination(spark, sf):
+    out = decontaminate(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"), remove=None)
+    items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
