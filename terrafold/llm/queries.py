@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm.common import fold, read
+from terrafold.llm.codes import compress, label_errors
 from terrafold.llm.decontam import decontaminate
 from terrafold.llm.exact import exact_dedup
 from terrafold.llm.languages import identify, language_samples
@@ -176,3 +177,36 @@ def op11_decontamination(spark, sf):
     out = decontaminate(read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark"), remove=None)
     items = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return out.select("doc_id", "n_words", "n_hit", "n_items", items, "contaminated")
+
+
+def _codes_sql(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """The rounds of op13 one after the other; ``a0`` to ``a4`` are assignments, ``b0`` to ``b4`` codebooks."""
+    steps = [f"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+      list_transform(embedding, lambda x: floor({1024} * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT rid, part, list_slice(v, part * len(v) // {parts} + 1, (part + 1) * len(v) // {parts}) AS x
+      FROM k, range({parts}) r(part)),
+    b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+      SELECT p.rid, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+      FROM p JOIN b{i} b USING (part)) GROUP BY rid, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT part, entry, list(y ORDER BY pos) AS x FROM (
+      SELECT part, entry, pos, floor(sum(c) / count(*)) AS y FROM (
+        SELECT a.part, a.entry, unnest(p.x) AS c, generate_subscripts(p.x, 1) AS pos FROM a{i} a JOIN p USING (rid, part)) GROUP BY ALL) GROUP BY ALL),
+    b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+    e AS (SELECT rid, string_agg(lpad(lower(to_hex(entry)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+    l AS (SELECT k.label, CAST(sum(e.error) AS BIGINT) AS label_error FROM k JOIN e USING (rid) GROUP BY k.label),
+    s AS (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+          FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM b{rounds}))
+    SELECT k.vec_id, e.code, e.error, l.label_error, s.codebooks_sha256
+    FROM k JOIN e USING (rid) JOIN l ON l.label IS NOT DISTINCT FROM k.label, s"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark, sf):
+    out = label_errors(compress(read(spark, sf, "embeddings").select("vec_id", "embedding", "label")).rows)
+    digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
+    return out.select("vec_id", digits, "error", "label_error", "codebooks_sha256")
