@@ -17,6 +17,7 @@ from terrafold.llm.lines import line_dedup
 from terrafold.llm.mixing import mix
 from terrafold.llm.packing import pack_documents
 from terrafold.llm.pii import find_pii
+from terrafold.llm.prefixes import conversation_turns, prefix_trie, with_borrowed_heads
 from terrafold.llm.simhash import near_duplicates
 from terrafold.llm.topk import top_k
 from terrafold.llm.toxicity import fit, score_toxicity
@@ -210,3 +211,42 @@ def op13_vector_codes(spark, sf):
     out = label_errors(compress(read(spark, sf, "embeddings").select("vec_id", "embedding", "label")).rows)
     digits = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code")
     return out.select("vec_id", digits, "error", "label_error", "codebooks_sha256")
+
+
+# crc32 of the digits of an id, bit by bit: each byte, then eight steps, in one list.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+    string_split(CAST(c AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"""
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) - 1 AS pos,
+             md5(length(r) || ':' || r || x) AS k, strlen(x) AS size
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+     i AS (SELECT c, c - c % 5 AS base, {_CRC32} % 9 AS h FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)),
+     b AS (SELECT i.c, 0 AS own, t.pos, t.k, t.size FROM i JOIN t ON t.conv_id = i.base AND t.pos < i.h
+           UNION ALL SELECT i.c, 1, t.pos, t.k, t.size FROM i JOIN t ON t.conv_id = i.c AND t.pos >= i.h),
+     s AS (SELECT i.c, coalesce(list(b.k ORDER BY b.own, b.pos) FILTER (b.k IS NOT NULL), []) AS ks,
+             coalesce(list(b.size ORDER BY b.own, b.pos) FILTER (b.k IS NOT NULL), []) AS sizes FROM i LEFT JOIN b ON b.c = i.c GROUP BY i.c),
+     m AS MATERIALIZED (SELECT c, len(ks) AS n, d AS depth, array_to_string(list_slice(ks, 1, d), '') AS p,
+             CASE WHEN d > 0 THEN array_to_string(list_slice(ks, 1, d - 1), '') END AS up, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+           FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM s)),
+     n AS MATERIALIZED (SELECT p, any_value(up) AS up, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+             (count(*) - 1) * any_value(size) AS own_saved, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = depth), '')) AS ends_sha256
+           FROM m GROUP BY p),
+     k AS (SELECT up AS p, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+     a AS (SELECT left(n.p, CAST(32 * d AS BIGINT)) AS p, count(*) FILTER (k.p IS NULL) AS n_leaves, sum(n.own_saved) AS saved
+           FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM n) n LEFT JOIN k ON k.p = n.p GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       a.n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN a ON a.p = n.p LEFT JOIN k ON k.p = n.p LEFT JOIN n u ON u.p = n.up
+""",
+)
+def op12_prefix_trie(spark, sf):
+    turns, ids = with_borrowed_heads(conversation_turns(read(spark, sf, "conversations")))
+    out = prefix_trie(turns, ids)
+    return out.select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256"
+    )
