@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.plans.ordering import add_buckets
 from terrafold.plans.pyramid import BORDER, BOX, COVERED, DISJOINT, PointIndex
+from terrafold.plans.session import written
 
 WINDOW = tuple(f"w_{b}" for b in BOX)
 
@@ -133,10 +135,28 @@ def polygon_counts(index: PointIndex, polygons: DataFrame, key: str = "poly_id")
     return polygons.select(key).join(found, key, "left").withColumn("n", _or_zero())
 
 
+def edge_slabs(index: PointIndex, edges: DataFrame, key: str = "poly_id") -> DataFrame:
+    """Edges (poly_id, x1, y1, x2, y2) cut at the y cuts of the rank grid: a row per slab ``by`` that an edge enters,
+    with the x buckets ``c0`` to ``c1`` that it covers and ``spans``, whether it goes through the whole slab.
+
+    Level edges and edges with missing ends cross no ray and are left out."""
+    low, high = (lambda a, b: F.least(F.col(a), F.col(b))), (lambda a, b: F.greatest(F.col(a), F.col(b)))
+    ends = edges.select(key, "x1", "y1", "x2", "y2").filter(F.col("y1") != F.col("y2")).withColumns({
+        "__lx": low("x1", "x2"), "__hx": high("x1", "x2"), "__ly": low("y1", "y2"), "__hy": high("y1", "y2")
+    })
+    grid = index.grid
+    placed = add_buckets(ends, c0=("__lx", grid.x), c1=("__hx", grid.x), s0=("__ly", grid.y), s1=("__hy", grid.y))
+    slabs = placed.withColumn("by", F.explode(F.sequence("s0", "s1")))
+    return slabs.withColumn("spans", (F.col("by") > F.col("s0")) & (F.col("by") < F.col("s1"))).drop("__lx", "__hx", "__ly", "__hy", "s0", "s1")
+
+
 def polygon_join_by_edges(index: PointIndex, edges: DataFrame, key: str = "poly_id") -> DataFrame:
-    """The same pairs from an edges table (poly_id, x1, y1, x2, y2): parity of crossings by grouping.
+    """The same pairs from an edges table (poly_id, x1, y1, x2, y2), for polygons with very many edges.
 
-    An independent second form; it shuffles candidate pairs and is meant for polygons with very many edges.
+    A ray going right from a point can only cross edges of its slab. Edges that go through the whole slab to the right
+    of a cell cross the rays of all its points: their number is taken once per (polygon, cell). Edges to the left cross
+    none. What is left, the edges near the cell and those that end inside the slab, meets the points on (polygon, slab);
+    no point meets all edges of a polygon. A bucket's width is kept between near and far, so rounding decides nothing.
     """
     boxes = edges.groupBy(key).agg(
         F.min(F.least("x1", "x2")).alias("min_x"),
@@ -145,7 +165,18 @@ def polygon_join_by_edges(index: PointIndex, edges: DataFrame, key: str = "poly_
         F.max(F.greatest("y1", "y2")).alias("max_y"),
     )
     candidates = window_join(index, boxes, key).select(key, "id", "x", "y")
-    crossings = candidates.join(edges, key).filter(g.edge_crosses("x1", "y1", "x2", "y2", "x", "y"))
+    candidates = written(index.grid.add(candidates), "edge-candidates")
+    slabs = written(edge_slabs(index, edges, key), "edge-slabs")
+    far = F.col("spans") & (F.col("c0") > F.col("bx") + 1)
+
+    spanning = slabs.filter("spans").groupBy(key, "by", "c0").agg(F.count(F.lit(1)).alias("n"))
+    cells = candidates.select(key, "bx", "by").distinct()
+    odd = cells.join(spanning, [key, "by"]).filter(F.col("c0") > F.col("bx") + 1).groupBy(key, "bx", "by").agg(F.sum("n").alias("n"))
+    always = candidates.join(odd.filter("n % 2 = 1").drop("n"), [key, "bx", "by"]).select(key, "id", "x", "y")
+
+    near = (F.col("c1") >= F.col("bx") - 1) & ~far & g.edge_crosses("x1", "y1", "x2", "y2", "x", "y")
+    sometimes = candidates.join(slabs, [key, "by"]).filter(near).select(key, "id", "x", "y")
+    crossings = always.unionByName(sometimes)
     odd = crossings.groupBy(key, "id").agg(F.count(F.lit(1)).alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
     return odd.filter(F.col("c") % 2 == 1).drop("c")
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.plans.pyramid import BORDER, DISJOINT, PointIndex
+from terrafold.plans.session import bounded_broadcast, written
 
 
 def point_lookup(points: DataFrame, qx: float, qy: float, distinct: bool = False) -> DataFrame:
@@ -23,9 +25,29 @@ def point_exists(points: DataFrame, qx: float, qy: float) -> DataFrame:
 def points_exist(points: DataFrame, probes: DataFrame, key: str = "qid") -> DataFrame:
     """Batch form: probes (key, qx, qy) with a ``found`` flag.
 
-    Places are made distinct first, with partial sums, so many points and many probes at one place never multiply.
+    Probed places are made distinct first; points keep only what lies at one of them, before anything of theirs is
+    shuffled while the places are few; then the places found are distinct, so nothing multiplies.
     """
-    places = points.select(F.col("x").alias("__x"), F.col("y").alias("__y")).distinct().withColumn("found", F.lit(True))
+    asked = written(probes.select(F.col("qx").alias("__px"), F.col("qy").alias("__py")).distinct(), "probed-places")
+    return _flagged(points, bounded_broadcast(asked, asked.count()), probes)
+
+
+def indexed_points_exist(index: PointIndex, probes: DataFrame, key: str = "qid") -> DataFrame:
+    """``points_exist`` over an index: probed places walk the pyramid, and only the folders of their cells are read."""
+    asked = probes.select(F.col("qx").alias("__px"), F.col("qy").alias("__py")).distinct()
+    box = (F.col("__px"), F.col("__py"), F.col("__px"), F.col("__py"))
+    pairs = index.stored(index.descend(asked, lambda node: F.when(g.boxes_intersect(box, node), BORDER).otherwise(DISJOINT), settle=False))
+    here = index.join_points(pairs, g.same_point("x", "y", "__px", "__py"))
+    return _with_flag(here.select(F.col("__px").alias("__x"), F.col("__py").alias("__y")), probes)
+
+
+def _flagged(points: DataFrame, asked: DataFrame, probes: DataFrame) -> DataFrame:
+    hits = points.select(F.col("x").alias("__x"), F.col("y").alias("__y")).join(asked, g.same_point("__x", "__y", "__px", "__py"), "left_semi")
+    return _with_flag(hits, probes)
+
+
+def _with_flag(hits: DataFrame, probes: DataFrame) -> DataFrame:
+    places = hits.distinct().withColumn("found", F.lit(True))
     joined = probes.join(places, g.same_point("__x", "__y", "qx", "qy"), "left").drop("__x", "__y")
     return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 

@@ -187,6 +187,7 @@ def estimate_rank(
     crosses, so ranges are independent of each other.
     """
     knots = stored(knots, "knots")
+    asked, keys = keys, keys.select(cell, "key").distinct()  # a key that many rows ask is looked up once
     segments = _segments(knots, cell).select(
         cell, F.col("key").alias("k0"), F.col("rank").alias("r0"), F.col("next_key").alias("k1"), "slope"
     )
@@ -205,8 +206,7 @@ def estimate_rank(
         F.lit(0).alias("kind"),
         F.struct("k0", "r0", "slope").alias("seg"),
     )
-    asked = ranges.add(keys)
-    rows = asked.select(
+    rows = ranges.add(keys).select(
         cell, "__b0", F.col("key").alias("at"), F.lit(1).alias("kind"), F.struct(*keys.columns).alias("row")
     )
     w = Window.partitionBy(cell, "__b0").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -218,7 +218,8 @@ def estimate_rank(
         .when(key >= F.col("k_last"), F.col("r_last").cast("double"))
         .otherwise(F.col("seg.r0") + (key - F.col("seg.k0")) * F.col("seg.slope"))
     )
-    return found.select("row.*", "seg").join(ends, cell).withColumn("est", est).select(*keys.columns, "est")
+    known = found.select("row.*", "seg").join(ends, cell).withColumn("est", est).select(F.col(cell).alias("__cell"), F.col("key").alias("__key"), "est")
+    return asked.drop("est").join(known, (F.col(cell) == F.col("__cell")) & (F.col("key") == F.col("__key"))).select(*[c for c in asked.columns if c != "est"], "est")
 
 
 def fit_error(knots: DataFrame, model: DataFrame, cell: str = "cell_id") -> DataFrame:

@@ -150,14 +150,24 @@ def unit_index(spark: SparkSession, sf: str) -> PointIndex:
     return built(spark, sf, "unit_index", lambda: PointIndex.build(unit(spark, sf)))
 
 
-def layout(spark: SparkSession, sf: str) -> ClusteredPoints:
-    """KD-tree cells written as a clustered layout."""
+# Ways to lay points out in folders; the KD tree is the default.
+LAYOUTS = {
+    "stripes": lambda p, e: cells.fixed_stripes(p, e).drop("stripe"),
+    "adaptive_stripes": lambda p, e: cells.adaptive_stripes(p, e).drop("stripe"),
+    "quantile_grid": lambda p, e: cells.quantile_grid(p, ext=e),
+    "quad_tree": lambda p, e: cells.quad_tree_cells(p, ext=e),
+    "sort_tiles": lambda p, e: cells.assign_to_boxes(p, cells.sort_tile_boxes(p, ext=e)),
+}
+
+
+def layout(spark: SparkSession, sf: str, method: str = "kd_tree") -> ClusteredPoints:
+    """Points written as a clustered layout."""
 
     def make() -> ClusteredPoints:
-        assigned = cells.kd_tree_cells(pts(spark, sf), ext=ext(spark, sf))
-        return ClusteredPoints.write(assigned, scratch_path(spark, "layout"))
+        assign = LAYOUTS.get(method, lambda p, e: cells.kd_tree_cells(p, ext=e))
+        return ClusteredPoints.write(assign(pts(spark, sf), ext(spark, sf)), scratch_path(spark, "layout"))
 
-    return built(spark, sf, "layout", make)
+    return built(spark, sf, f"layout-{method}", make)
 
 
 def grid_assigned(spark: SparkSession, sf: str, n: int) -> DataFrame:

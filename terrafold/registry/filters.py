@@ -83,20 +83,29 @@ def point_exists(spark, sf):
     return lookup.point_exists(core.pts(spark, sf), *_probe(spark, sf))
 
 
-@query(
-    "points_exist",
-    f"""WITH {PTS}, probes AS (
+POINTS_EXIST_SQL = f"""WITH {PTS}, probes AS (
       SELECT id * 2 AS qid, x AS qx, y AS qy FROM pts
       UNION ALL SELECT id * 2 + 1, x + CAST(12345.678 AS DOUBLE), y - CAST(9876.543 AS DOUBLE) FROM pts)
-    SELECT qid, EXISTS (SELECT 1 FROM pts WHERE x = qx AND y = qy) AS found FROM probes""",
-)
-def points_exist(spark, sf):
+    SELECT qid, EXISTS (SELECT 1 FROM pts WHERE x = qx AND y = qy) AS found FROM probes"""
+
+
+def _probes(spark, sf):
     p = core.pts(spark, sf)
     here = p.select((F.col("id") * 2).alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     away = p.select(
         (F.col("id") * 2 + 1).alias("qid"), (F.col("x") + 12345.678).alias("qx"), (F.col("y") - 9876.543).alias("qy")
     )
-    return lookup.points_exist(p, here.unionByName(away)).select("qid", "found")
+    return here.unionByName(away)
+
+
+@query("points_exist_indexed", POINTS_EXIST_SQL)
+def points_exist_indexed(spark, sf):
+    return lookup.indexed_points_exist(core.index(spark, sf), _probes(spark, sf)).select("qid", "found")
+
+
+@query("points_exist", POINTS_EXIST_SQL)
+def points_exist(spark, sf):
+    return lookup.points_exist(core.pts(spark, sf), _probes(spark, sf)).select("qid", "found")
 
 
 @query(
@@ -264,3 +273,24 @@ def row_numbers(spark, sf):
 @query("sort_by_y", f"WITH {PTS} SELECT id, x, y FROM pts ORDER BY y, x, id")
 def sort_by_y(spark, sf):
     return lookup.sort_by_y(core.pts(spark, sf))
+
+
+# ---------------------------------------------------------------- the same queries over every layout
+
+for _method in core.LAYOUTS:
+
+    @query(f"range_query_{_method}", RANGE_SQL)
+    def range_query_layout(spark, sf, method=_method):
+        return core.layout(spark, sf, method).range_query(WINDOW)
+
+    @query(f"range_count_{_method}", RANGE_COUNT_SQL)
+    def range_count_layout(spark, sf, method=_method):
+        return core.layout(spark, sf, method).range_count(BIG_WINDOW)
+
+    @query(f"point_lookup_{_method}", LOOKUP_SQL)
+    def point_lookup_layout(spark, sf, method=_method):
+        return core.layout(spark, sf, method).point_lookup(*_probe(spark, sf))
+
+    @query(f"knn_{_method}", KNN_SQL)
+    def knn_layout(spark, sf, method=_method):
+        return core.layout(spark, sf, method).knn(250000.0, 1200.0, 10).withColumn("dist", r6("dist"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from terrafold.operators import joins, sampling
+from terrafold.plans.ordering import number_rows
+from terrafold.plans.session import written
 from terrafold.registry import core
 from terrafold.registry.core import EXT, INSIDE, PLACES, POLYS, PTS, WINDOWS, query
 from terrafold.sources import readers
@@ -89,6 +93,32 @@ def polygon_join_by_edges(spark, sf):
     return joins.polygon_join_by_edges(core.index(spark, sf), edges).select("poly_id", "id")
 
 
+STAR = f"""{PTS}, star AS (
+  SELECT seq, 250000 + (20000 + x / 2.5) * cos(2 * pi() * seq / n) AS x, 1200 + (100 + x / 500) * sin(2 * pi() * seq / n) AS y
+  FROM (SELECT row_number() OVER (ORDER BY id) - 1 AS seq, count(*) OVER () AS n, x FROM pts)),
+rim AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM star a JOIN star b ON b.seq = (a.seq + 1) % (SELECT count(*) FROM star))"""
+
+
+@query(
+    "polygon_join_many_edges",
+    f"""WITH {STAR}, cut AS (SELECT floor(y / 10) AS s, x, y, id FROM pts),
+    edge AS (SELECT *, unnest(range(CAST(floor(least(y1, y2) / 10) AS BIGINT), CAST(floor(greatest(y1, y2) / 10) AS BIGINT) + 1)) AS s FROM rim)
+    SELECT CAST(1 AS BIGINT) AS poly_id, p.id FROM cut p JOIN edge e ON e.s = p.s
+      AND ((e.y1 > p.y) <> (e.y2 > p.y)) AND p.x < (e.x2 - e.x1) * (p.y - e.y1) / nullif(e.y2 - e.y1, 0) + e.x1
+    GROUP BY p.id HAVING count(*) % 2 = 1""",
+)
+def polygon_join_many_edges(spark, sf):
+    """One polygon with a vertex per order."""
+    p, n = core.pts(spark, sf), core.ext(spark, sf).n
+    turn = F.lit(2 * math.pi) * F.col("seq") / F.lit(n)
+    ring = number_rows(p, ["id"], "seq", n=n).select(
+        F.lit(1).cast("bigint").alias("poly_id"), "seq",
+        (250000 + (20000 + F.col("x") / 2.5) * F.cos(turn)).alias("x"), (1200 + (100 + F.col("x") / 500) * F.sin(turn)).alias("y"),
+    )
+    edges = readers.edges_from_vertices(written(ring, "star"))
+    return joins.polygon_join_by_edges(core.index(spark, sf), edges).select("poly_id", "id")
+
+
 @query(
     "polygon_counts",
     f"""WITH {INSIDE} SELECT e.poly_id, count(i.id) AS n FROM envelopes e LEFT JOIN inside i ON e.poly_id = i.poly_id

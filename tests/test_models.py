@@ -110,3 +110,10 @@ def test_size_bound_holds_over_many_chunks(spark, model):
         for c in {c for c, _ in curve}:
             keys = [k for d, k in curve if d == c]
             assert min(per_cell[c]) == min(keys) and max(per_cell[c]) == max(keys)
+
+
+def test_a_key_that_many_rows_ask(spark):
+    knots = spark.createDataFrame([(0, 0.0, 0), (0, 10.0, 100)], "cell_id int, key double, rank bigint")
+    asked = spark.createDataFrame([(i, 0, 4.0 if i % 3 else float(i % 10)) for i in range(3000)], "no int, cell_id int, key double")
+    got = models.estimate_rank(knots, asked).collect()
+    assert len(got) == 3000 and all(r["est"] == 10 * r["key"] for r in got)

@@ -8,8 +8,9 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from terrafold.operators import joins, nearest
+from terrafold.operators import joins, lookup, nearest
 from terrafold.plans.pyramid import PointIndex
+from terrafold.sources import readers
 
 N = 3_000
 
@@ -244,3 +245,36 @@ def test_windows_that_repeat_a_key_keep_their_own_counts(spark, index, data, box
     asked = spark.createDataFrame(rows, "qid int, min_x double, min_y double, max_x double, max_y double")
     got = sorted(r["n"] for r in joins.window_counts(index, asked).collect())
     assert got == sorted([0, int(((data.x == 40) & (data.y == 20)).sum()), len(data), len(data)])
+
+
+def test_edges_meet_points_on_polygon_and_slab(spark):
+    """A ring of many edges: equal to the array form, and no join of points and edges on the polygon alone."""
+    rng = np.random.default_rng(9)
+    n = 2_000
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-10, 10, (4_000, 2)))], "id bigint, x double, y double")
+    index = PointIndex.build(pts, per_cell=16)
+    turn, radius = np.linspace(0, 2 * np.pi, n, endpoint=False), rng.uniform(3, 9, n)
+    ring = [(float(r * np.cos(t)), float(r * np.sin(t))) for r, t in zip(radius, turn)]
+    square = [(-2.0, -2.0), (2.0, -2.0), (2.0, 2.0), (-2.0, 2.0)]
+    both = spark.createDataFrame([(k, i, *v) for k, vs in ((1, ring), (2, square)) for i, v in enumerate(vs)], "poly_id bigint, seq bigint, x double, y double")
+    edges = readers.edges_from_vertices(both)
+    joined = joins.polygon_join_by_edges(index, edges)
+    got = sorted(map(tuple, joined.select("poly_id", "id").collect()))
+    want = sorted(map(tuple, joins.polygon_join(index, readers.rings_from_vertices(both)).select("poly_id", "id").collect()))
+    assert got == want and len(want) > 1_000
+    slabs = joins.edge_slabs(index, edges)
+    per_slab = slabs.groupBy("poly_id", "by").count().agg(F.max("count")).first()[0]
+    assert per_slab < n / 2 and not slabs.filter("c0 > c1").count()
+    plan = plan_of(joined)
+    keys = [line for line in plan.splitlines() if "Join" in line and "by#" in line]
+    assert keys and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_probes_walk_the_pyramid(spark):
+    pts = spark.createDataFrame([(i, float(i % 40), float(i // 40)) for i in range(4_000)] + [(5_000, None, 1.0)], "id bigint, x double, y double")
+    index = PointIndex.build(pts, per_cell=16, rows_per_folder=100)
+    probes = spark.createDataFrame([(1, 3.0, 5.0), (2, 3.0, 5.0), (3, 3.5, 5.0), (4, None, 1.0), (5, 1e9, 0.0)], "qid int, qx double, qy double")
+    for got in (lookup.indexed_points_exist(index, probes), lookup.points_exist(pts, probes)):
+        assert {r["qid"]: r["found"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    plan = plan_of(lookup.points_exist(pts, probes))
+    assert "BroadcastHashJoin" in plan
