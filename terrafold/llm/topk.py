@@ -25,14 +25,14 @@ LONG = 2**63 - 1
 
 
 def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v) with v = floor(scale * x) as exact doubles. Vectors that are null or hold a null or
-    non-finite component take no part, nor do rows without an id. Of rows that repeat an id the smallest
-    vector stays."""
+    """(rid, vec_id, v) with v = floor(scale * x) as exact doubles and rid a number of the row's own; write the
+    table before using it twice. Vectors that are null or hold a null or non-finite component take no part, nor do
+    rows without an id. Rows that repeat an id are rows of their own."""
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == F.lit(float("inf"))))
     good = vectors.filter(F.col("vec_id").isNotNull() & x.isNotNull() & ~bad)
     v = F.transform(x, lambda e: _floor(e.cast("double") * scale))
-    return good.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return good.select(F.monotonically_increasing_id().alias("rid"), "vec_id", v.alias("v"))
 
 
 def _floor(d):
@@ -52,8 +52,8 @@ def _exact(rows: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
     return np.array([max(-LONG - 1, min(LONG, sum(int(a) * int(b) for a, b in zip(r, q)))) for r in rows], dtype=np.int64)
 
 
-def search_block(ids, rows, query_ids, queries, k: int, low: float, step: float, read: int = READ) -> list[tuple]:
-    """The ``k`` best rows of one block for each query, as (query_id, vec_id, score).
+def search_block(rids, ids, rows, query_rids, query_ids, queries, k: int, low: float, step: float, read: int = READ) -> list[tuple]:
+    """The ``k`` best rows of one block for each query, its own row left out, as (query_rid, query_id, vec_id, score).
 
     Each component is known by its cell only: its middle, and at most half a cell beside it. The product with
     the middles, plus or minus half a cell times the query's absolute sum, bounds a score. Rows are read
@@ -66,10 +66,10 @@ def search_block(ids, rows, query_ids, queries, k: int, low: float, step: float,
     about = queries @ middles.T
     slack = np.abs(queries).sum(axis=1) * step / 2 + 1e-9 * size + 1e-6
     out = []
-    for i, query_id in enumerate(query_ids):
+    for i, (query_rid, query_id) in enumerate(zip(query_rids, query_ids)):
         upper = about[i] + slack[i]
-        upper[ids == query_id] = -np.inf
-        n = len(ids) - int((ids == query_id).sum())
+        upper[rids == query_rid] = -np.inf
+        n = len(ids) - int((rids == query_rid).sum())
         if not n:
             continue
         kth = np.partition(about[i] - slack[i] if n == len(ids) else np.where(np.isinf(upper), -np.inf, about[i] - slack[i]), -min(k, n))[-min(k, n)]
@@ -82,7 +82,7 @@ def search_block(ids, rows, query_ids, queries, k: int, low: float, step: float,
             some = near[lo : lo + read]
             exact = _exact(rows[some], queries[i], small)
             best = sorted(best + [(-int(s), int(v)) for s, v in zip(exact, ids[some])])[:k]
-        out += [(int(query_id), v, -s) for s, v in best]
+        out += [(int(query_rid), int(query_id), v, -s) for s, v in best]
     return out
 
 
@@ -90,7 +90,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE, c
           rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's ``k`` highest integer inner products over all other rows.
 
-    Queries are the rows whose vec_id is divisible by ``every``. Both sides are cut into blocks of bounded size
+    Queries are the rows whose vec_id is divisible by ``every``; rows that repeat an id are a query each, and candidates
+    of one another. Both sides are cut into blocks of bounded size
     at random, and each pair of a query block with a row block of the same vector length is one group; what
     comes out is k rows per query and block. Ties go to the smaller vec_id. Vectors are compared with vectors
     of their own length. Scores outside the range of a long are kept at its ends.
@@ -106,21 +107,22 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 50, scale: int = SCALE, c
     step = max(1.0, (float(shape["high"] or 0.0) - low + 1) / 2**cell_bits)
     blocks = max(1, -(-shape["n"] // rows_per_block))
     query_blocks = max(1, -(-shape["q"] // queries_per_block))
-    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("vec_id")), F.lit(n)).cast("int")
+    own = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = table.select("dim", "vec_id", "v", own(blocks, 1).alias("rb")).select("*", all_of(query_blocks).alias("qb"))
-    asked = table.filter(F.col("vec_id") % every == 0).select("dim", "vec_id", "v", own(query_blocks, 2).alias("qb")).select("*", all_of(blocks).alias("rb"))
+    rows = table.select("dim", "rid", "vec_id", "v", own(blocks, 1).alias("rb")).select("*", all_of(query_blocks).alias("qb"))
+    asked = table.filter(F.col("vec_id") % every == 0).select("dim", "rid", "vec_id", "v", own(query_blocks, 2).alias("qb")).select("*", all_of(blocks).alias("rb"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
             found = search_block(
-                left.column("vec_id").to_numpy(), _matrix(left), right.column("vec_id").to_numpy(), _matrix(right), k, low, step
+                *[left.column(c).to_numpy() for c in ("rid", "vec_id")], _matrix(left),
+                *[right.column(c).to_numpy() for c in ("rid", "vec_id")], _matrix(right), k, low, step,
             )
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table([pa.array(c, type=pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        columns = list(zip(*found)) or [(), (), (), ()]
+        return pa.table([pa.array(c, type=pa.int64()) for c in columns], names=["query_rid", "query_id", "vec_id", "score"])
 
     keys = ["rb", "qb", "dim"]
-    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "query_rid bigint, query_id bigint, vec_id bigint, score bigint")
+    best = Window.partitionBy("query_rid").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -203,7 +203,18 @@ def test_top_k(spark):
     assert [(q, j, s) for q, _, j, s in huge] == [(q, j, -s) for q in sorted(by) for s, j in sorted(by[q])[:5]]
     assert topk.top_k(df.limit(0)).count() == 0
     twice = topk.top_k(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [1.0]), (1, [1.0])], df.schema))
-    assert [tuple(r) for r in twice.collect()] == [(0, 1, 1, 65536)]
+    # every row but the query's own is a candidate, also one of the same id
+    assert sorted(map(tuple, twice.collect())) == [(0, 1, 0, 131072)] * 2 + [(0, 2, 1, 65536), (0, 2, 1, 131072), (0, 3, 1, 65536), (0, 3, 1, 131072)]
+
+
+def test_top_k_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [3.0]), (1, [2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(df, k=2).collect()))
+    assert got == [(0, 1, 1, 196608), (0, 2, 1, 131072)]
+    hot = spark.createDataFrame([(7, [float(i)]) for i in range(300)] + [(50, [1.0])], df.schema)
+    named = hot.withColumns({c: F.lit("mine") for c in ("rid", "v", "dim", "rb", "qb", "score")})
+    got = sorted(map(tuple, topk.top_k(named, rows_per_block=50).collect()))
+    assert got == [(50, r + 1, 7, 65536 * (299 - r)) for r in range(5)]
 
 
 # ---------------------------------------------------------------- fingerprints
