@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import sys
 
@@ -27,10 +28,13 @@ NEAR_DISTANCE = 5
 WIDE_DISTANCE = 11
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
-# Distinct texts are searched in pairs of blocks of fingerprints, by four segments, with a radius that grows.
+# Distinct texts meet if a band of least shingle hashes agrees: a pair that shares 0.8 of its shingles is missed
+# with probability (1 - 0.8 ** BAND_ROWS) ** BANDS, 0.005.
+BANDS, BAND_ROWS = 10, 4
+HASHES_PER_BAND_BLOCK = 1_024
+# Texts that meet are compared on a ring of four segments.
 RING = 4
-RADII = (3, 7)
-NODES_PER_BLOCK = 65_536
+NODES_PER_BLOCK = 16_384
 PAIRS_PER_STEP = 1 << 20
 SKETCH_BITS = 512
 # Keys that more fingerprints share are refined by the next segments of the ring.
@@ -147,33 +151,92 @@ def shingle_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(buckets.astype(np.int64), minlength=SKETCH_BITS) & 1, bitorder="little").tobytes()
 
 
+@functools.cache
+def band_factors() -> tuple[np.ndarray, np.ndarray]:
+    """Seeded odd factors and offsets, one row for each hash of the bands."""
+    rng = np.random.default_rng(42)
+    factors = rng.integers(0, 2**64, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64) | np.uint64(1)
+    return factors, rng.integers(0, 2**64, size=(BANDS * BAND_ROWS, 1), dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One key per band: the hash of BAND_ROWS least values of the shingles, each under an order of its own.
+
+    Two sets agree in one least value with a probability of their Jaccard similarity. Texts without words share all keys.
+    """
+    import xxhash
+
+    factors, offsets = band_factors()
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(shingles), HASHES_PER_BAND_BLOCK):
+        some = shingles[lo : lo + HASHES_PER_BAND_BLOCK].view(np.uint64)
+        np.minimum(least, (some[None, :] * factors + offsets).min(axis=1), out=least)
+    bands = least.reshape(BANDS, BAND_ROWS)
+    keys = np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(bands)), dtype=np.uint64)
+    return keys.view(np.int64).tolist()
+
+
+def ring_within(a: str, b: str, distance: int, segments: int = RING) -> Column:
+    """True where some start on the ring has a chain within its budgets: its first k segments differ in at most
+    k * distance / segments bits, for every k up to the whole ring, which is the full Hamming check."""
+    width, diff = BITS // segments, F.expr(f"{a} ^ {b}")
+    found = F.lit(False)
+    for start in range(segments):
+        ring = diff if not start else F.shiftleft(diff, start * width).bitwiseOR(F.shiftrightunsigned(diff, BITS - start * width))
+        viable = F.lit(True)
+        for k in range(1, segments + 1):
+            viable = viable & (F.bit_count(F.shiftrightunsigned(ring, BITS - k * width)) <= k * distance // segments)
+        found = found | viable
+    return found
+
+
+def similar_sizes(similarity: float) -> Column:
+    """Sets of very different sizes cannot share that much."""
+    return F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - F.lit(1e-6)
+
+
 class Side:
-    """Texts of one block: node, fingerprint, number of shingles, sketch and the component so far."""
+    """Texts that share a key: node, fingerprint, number of shingles, sketch and the component so far."""
+
+    def __init__(self, node: np.ndarray, comp: np.ndarray, size: np.ndarray, fp: np.ndarray, sketch: np.ndarray):
+        self.node, self.comp, self.size, self.fp, self.sketch = node, comp, size, fp, sketch
 
-    def __init__(self, table: pa.Table):
+    @classmethod
+    def of(cls, table: pa.Table) -> Side:
         whole = lambda c: table.column(c).to_numpy()
-        self.node, self.comp, self.size = whole("node"), whole("comp"), whole("n").astype(np.int64)
-        self.fp = whole("fp").view(np.uint64)
-        self.sketch = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(len(self.node), -1)
+        sketch = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype="<u8").reshape(table.num_rows, -1)
+        return cls(whole("node"), whole("comp"), whole("n").astype(np.int64), whole("fp").view(np.uint64), sketch)
+
+    def where(self, rows: np.ndarray) -> Side:
+        return Side(self.node[rows], self.comp[rows], self.size[rows], self.fp[rows], self.sketch[rows])
+
 
+def chain_viable(diff: np.ndarray, start: int, distance: int) -> np.ndarray:
+    """The chain that begins at ``start`` stays within its budgets all around the ring."""
+    width = BITS // RING
+    ring = diff if not start else (diff >> np.uint64(start * width)) | (diff << np.uint64(BITS - start * width))
+    viable = np.ones(len(diff), dtype=bool)
+    for k in range(1, RING + 1):
+        chain = ring if k == RING else ring & np.uint64((1 << (k * width)) - 1)
+        viable &= np.bitwise_count(chain) <= k * distance // RING
+    return viable
 
-def block_pairs(a: Side, b: Side, same: bool, distance: int, beyond: int, similarity: float):
-    """Yields (rows of a, rows of b), each pair once: fingerprints more than ``beyond`` and at most ``distance`` bits
-    apart, in different components, and not ruled out by their numbers of shingles or their sketches.
 
-    Fingerprints within d bits agree up to d // 4 bits in one of four segments, so every row looks up all values
-    within that of its own segment; a pair is reported for the first such segment. At most PAIRS_PER_STEP pairs
-    are held at a time.
+def block_pairs(a: Side, b: Side, distance: int, similarity: float):
+    """Yields (rows of a, rows of b): fingerprints with a viable chain on the ring, in different components, and not
+    ruled out by their numbers of shingles or their sketches. Each pair of rows once, for its first viable start.
+
+    The first segment of a viable chain has a budget of distance // RING bits, so every row looks up all values
+    within that of its own segment. At most PAIRS_PER_STEP pairs are held at a time.
     """
     width, budget = BITS // RING, distance // RING
     low = np.uint64((1 << width) - 1)
     flips = [sum(1 << i for i in c) for k in range(budget + 1) for c in itertools.combinations(range(width), k)]
-    segment = lambda x, s: (x >> np.uint64(s * width)) & low
     for s in range(RING):
-        keys = segment(b.fp, s).astype(np.int64)
+        keys = ((b.fp >> np.uint64(s * width)) & low).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         starts = np.searchsorted(keys[order], np.arange((1 << width) + 1))
-        mine = segment(a.fp, s).astype(np.int64)
+        mine = ((a.fp >> np.uint64(s * width)) & low).astype(np.int64)
         for flip in flips:
             first = starts[mine ^ flip]
             count = starts[(mine ^ flip) + 1] - first
@@ -183,13 +246,12 @@ def block_pairs(a: Side, b: Side, same: bool, distance: int, beyond: int, simila
                 at = np.arange(lo, min(lo + PAIRS_PER_STEP, int(upto[-1])))
                 k = np.searchsorted(upto, at, side="right") - 1
                 i, j = hit[k], order[first[hit[k]] + at - upto[k]]
+                keep = a.comp[i] != b.comp[j]
+                i, j = i[keep], j[keep]
                 diff = a.fp[i] ^ b.fp[j]
-                bits = np.bitwise_count(diff).astype(np.int64)
-                keep = (bits <= distance) & (bits > beyond) & (a.comp[i] != b.comp[j])
-                if same:
-                    keep &= i < j
+                keep = chain_viable(diff, s, distance)
                 for t in range(s):
-                    keep &= np.bitwise_count(segment(diff, t)) > budget
+                    keep &= ~chain_viable(diff, t, distance)
                 i, j = i[keep], j[keep]
                 n, m = a.size[i], b.size[j]
                 keep = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
@@ -200,35 +262,33 @@ def block_pairs(a: Side, b: Side, same: bool, distance: int, beyond: int, simila
                     yield i[keep], j[keep]
 
 
-def proposed(nodes: DataFrame, n: int, distance: int, beyond: int, similarity: float, ends: bool = False) -> DataFrame:
-    """All pairs (a, b) of ``nodes`` (node, fp, n, bits, comp) that ``block_pairs`` finds; with ``ends`` the nodes in them.
+def hot_pairs(rows: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (key, many, node, fp, n, bits, comp) that share a key of many texts.
 
-    The nodes are dealt at random into blocks, and each pair of blocks is one group."""
-    blocks = max(1, -(-n // NODES_PER_BLOCK))
-    own = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(blocks)).cast("int")
-    left = nodes.withColumn("i", own).withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(blocks - 1))))
-    right = nodes.withColumn("j", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j"))))
-    names = ["node"] if ends else ["a", "b"]
+    The texts of a key are dealt into blocks of a fixed size that meet in pairs. Texts of the component that most
+    of two blocks belong to are compared with the others only, not with each other.
+    """
+    blocks = F.ceil(F.col("many") / NODES_PER_BLOCK).cast("int")
+    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(9), "node"), "blocks").cast("int"))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(own, blocks - 1)")))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.expr("sequence(0, own)")))
 
     def search(one: pa.Table, other: pa.Table) -> pa.Table:
         found = [np.empty((0, 2), dtype=np.int64)]
         if one.num_rows and other.num_rows:
-            same = one.column("i")[0].as_py() == one.column("j")[0].as_py()
-            a = Side(one)
-            b = a if same else Side(other)
-            seen_a, seen_b = np.zeros(len(a.node), dtype=bool), np.zeros(len(b.node), dtype=bool)
-            for i, j in block_pairs(a, b, same, distance, beyond, similarity):
-                if ends:
-                    seen_a[i], seen_b[j] = True, True
-                else:
-                    found.append(np.column_stack([a.node[i], b.node[j]]))
-            if ends:
-                return pa.table([pa.array(np.union1d(a.node[seen_a], b.node[seen_b]), type=pa.int64())], names=names)
-        rows = np.concatenate(found)
-        return pa.table([pa.array(rows[:, k], type=pa.int64()) for k in range(len(names))], names=names)
-
-    schema = ", ".join(f"{c} bigint" for c in names)
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(search, schema)
+            a, b = Side.of(one), Side.of(other)
+            comps, counts = np.unique(np.concatenate([a.comp, b.comp]), return_counts=True)
+            most = comps[np.argmax(counts)]
+            rest = a.where(a.comp != most)
+            for x, y in ((rest, b), (a.where(a.comp == most), b.where(b.comp != most))):
+                if len(x.node) and len(y.node):
+                    for i, j in block_pairs(x, y, distance, similarity):
+                        found.append(np.sort(np.column_stack([x.node[i], y.node[j]]), axis=1))
+        pairs = np.concatenate(found)
+        return pa.table([pa.array(pairs[:, k], type=pa.int64()) for k in range(2)], names=["a", "b"])
+
+    out = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(search, "a bigint, b bigint")
+    return out.distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -240,18 +300,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(enough).select("a", "b")
 
 
-def similar_roots(docs: DataFrame, nodes: DataFrame, words: int, distance: int, similarity: float) -> DataFrame:
+def similar_roots(docs: DataFrame, nodes: DataFrame, words: int, distance: int, similarity: float, key_rows: int = KEY_ROWS) -> DataFrame:
     """Rows (node, root) of the groups of ``nodes``, distinct texts, that links join; nodes without links are left out.
 
-    A link is a pair within ``distance`` bits that shares ``similarity`` of its shingles. First each text is checked
-    against the smallest document's text of its own fingerprint; then the radius grows, and only pairs in different
-    components are looked at, as others change no group. So a group of near copies does not meet in all its pairs.
-    Only texts that occur in a pair are shingled again, each once.
+    Texts meet if they share a band key. A pair that meets is a candidate if a chain on the ring of fingerprints is
+    viable, and a link if the texts share ``similarity`` of their shingles. First each text is checked against one
+    smallest text of its keys, then against those of its other keys, last against all texts of its keys; from the
+    second step on only pairs in different components are looked at, as others change no group. So a group of near
+    copies does not meet in all its pairs. Only texts that share a key are shingled again, each once.
     """
-    n = nodes.count()
-    alone = nodes.select("node", "fp", "n", "bits", F.col("node").alias("comp"))
-    ends = proposed(alone, n, distance, -1, similarity, ends=True).distinct()
-    chosen = written(nodes.join(ends, "node", "left_semi").select("node", "fp", "id"), "simhash_ends")
+    slim = nodes.select("node", F.explode("keys").alias("key"))
+    shared = slim.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("first")).filter("many > 1")
+    met = written(slim.join(shared, "key"), "simhash_met")
+    chosen = written(nodes.join(met.select("node").distinct(), "node", "left_semi").drop("keys", "least"), "simhash_chosen")
     rows = docs.select(order_id().alias("id"), F.xxhash64(whole_text()).alias("node"), "text")
 
     def start():
@@ -259,16 +320,36 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, words: int, distance: int,
 
     sets = map_texts(rows.join(chosen.select("id", "node"), ["id", "node"]).select("node", "text"), start, "shingles array<bigint>")
     sets = written(sets.dropDuplicates(["node"]), "simhash_sets")
-    first = chosen.groupBy("fp").agg(F.min(F.struct("id", "node")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    pairs = chosen.join(first, "fp").select(F.col("first.node").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    found = written(confirmed(pairs, sets, similarity), "simhash_links")
-    roots, beyond = components(found), -1
-    for radius in sorted({r for r in RADII if r < distance} | {distance}):
-        table = written(alone.drop("comp").join(chosen.select("node"), "node", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "simhash_comps")
-        pairs = written(proposed(table, n, radius, beyond, similarity), "simhash_proposed")
-        found = written(found.union(confirmed(pairs, sets, similarity)), "simhash_links")
-        roots, beyond = components(found), radius
-    return roots
+    side = lambda c: chosen.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"), F.col("n").alias(f"n_{c}"))
+
+    def viable(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(side("a"), "a").join(side("b"), "b").filter(ring_within("fp_a", "fp_b", distance))
+        return near.filter(similar_sizes(similarity)).select("a", "b")
+
+    stars = met.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = written(confirmed(viable(stars.groupBy("b").agg(F.min("a").alias("a"))), sets, similarity), "simhash_links")
+    roots = components(found)
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        """The groups after the links among ``pairs``; the groups so far are stars already."""
+        more = written(confirmed(written(pairs, "simhash_pairs"), sets, similarity), "simhash_links")
+        return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+    comp = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"comp_{c}"))
+    apart = stars.distinct().join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    apart = apart.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b"))
+    roots = joined(viable(apart.select("a", "b")))
+
+    placed = met.drop("first").join(roots, "node", "left").select("key", "many", "node", F.coalesce("root", "node").alias("comp"))
+    placed = written(placed, "simhash_placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    open_ = written(placed.join(mixed, "key", "left_semi").join(chosen, "node"), "simhash_open")
+    light = open_.filter(F.col("many") <= key_rows)
+    a = light.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "fp", "n")])
+    b = light.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "fp", "n")])
+    pairs = a.join(b, "key").filter("node_a < node_b AND comp_a <> comp_b").filter(ring_within("fp_a", "fp_b", distance))
+    pairs = pairs.filter(similar_sizes(similarity)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return joined(pairs.union(hot_pairs(open_.filter(F.col("many") > key_rows), distance, similarity)).distinct())
 
 
 def classes(
@@ -280,7 +361,7 @@ def classes(
     With ``similarity`` the distinct texts are linked, not the fingerprints, and a link counts only if the texts
     share that much of their ``similar_words`` shingles, also where the fingerprints are equal.
     """
-    clash = [c for c in docs.columns if c.lower() in ("fp", "root", "component_id", "__copy", "__n", "__bits")]
+    clash = [c for c in docs.columns if c.lower() in ("fp", "root", "component_id", "__copy", "__n", "__bits", "__keys")]
     docs = docs.drop(*clash)
     if similarity is None:
         prints = written(fingerprints(docs, words).withColumn("__copy", F.col("fp")), "simhash")
@@ -292,14 +373,15 @@ def classes(
             def run(texts):
                 sets = [shingle_set(t, similar_words) for t in texts]
                 prints = [int(np.uint64(fingerprint(t, words)).astype(np.int64)) for t in texts]
-                return [prints, [len(s) for s in sets], [shingle_sketch(s) for s in sets]]
+                return [prints, [len(s) for s in sets], [shingle_sketch(s) for s in sets], [band_keys(s) for s in sets]]
 
             return run
 
         marked = docs.withColumn("__copy", F.xxhash64(whole_text()))
-        prints = written(map_texts(marked, start, "fp bigint, __n bigint, __bits binary"), "simhash")
+        prints = written(map_texts(marked, start, "fp bigint, __n bigint, __bits binary, __keys array<bigint>"), "simhash")
         nodes = prints.groupBy(F.col("__copy").alias("node")).agg(
-            F.min("doc_id").alias("least"), F.min(order_id()).alias("id"), F.first("fp").alias("fp"), F.first("__n").alias("n"), F.first("__bits").alias("bits")
+            F.min("doc_id").alias("least"), F.min(order_id()).alias("id"), F.first("fp").alias("fp"), F.first("__n").alias("n"),
+            F.first("__bits").alias("bits"), F.first("__keys").alias("keys"),
         )
         nodes = written(nodes, "simhash_nodes")
         roots = similar_roots(docs, nodes, similar_words, distance, similarity)
@@ -307,7 +389,7 @@ def classes(
     named = written(named, "simhash_roots")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     table = named.join(ids, "root").select("node", "root", "component_id")
-    return prints.drop("__n", "__bits").join(table, F.col("__copy") == F.col("node")).drop("node", "__copy")
+    return prints.drop("__n", "__bits", "__keys").join(table, F.col("__copy") == F.col("node")).drop("node", "__copy")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
