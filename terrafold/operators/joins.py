@@ -144,7 +144,7 @@ def edge_slabs(index: PointIndex, edges: DataFrame, key: str = "poly_id") -> Dat
     ends = edges.select(key, "x1", "y1", "x2", "y2").filter(F.col("y1") != F.col("y2")).withColumns({
         "__lx": low("x1", "x2"), "__hx": high("x1", "x2"), "__ly": low("y1", "y2"), "__hy": high("y1", "y2")
     })
-    grid = index.grid
+    grid = index.grid.base
     placed = add_buckets(ends, c0=("__lx", grid.x), c1=("__hx", grid.x), s0=("__ly", grid.y), s1=("__hy", grid.y))
     slabs = placed.withColumn("by", F.explode(F.sequence("s0", "s1")))
     return slabs.withColumn("spans", (F.col("by") > F.col("s0")) & (F.col("by") < F.col("s1"))).drop("__lx", "__hx", "__ly", "__hy", "s0", "s1")
@@ -165,7 +165,7 @@ def polygon_join_by_edges(index: PointIndex, edges: DataFrame, key: str = "poly_
         F.max(F.greatest("y1", "y2")).alias("max_y"),
     )
     candidates = window_join(index, boxes, key).select(key, "id", "x", "y")
-    candidates = written(index.grid.add(candidates), "edge-candidates")
+    candidates = written(index.grid.base.add(candidates), "edge-candidates")
     slabs = written(edge_slabs(index, edges, key), "edge-slabs")
     far = F.col("spans") & (F.col("c0") > F.col("bx") + 1)
 

@@ -3,6 +3,8 @@
 * The rank grid cuts each axis at sample quantiles, so cells are small where points are dense. A coordinate
   value that holds more than one share of its axis is fenced into a bucket of its own, so a cell stays within
   one share of the rows unless its points are one single location.
+* A table too large for one grid gets a nested one: cells with too many points are cut again, each at quantiles
+  of its own points, until none is left, so a cell keeps its size however large the table is.
 * The pyramid keeps count and tight bounding box per cell and for coarser levels above.
 * Points are stored once, in folders by a coarse node and sorted by cell inside them. A batch reads only the
   folders, and by Parquet statistics the row groups, of cells that occur in its (query, cell) pairs.
@@ -23,13 +25,18 @@ from pyspark.sql import functions as F
 from terrafold.functions.literals import double_text, is_one_of
 from terrafold.functions.values import known
 from terrafold.plans.extent import Extent
-from terrafold.plans.ordering import Cuts, add_buckets, fit_quantiles
-from terrafold.plans.session import bounded_broadcast, written
+from terrafold.plans.ordering import SAMPLE_SEED, SAMPLES_PER_PART, Cuts, add_buckets, fit_quantiles
+from terrafold.plans.session import BROADCAST_ROWS, bounded_broadcast, written
 
 POINTS_PER_CELL = 64
 MIN_CELL_BITS = 4
-MAX_CELL_BITS = 24
+MAX_CELL_BITS = 24  # of one grid; larger tables get a nested one
 MAX_AXIS_BITS = 14
+INNER_BITS = 16  # that one round of nesting adds to a cell at most
+INNER_AXIS_BITS = 12
+NUMBER_BITS = 30  # of a bucket number per axis
+BROADCAST_CUTS = 2_000_000
+JOIN_SALTS = 32
 STEP_BITS = 4  # bits of both axes together between two levels: about 16 children per node
 HOT_ROWS = 1_000_000  # a cell above this many rows is split, however many rows there are in all
 ROWS_PER_FOLDER = 1_000_000
@@ -75,8 +82,11 @@ class RankGrid:
     shifts: tuple[tuple[int, int], ...]
 
     @classmethod
-    def fit(cls, points: DataFrame, n: int, x: str = "x", y: str = "y", per_cell: int = POINTS_PER_CELL) -> RankGrid:
-        total = min(MAX_CELL_BITS, max(MIN_CELL_BITS, math.ceil(math.log2(max(1.0, n / per_cell)))))
+    def fit(
+        cls, points: DataFrame, n: int, x: str = "x", y: str = "y", per_cell: int = POINTS_PER_CELL,
+        cell_bits: int = MAX_CELL_BITS,
+    ) -> RankGrid:
+        total = min(cell_bits, max(MIN_CELL_BITS, math.ceil(math.log2(max(1.0, n / per_cell)))))
         finest = min(MAX_AXIS_BITS, total - total // 4)
         qx, qy = fit_quantiles(points, [x, y], 2**finest, n)
         sx, sy = _spread(qx), _spread(qy)
@@ -88,10 +98,140 @@ class RankGrid:
         used_x, used_y = _bits(cx), _bits(cy)
         return cls(cx, cy, _levels(used_x, used_y, sx, sy))
 
+    @property
+    def base(self) -> RankGrid:
+        return self
+
+    @property
+    def width(self) -> tuple[int, int]:
+        """Bits of the bucket numbers."""
+        return _bits(self.x), _bits(self.y)
+
     def add(self, df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         return add_buckets(df, bx=(x, self.x), by=(y, self.y))
 
 
+@dataclass(frozen=True)
+class NestedGrid:
+    """A grid whose crowded cells are cut again at quantiles of their own points.
+
+    A bucket number is the outer number followed by ``bits`` of the inner one, so the levels of both stand in one
+    list of shifts and nothing that walks the pyramid needs to know of the nesting.
+    """
+
+    outer: RankGrid | NestedGrid
+    cuts: DataFrame  # bx, by, xs, ys: a row per crowded cell
+    light: bool  # few enough rows and values to be broadcast
+    bits: tuple[int, int]
+
+    @classmethod
+    def fit(cls, points: DataFrame, outer: RankGrid | NestedGrid, per_cell: int = POINTS_PER_CELL) -> NestedGrid | None:
+        """One more round, or None when no cell needs one (or the bucket numbers are used up).
+
+        The sample behind the cuts of a cell has about SAMPLES_PER_PART * 2 ** INNER_AXIS_BITS rows at most,
+        whatever share of the points the cell holds.
+        """
+        room = [min(INNER_AXIS_BITS, NUMBER_BITS - used) for used in outer.width]
+        placed = outer.add(points.select("x", "y")).filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
+        wide, high = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+        wanted = F.least(F.lit(INNER_BITS), F.ceil(F.log2(F.col("n") / per_cell)).cast("int"))
+        tilted = F.floor((wanted + F.round(F.log2(wide / high))) / 2)
+        quarter = F.floor(wanted / 4)
+        bits_x = F.when(high == 0, wanted).when(wide == 0, 0).otherwise(F.least(F.greatest(tilted, quarter), wanted - quarter))
+        crowded = written(
+            placed.groupBy("bx", "by").agg(*box_aggregates())
+            .filter((F.col("n") > per_cell * 2**MIN_CELL_BITS) & ((wide > 0) | (high > 0)))
+            .select("bx", "by", "n", wanted.alias("wanted"), bits_x.cast("int").alias("bits_x"))
+            .select(
+                "bx", "by", "n", F.least("bits_x", F.lit(room[0])).alias("bits_x"),
+                F.least(F.col("wanted") - F.col("bits_x"), F.lit(room[1])).alias("bits_y"),
+            ),
+            "crowded-cells",
+        )
+        cells = crowded.count()
+        if not cells:
+            return None
+        finest = F.greatest("bits_x", "bits_y")
+        drawn = _beside(placed, crowded, cells <= BROADCAST_ROWS).filter(
+            F.rand(SAMPLE_SEED) < F.lit(SAMPLES_PER_PART) * F.pow(F.lit(2.0), finest) / F.col("n")
+        )
+        sampled = drawn.groupBy("bx", "by", "bits_x", "bits_y").agg(
+            F.sort_array(F.collect_list(F.col("x").cast("double"))).alias("xs"),
+            F.sort_array(F.collect_list(F.col("y").cast("double"))).alias("ys"),
+        )
+        cuts = written(sampled.select("bx", "by", _own_cuts("xs", "bits_x").alias("xs"), _own_cuts("ys", "bits_y").alias("ys")), "inner-cuts")
+        size = cuts.agg(
+            F.max(F.size("xs")).alias("x"), F.max(F.size("ys")).alias("y"), F.sum(F.size("xs") + F.size("ys")).alias("values")
+        ).first()
+        if not size["values"]:
+            return None
+        bits = (size["x"] or 0).bit_length(), (size["y"] or 0).bit_length()
+        return cls(outer, cuts, cells <= BROADCAST_ROWS and size["values"] <= BROADCAST_CUTS, bits)
+
+    @property
+    def base(self) -> RankGrid:
+        return self.outer.base
+
+    @property
+    def width(self) -> tuple[int, int]:
+        return self.outer.width[0] + self.bits[0], self.outer.width[1] + self.bits[1]
+
+    @property
+    def shifts(self) -> tuple[tuple[int, int], ...]:
+        ix, iy = self.bits
+        return (*[(sx + ix, sy + iy) for sx, sy in self.outer.shifts], *_levels(ix, iy, 1.0, 1.0))
+
+    def add(self, df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+        cuts = self.cuts.withColumnsRenamed({"xs": "__xs", "ys": "__ys"})
+        placed = _beside(self.outer.add(df, x, y), cuts, self.light, "left")
+        numbers = {
+            name: F.shiftleft(F.col(name), bits) + _place(values, known(axis), bits)
+            for name, values, axis, bits in (("bx", "__xs", x, self.bits[0]), ("by", "__ys", y, self.bits[1]))
+        }
+        return placed.withColumns(numbers).select(*df.columns, "bx", "by")
+
+
+def fit_grid(points: DataFrame, n: int, per_cell: int = POINTS_PER_CELL, cell_bits: int = MAX_CELL_BITS) -> RankGrid | NestedGrid:
+    """One grid while its cells can keep their size, else rounds of nested ones until no cell is crowded."""
+    if n <= per_cell * 2**cell_bits:
+        return RankGrid.fit(points, n, per_cell=per_cell, cell_bits=cell_bits)
+    grid = RankGrid.fit(points, n, per_cell=per_cell, cell_bits=min(cell_bits, FOLDER_BITS))
+    while inner := NestedGrid.fit(points, grid, per_cell):
+        grid = inner
+    return grid
+
+
+def _beside(placed: DataFrame, cells: DataFrame, light: bool, how: str = "inner") -> DataFrame:
+    """Points with the row of their cell: by broadcast, or dealt by cell and salt, so that no cell is one task."""
+    if light:
+        return placed.join(F.broadcast(cells), ["bx", "by"], how)
+    salt = F.pmod(F.xxhash64(*placed.columns), F.lit(JOIN_SALTS)).cast("int")
+    copies = cells.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return placed.withColumn("__deal", salt).join(copies, ["bx", "by", "__deal"], how).drop("__deal")
+
+
+def _own_cuts(values: str, bits: str) -> Column:
+    """Distinct quantiles that cut sorted values into 2 ** bits parts; one drawn twice is fenced by the next double."""
+    parts = F.expr(f"shiftleft(1, {bits})")
+    ranks = F.when(F.col(bits) > 0, F.sequence(F.lit(1), parts - 1)).otherwise(F.array().cast("array<int>"))
+    drawn = F.transform(ranks, lambda i: F.get(values, F.greatest(F.ceil(i * F.size(values) / parts).cast("int") - 1, F.lit(0))))
+    again = F.filter(drawn, lambda v, i: (i > 0) & (v == F.get(drawn, i - 1)))
+    return F.array_sort(F.array_distinct(F.concat(drawn, F.transform(again, next_double))))
+
+
+def next_double(v: Column) -> Column:
+    """The smallest double above a finite one: a little over half a unit in the last place, rounded."""
+    return v + F.greatest(F.abs(v) * F.lit(2.0**-53 * (1 + 2.0**-52)), F.lit(5e-324))
+
+
+def _place(cuts: str, value: Column, bits: int) -> Column:
+    """How many cuts are at most the value, by binary search; 0 where there are none."""
+    if not bits:
+        return F.lit(0)
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at))
+
+
 def _spread(quantiles: list[float]) -> float:
     """Range of the middle 90 %, which outliers do not stretch."""
     if not quantiles:
@@ -136,7 +276,7 @@ class PointIndex:
     """
 
     points: DataFrame
-    grid: RankGrid
+    grid: RankGrid | NestedGrid
     pyramid: DataFrame  # level, nx, ny, n, box
     extent: Extent
     top: list[tuple]  # nodes of the coarsest level, at most 2 ** STEP_BITS
@@ -146,10 +286,10 @@ class PointIndex:
     @classmethod
     def build(
         cls, points: DataFrame, per_cell: int = POINTS_PER_CELL, hot_rows: int = HOT_ROWS,
-        rows_per_folder: int = ROWS_PER_FOLDER,
+        rows_per_folder: int = ROWS_PER_FOLDER, cell_bits: int = MAX_CELL_BITS,
     ) -> PointIndex:
         ext = Extent.of(points)
-        grid = RankGrid.fit(points, ext.n, per_cell=per_cell)
+        grid = fit_grid(points, ext.n, per_cell, cell_bits)
         placed = grid.add(points)
         cells = placed.filter(F.col("bx").isNotNull() & F.col("by").isNotNull()).groupBy("bx", "by").agg(*box_aggregates())
         places = F.array(*[
@@ -311,7 +451,7 @@ def _folder_level(shifts: tuple[tuple[int, int], ...], n: int, rows_per_folder:
     return level
 
 
-def _store(placed: DataFrame, grid: RankGrid, n: int, level: int, hot: DataFrame | None) -> DataFrame:
+def _store(placed: DataFrame, grid: RankGrid | NestedGrid, n: int, level: int, hot: DataFrame | None) -> DataFrame:
     """Write points in folders by node. Ranges of (node, finer nodes, id) are even even where a cell is hot,
     so no task takes more than its share, and a file holds neighbouring cells."""
     out = placed.withColumn(NODE, _node("bx", "by", grid.shifts[level]))

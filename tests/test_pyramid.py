@@ -9,7 +9,8 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from terrafold.operators import joins, lookup, nearest
-from terrafold.plans.pyramid import PointIndex
+from terrafold.plans import pyramid
+from terrafold.plans.pyramid import NestedGrid, PointIndex, RankGrid
 from terrafold.sources import readers
 
 N = 3_000
@@ -30,10 +31,14 @@ def points(spark, data):
     return spark.createDataFrame(data).repartition(5)
 
 
-@pytest.fixture(scope="module", params=[None, 40], ids=["plain", "salted"])
+LIMITS = {"plain": {}, "salted": {"hot_rows": 40}, "nested": {"cell_bits": 4}, "nested-salted": {"cell_bits": 4, "hot_rows": 40}}
+
+
+@pytest.fixture(scope="module", params=list(LIMITS))
 def index(request, points):
-    built = PointIndex.build(points, per_cell=8, **({"hot_rows": request.param} if request.param else {}))
-    assert (built.hot is not None) == (request.param is not None)
+    built = PointIndex.build(points, per_cell=8, **LIMITS[request.param])
+    assert (built.hot is not None) == ("salted" in request.param)
+    assert isinstance(built.grid, NestedGrid) == ("nested" in request.param)
     return built
 
 
@@ -278,3 +283,43 @@ def test_probes_walk_the_pyramid(spark):
         assert {r["qid"]: r["found"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
     plan = plan_of(lookup.points_exist(pts, probes))
     assert "BroadcastHashJoin" in plan
+
+
+def test_nested_cells_keep_their_size(points, data):
+    """Cells of one coarse grid hold hundreds of points; nested ones only their share, unless they are one place."""
+    coarse = RankGrid.fit(points, N, per_cell=8, cell_bits=4).add(points).groupBy("bx", "by").count()
+    assert coarse.agg(F.max("count")).first()[0] > 300
+    index = PointIndex.build(points, per_cell=8, cell_bits=4)
+    assert sum(index.grid.width) > sum(index.grid.base.width) and index.grid.shifts[-1] == (0, 0)
+    cells = index.points.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x", "y").alias("places"))
+    most = {r["one"]: r["n"] for r in cells.groupBy((F.col("places") == 1).alias("one")).agg(F.max("n").alias("n")).collect()}
+    assert most[False] <= 8 * 2**pyramid.MIN_CELL_BITS and most[True] >= N // 3
+    assert index.pyramid.groupBy("level").agg(F.sum("n").alias("n")).filter(F.col("n") != N).count() == 0
+
+
+def test_nested_cells_follow_the_order_of_the_axis(points):
+    """A later bucket never begins before an earlier one ends, within an outer cell."""
+    grid = pyramid.fit_grid(points, N, 8, 4)
+    ix = grid.width[0] - grid.base.width[0]
+    placed = grid.add(points)
+    spans = placed.groupBy(F.shiftright("bx", ix).alias("ox"), F.shiftright("by", grid.width[1] - grid.base.width[1]).alias("oy"), "bx")
+    rows = spans.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("ox", "oy", "bx").collect()
+    for a, b in zip(rows, rows[1:]):
+        assert (a["ox"], a["oy"]) != (b["ox"], b["oy"]) or a["hi"] < b["lo"]
+
+
+def test_inner_cuts_are_joined_by_salted_cells_beyond_a_size(monkeypatch, points, data):
+    monkeypatch.setattr(pyramid, "BROADCAST_CUTS", 0)
+    monkeypatch.setattr(pyramid, "BROADCAST_ROWS", 0)
+    grid = pyramid.fit_grid(points, N, 8, 4)
+    placed = grid.add(points)
+    assert not grid.light and placed.count() == N and placed.columns == ["id", "x", "y", "bx", "by"]
+    wide = PointIndex.build(points, per_cell=8, cell_bits=4)
+    assert wide.points.select("id").distinct().count() == N
+
+
+def test_next_double(spark):
+    rng = np.random.default_rng(5)
+    values = [0.0, 1.0, -1.0, 2.0, -2.0, 1.5, 1e300, -1e-300, 0.1, *rng.normal(0, 1e3, 500).tolist(), *(2.0 ** np.arange(-60, 60)).tolist()]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", pyramid.next_double(F.col("v")).alias("w")).collect()
+    assert all(r["w"] == np.nextafter(r["v"], np.inf) for r in got)
