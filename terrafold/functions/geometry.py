@@ -210,6 +210,34 @@ def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def haversine_bounds(box, lat, lon) -> tuple[Column, Column]:
+    """Bounds of the great-circle metres from a place to all places of a box (min_lon, min_lat, max_lon, max_lat) in degrees.
+
+    The haversine is a sum of a part by latitude and a part by longitude times the cosine of the other latitude. Each
+    part takes its least or greatest value in the box, longitudes around the globe. Bounds are widened by a little, so
+    that rounding never puts a distance outside them.
+    """
+    west, south, east, north = map(c, box)
+    here, there = c(lat), c(lon)
+
+    def around(a: Column) -> Column:
+        """Difference of longitudes, 0 to 180."""
+        return F.lit(180.0) - F.abs(F.abs(there - a) - 180.0)
+
+    def metres(by_lat: Column, by_lon: Column, cosine: Column) -> Column:
+        u, v = F.sin(F.radians(by_lat / 2)), F.sin(F.radians(by_lon / 2))
+        return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(u * u + F.cos(F.radians(here)) * cosine * v * v)))
+
+    to_west, to_east = around(west), around(east)
+    least = F.when(there.between(west, east), F.lit(0.0)).otherwise(F.least(to_west, to_east))
+    opposite = F.when(there > 0, there - 180.0).otherwise(there + 180.0)
+    most = F.when(opposite.between(west, east), F.lit(180.0)).otherwise(F.greatest(to_west, to_east))
+    thin, wide = F.cos(F.radians(F.greatest(F.abs(south), F.abs(north)))), F.cos(F.radians(F.greatest(south, -north, F.lit(0.0))))
+    near = metres(F.greatest(south - here, here - north, F.lit(0.0)), least, F.greatest(thin, F.lit(0.0)))
+    far = metres(F.greatest(F.abs(here - south), F.abs(here - north)), most, wide)
+    return F.greatest(near * (1 - 1e-9) - 1e-2, F.lit(0.0)), far * (1 + 1e-9) + 1e-2
+
+
 def degree_boxes(lat: float, lon: float, metres: float) -> list[tuple[float, float, float, float]]:
     """(min_lat, min_lon, max_lat, max_lon) boxes that together hold every place within ``metres``.
 

@@ -150,6 +150,24 @@ def unit_index(spark: SparkSession, sf: str) -> PointIndex:
     return built(spark, sf, "unit_index", lambda: PointIndex.build(unit(spark, sf)))
 
 
+def nested_index(spark: SparkSession, sf: str) -> PointIndex:
+    """Points under a grid so coarse that it is cut again inside its cells, as one grid would be beyond its limit."""
+    return built(spark, sf, "nested_index", lambda: PointIndex.build(pts(spark, sf), per_cell=16, cell_bits=4))
+
+
+def geo_points(spark: SparkSession, sf: str) -> DataFrame:
+    return geo(spark, sf).select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+
+
+def geo_index(spark: SparkSession, sf: str) -> PointIndex:
+    return built(spark, sf, "geo_index", lambda: PointIndex.build(geo_points(spark, sf)))
+
+
+def geo_layout(spark: SparkSession, sf: str) -> ClusteredPoints:
+    make = lambda: ClusteredPoints.write(cells.kd_tree_cells(geo_points(spark, sf)), scratch_path(spark, "geo-layout"))
+    return built(spark, sf, "geo_layout", make)
+
+
 # Ways to lay points out in folders; the KD tree is the default.
 LAYOUTS = {
     "stripes": lambda p, e: cells.fixed_stripes(p, e).drop("stripe"),

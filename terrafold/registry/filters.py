@@ -188,6 +188,13 @@ def knn_join(spark, sf):
     return out.select("qid", "id", r6("dist").alias("dist"), "rank")
 
 
+@query("knn_join_nested", f"SELECT {KNN_COLUMNS} FROM ({_knn_join_sql(f'{PTS}, {PLACES}', 'pts', 'places', 10)})")
+def knn_join_nested(spark, sf):
+    """The same join under a nested grid."""
+    out = nearest.knn_join(core.nested_index(spark, sf), core.places(spark, sf), 10)
+    return out.select("qid", "id", r6("dist").alias("dist"), "rank")
+
+
 @query(
     "knn_join_normalized",
     f"SELECT {KNN_COLUMNS} FROM ({_knn_join_sql(f'{UNIT}, {UNIT_PLACES}', 'unit', 'unit_places', 10)})",
@@ -262,6 +269,42 @@ def distance_query_antimeridian(spark, sf):
     return out.select("id", "lat", F.round("lon", 9).alias("lon"), F.round("dist_m", 3).alias("dist_m"))
 
 
+@query(
+    "distance_query_clustered",
+    f"""WITH {GEO}, d AS (SELECT *, {haversine_sql('40.75', '-73.98')} AS m FROM geo)
+    SELECT id, lat, lon, round(m, 3) AS dist_m FROM d WHERE m <= 20000""",
+)
+def distance_query_clustered(spark, sf):
+    out = core.geo_layout(spark, sf).distance_query(40.75, -73.98, 20000.0)
+    return out.select("id", F.col("y").alias("lat"), F.col("x").alias("lon"), F.round("dist_m", 3).alias("dist_m"))
+
+
+SPOTS = f"""{GEO}, spots AS (
+  SELECT s_suppkey AS qid, CAST(40 AS DOUBLE) + (s_suppkey % 21) / CAST(10 AS DOUBLE) AS qlat,
+         CAST(-75 AS DOUBLE) + (s_suppkey % 31) / CAST(10 AS DOUBLE) AS qlon,
+         CAST(500 * (1 + s_suppkey % 40) AS DOUBLE) AS metres FROM supplier),
+near AS (SELECT * FROM (SELECT qid, id, metres, {haversine_sql('qlat', 'qlon')} AS m FROM spots CROSS JOIN geo) WHERE m <= metres)"""
+
+
+def _spots(spark, sf):
+    k = F.col("s_suppkey")
+    return core.table(spark, sf, "supplier").select(
+        k.alias("qid"), (F.lit(40.0) + (k % 21) / F.lit(10.0)).alias("lat"), (F.lit(-75.0) + (k % 31) / F.lit(10.0)).alias("lon"),
+        (F.lit(500) * (1 + k % 40)).cast("double").alias("metres"),
+    )
+
+
+@query("distance_join", f"WITH {SPOTS} SELECT qid, id, round(m, 3) AS dist_m FROM near")
+def distance_join(spark, sf):
+    out = distance.distance_join(core.geo_index(spark, sf), _spots(spark, sf))
+    return out.select("qid", "id", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query("distance_counts", f"WITH {SPOTS} SELECT s.qid, count(n.id) AS n FROM spots s LEFT JOIN near n ON s.qid = n.qid GROUP BY s.qid")
+def distance_counts(spark, sf):
+    return distance.distance_counts(core.geo_index(spark, sf), _spots(spark, sf))
+
+
 @query(
     "row_numbers",
     f"WITH {PTS} SELECT id, row_number() OVER (ORDER BY y, x, id) - 1 AS row_no FROM pts",

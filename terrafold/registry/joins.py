@@ -7,11 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from terrafold.operators import joins, sampling
+from terrafold.plans.cover import ShapeCover
 from terrafold.plans.ordering import number_rows
-from terrafold.plans.session import written
+from terrafold.plans.session import scratch_path, written
 from terrafold.registry import core
 from terrafold.registry.core import EXT, INSIDE, PLACES, POLYS, PTS, WINDOWS, query
 from terrafold.sources import readers
+from terrafold.streaming.filters import read_point_stream, run_to_files
 
 IN_WINDOW = "p.x BETWEEN w.min_x AND w.max_x AND p.y BETWEEN w.min_y AND w.max_y"
 
@@ -30,6 +32,15 @@ def window_counts(spark, sf):
     return joins.window_counts(core.index(spark, sf), core.windows(spark, sf)).select("qid", "lvl", "n")
 
 
+@query(
+    "window_counts_nested",
+    f"""WITH {PTS}, {WINDOWS}
+    SELECT w.qid, w.lvl, count(p.id) AS n FROM windows w LEFT JOIN pts p ON {IN_WINDOW} GROUP BY w.qid, w.lvl""",
+)
+def window_counts_nested(spark, sf):
+    return joins.window_counts(core.nested_index(spark, sf), core.windows(spark, sf)).select("qid", "lvl", "n")
+
+
 @query(
     "window_selectivity_sweep",
     f"""WITH {EXT}, {PLACES}, levels AS (
@@ -119,6 +130,36 @@ def polygon_join_many_edges(spark, sf):
     return joins.polygon_join_by_edges(core.index(spark, sf), edges).select("poly_id", "id")
 
 
+def _order_stream(spark, sf):
+    days = F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("double")
+    stream = read_point_stream(spark, sf, core.table(spark, sf, "orders").schema, "orders.parquet")
+    return stream.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"), days.alias("y"))
+
+
+@query("stream_polygon_join", f"WITH {INSIDE} SELECT poly_id, id FROM inside")
+def stream_polygon_join(spark, sf):
+    """A stream of orders against a stored cover of the polygons."""
+    cover = core.built(spark, sf, "polygon_cover", lambda: ShapeCover.of_polygons(core.polys(spark, sf)))
+    out = run_to_files(_order_stream(spark, sf), scratch_path(spark, "stream-out"), cover.join)
+    return out.select("poly_id", "id")
+
+
+@query("stream_envelope_join", f"WITH {PTS}, {POLYS} SELECT poly_id, p.id FROM envelopes JOIN pts p ON {IN_ENVELOPE}")
+def stream_envelope_join(spark, sf):
+    cover = core.built(
+        spark, sf, "envelope_cover", lambda: ShapeCover.of_windows(joins.polygon_envelopes(core.polys(spark, sf)), "poly_id")
+    )
+    out = run_to_files(_order_stream(spark, sf), scratch_path(spark, "stream-out"), cover.join)
+    return out.select("poly_id", "id")
+
+
+@query("polygon_join_by_cover", f"WITH {INSIDE} SELECT poly_id, id FROM inside")
+def polygon_join_by_cover(spark, sf):
+    """The same cover against the table, which then needs no index."""
+    cover = core.built(spark, sf, "polygon_cover", lambda: ShapeCover.of_polygons(core.polys(spark, sf)))
+    return cover.join(core.pts(spark, sf)).select("poly_id", "id")
+
+
 @query(
     "polygon_counts",
     f"""WITH {INSIDE} SELECT e.poly_id, count(i.id) AS n FROM envelopes e LEFT JOIN inside i ON e.poly_id = i.poly_id

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from terrafold.functions import geometry as g
 from terrafold.functions.literals import is_one_of
-from terrafold.operators import diagnostics, lookup, nearest
+from terrafold.operators import diagnostics, distance, lookup, nearest
 from terrafold.plans.pyramid import BOX
 from terrafold.plans.session import BROADCAST_ROWS, bounded_broadcast, local_copy
 
@@ -106,6 +106,12 @@ class ClusteredPoints:
         near = self.cells.filter(g.box_min_distance(BOX, cx, cy) <= F.lit(float(r)))
         return lookup.circle_query(self._prune(near), cx, cy, r).drop("cell_id")
 
+    def distance_query(self, lat: float, lon: float, metres: float) -> DataFrame:
+        """Points (x longitude, y latitude, degrees) within ``metres``; cells that begin farther away are not read."""
+        near, _ = g.haversine_bounds(BOX, lat, lon)
+        kept = self._prune(self.cells.filter(near <= F.lit(float(metres))))
+        return distance.distance_query(kept, lat, lon, metres, "y", "x").drop("cell_id")
+
     def knn(self, qx: float, qy: float, k: int) -> DataFrame:
         """Exact kNN that reads only cells that can hold a result.
 

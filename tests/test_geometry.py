@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,25 @@ def test_hex_cells_tile(spark):
         q, r = g.hex_cell(x, y, 1.0)
         cx, cy = g.hex_center(q, r, 1.0)
         assert value(spark, g.distance(cx, cy, x, y)) <= 1.0 + 1e-9
+
+
+def test_haversine_bounds_hold_for_every_place_of_a_box(spark):
+    """Boxes across the equator, at the poles and at +-180 degrees; far places are half way round the globe."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        lat, lon = rng.uniform(-90, 90), rng.uniform(-180, 180)
+        s, n = sorted(rng.uniform(-90, 90, 2)) if i % 2 else (np.clip(lat - 1, -90, 90), np.clip(lat + 2, -90, 90))
+        w, e = sorted(rng.uniform(-180, 180, 2)) if i % 3 else (170.0, 180.0)
+        for la in (s, n, (s + n) / 2, rng.uniform(s, n)):
+            for lo in (w, e, (w + e) / 2, rng.uniform(w, e)):
+                rows.append(tuple(float(v) for v in (lat, lon, w, s, e, n, la, lo)))
+    df = spark.createDataFrame(rows, "lat double, lon double, w double, s double, e double, n double, la double, lo double")
+    near, far = g.haversine_bounds(("w", "s", "e", "n"), "lat", "lon")
+    d = g.haversine_m("lat", "lon", "la", "lo")
+    assert df.filter((d < near) | (d > far)).count() == 0
+    # a box of one place has tight bounds
+    one = [F.lit(v) for v in (10.0, 20.0, 10.0, 20.0)]
+    low, high = g.haversine_bounds(one, F.lit(21.0), F.lit(-170.0))
+    exact = value(spark, g.haversine_m(F.lit(21.0), F.lit(-170.0), F.lit(20.0), F.lit(10.0)))
+    assert value(spark, low) == pytest.approx(exact, abs=0.1) == pytest.approx(value(spark, high), abs=0.1)

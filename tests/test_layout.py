@@ -8,7 +8,9 @@ import pyarrow.parquet as pq
 import pytest
 from conftest import plan_of
 
-from terrafold.operators import cells, lookup, nearest
+from terrafold.functions import geometry as g
+from terrafold.operators import cells, distance, lookup, nearest
+from terrafold.plans.pyramid import BOX, PointIndex
 from terrafold.sources.layout import ClusteredPoints
 
 N = 4_000
@@ -93,3 +95,24 @@ def test_large_cell_tables_stay_distributed(points, layout, monkeypatch):
         assert layout.range_count(window).first()["n"] == lookup.range_query(points, window).count()
     got = [r["id"] for r in layout.knn(51.0, 50.0, 10).collect()]
     assert got == [r["id"] for r in nearest.knn(points, 51.0, 50.0, 10).collect()]
+
+
+def test_geodesic_queries_read_only_near_cells(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    frame = pd.DataFrame({"id": np.arange(N), "x": rng.uniform(-180, 180, N), "y": rng.uniform(-90, 90, N)})
+    pts = spark.createDataFrame(frame)
+    made = ClusteredPoints.write(cells.kd_tree_cells(pts, 16), str(tmp_path / "geo"))
+    asked = [(1, 0.0, 179.9, 900_000.0), (2, 89.0, 10.0, 1_500_000.0), (3, 48.0, 11.0, 0.0), (4, -30.0, -60.0, 2.1e7), (5, 10.0, 10.0, -1.0)]
+    index = PointIndex.build(pts, per_cell=8)
+    places = spark.createDataFrame(asked, "qid int, lat double, lon double, metres double")
+    joined = distance.distance_join(index, places).collect()
+    counts = {r["qid"]: r["n"] for r in distance.distance_counts(index, places).collect()}
+    for qid, lat, lon, metres in asked:
+        want = ids(distance.distance_query(pts, lat, lon, metres, "y", "x"))
+        assert ids(made.distance_query(lat, lon, metres)) == want
+        assert sorted(r["id"] for r in joined if r["qid"] == qid) == want and counts[qid] == len(want)
+    assert counts[4] == N and counts[1] and counts[2]
+    kept = [r["cell_id"] for r in made.cells.filter(g.haversine_bounds(BOX, 0.0, 179.9)[0] <= 900_000.0).collect()]
+    assert 0 < len(kept) < 16
+    filters = plan_of(made.distance_query(*asked[0][1:])).split("PartitionFilters: [")[1].split("]")[0]
+    assert all(str(c) in filters for c in kept) and "cell_id" in filters
