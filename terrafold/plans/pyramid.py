@@ -152,7 +152,7 @@ class NestedGrid:
         if not cells:
             return None
         finest = F.greatest("bits_x", "bits_y")
-        drawn = _beside(placed, crowded, cells <= BROADCAST_ROWS).filter(
+        drawn = beside(placed, crowded, cells <= BROADCAST_ROWS).filter(
             F.rand(SAMPLE_SEED) < F.lit(SAMPLES_PER_PART) * F.pow(F.lit(2.0), finest) / F.col("n")
         )
         sampled = drawn.groupBy("bx", "by", "bits_x", "bits_y").agg(
@@ -183,9 +183,9 @@ class NestedGrid:
 
     def add(self, df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
         cuts = self.cuts.withColumnsRenamed({"xs": "__xs", "ys": "__ys"})
-        placed = _beside(self.outer.add(df, x, y), cuts, self.light, "left")
+        placed = beside(self.outer.add(df, x, y), cuts, self.light, "left")
         numbers = {
-            name: F.shiftleft(F.col(name), bits) + _place(values, known(axis), bits)
+            name: F.shiftleft(F.col(name), bits) + count_at_most(values, known(axis), bits)
             for name, values, axis, bits in (("bx", "__xs", x, self.bits[0]), ("by", "__ys", y, self.bits[1]))
         }
         return placed.withColumns(numbers).select(*df.columns, "bx", "by")
@@ -201,13 +201,13 @@ def fit_grid(points: DataFrame, n: int, per_cell: int = POINTS_PER_CELL, cell_bi
     return grid
 
 
-def _beside(placed: DataFrame, cells: DataFrame, light: bool, how: str = "inner") -> DataFrame:
+def beside(placed: DataFrame, cells: DataFrame, light: bool, how: str = "inner", on: tuple[str, ...] = ("bx", "by")) -> DataFrame:
     """Points with the row of their cell: by broadcast, or dealt by cell and salt, so that no cell is one task."""
     if light:
-        return placed.join(F.broadcast(cells), ["bx", "by"], how)
+        return placed.join(F.broadcast(cells), list(on), how)
     salt = F.pmod(F.xxhash64(*placed.columns), F.lit(JOIN_SALTS)).cast("int")
     copies = cells.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-    return placed.withColumn("__deal", salt).join(copies, ["bx", "by", "__deal"], how).drop("__deal")
+    return placed.withColumn("__deal", salt).join(copies, [*on, "__deal"], how).drop("__deal")
 
 
 def _own_cuts(values: str, bits: str) -> Column:
@@ -224,7 +224,7 @@ def next_double(v: Column) -> Column:
     return v + F.greatest(F.abs(v) * F.lit(2.0**-53 * (1 + 2.0**-52)), F.lit(5e-324))
 
 
-def _place(cuts: str, value: Column, bits: int) -> Column:
+def count_at_most(cuts: str, value: Column, bits: int) -> Column:
     """How many cuts are at most the value, by binary search; 0 where there are none."""
     if not bits:
         return F.lit(0)

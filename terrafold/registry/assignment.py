@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.operators import cells, diagnostics
+from terrafold.operators.quadtable import QuadTable
 from terrafold.registry import core
 from terrafold.registry.core import EXT, PTS, grid_sql, query
 from terrafold.registry.filters import WINDOW
@@ -86,6 +87,25 @@ def quad_leaves(spark, sf):
     return tree.zones(spark).select("zone_id", "code", "level", "n")
 
 
+def _quad_table(spark, sf):
+    fit = lambda: QuadTable.fit(core.pts(spark, sf), TREE_CELLS, DEPTH, core.ext(spark, sf))
+    return core.built(spark, sf, "quad_table", fit)
+
+
+@query("quad_table_leaves", f"WITH {TREE_SQL} SELECT zone_id, code, level, n FROM zones")
+def quad_table_leaves(spark, sf):
+    """The tree whose leaves stay a table."""
+    return _quad_table(spark, sf).zones().select("zone_id", "code", "level", "n")
+
+
+@query(
+    "quad_table_cells",
+    f"WITH {TREE_SQL} SELECT q.id, z.zone_id AS cell_id FROM quads q JOIN zones z ON substr(q.code, 1, z.level) = z.code",
+)
+def quad_table_cells(spark, sf):
+    return _quad_table(spark, sf).assign(core.pts(spark, sf)).select("id", "cell_id")
+
+
 @query(
     "quad_tree_cells",
     f"WITH {TREE_SQL} SELECT q.id, z.zone_id AS cell_id FROM quads q JOIN zones z ON substr(q.code, 1, z.level) = z.code",

@@ -10,6 +10,7 @@ from terrafold.registry import core
 from terrafold.registry.core import DIRTY, POLYS, PTS, WINDOWS, query
 from terrafold.registry.filters import RANGE_SQL, WINDOW
 from terrafold.sources import readers, sinks
+from terrafold.sources.layout import ClusteredPoints
 from terrafold.streaming.filters import read_point_stream, run_to_files
 
 
@@ -150,6 +151,16 @@ def layout_roundtrip(spark, sf):
     return core.layout(spark, sf).points.select("id", "x", "y")
 
 
+@query("range_query_z_order", RANGE_SQL)
+def range_query_z_order(spark, sf):
+    """The window over a layout in Z-order."""
+
+    def make():
+        return ClusteredPoints.write(cells.kd_tree_cells(core.pts(spark, sf)), scratch_path(spark, "layout-z"), order="z")
+
+    return core.built(spark, sf, "layout-z", make).range_query(WINDOW)
+
+
 @query("stream_range_query", RANGE_SQL)
 def stream_range_query(spark, sf):
     """The window filter as a stream over the orders file."""

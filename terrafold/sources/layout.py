@@ -1,7 +1,8 @@
-"""Clustered layout: points in one folder per cell, sorted by y, with a small table of cells beside them.
+"""Clustered layout: points in one folder per cell, in order inside it, with a small table of cells beside them.
 
-The cells table answers which folders a query can touch before any point is read; inside the folders, files
-sorted by y let Parquet statistics skip row groups.
+The cells table answers which folders a query can touch before any point is read; inside the folders, sorted files
+let Parquet statistics skip files, row groups and pages. Sorted by y, that works along one axis. In Z-order
+neighbours on both axes are near each other, so a window reads few files and pages of a cell of very many rows.
 """
 
 from __future__ import annotations
@@ -13,35 +14,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.functions import codes
 from terrafold.functions import geometry as g
 from terrafold.functions.literals import is_one_of
 from terrafold.operators import diagnostics, distance, lookup, nearest
-from terrafold.plans.pyramid import BOX
+from terrafold.plans.extent import Extent
+from terrafold.plans.pyramid import BOX, merged_box_aggregates
 from terrafold.plans.session import BROADCAST_ROWS, bounded_broadcast, local_copy
 
 ROWS_PER_FILE = 5_000_000
 MAX_LITERAL_CELLS = 1_000
 
 
-def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """Write points that carry ``cell_id``. A cell above ``rows_per_file`` is spread over several tasks."""
-    cells = diagnostics.cells_table(assigned)
-    cells.write.parquet(f"{path}/cells")
-    spark = assigned.sparkSession
-    stored = spark.read.parquet(f"{path}/cells")
-    size = stored.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), F.max("n").alias("max_n")).first()
-    out, keys = assigned, ["cell_id"]
-    if size["max_n"] and size["max_n"] > rows_per_file:
-        splits = stored.filter(F.col("n") > rows_per_file).select(
-            "cell_id", F.ceil(F.col("n") / rows_per_file).cast("int").alias("splits")
-        )
-        out = out.join(bounded_broadcast(splits, size["cells"]), "cell_id", "left").withColumn(
-            "salt", F.pmod(F.xxhash64("id", "x", "y"), F.coalesce("splits", F.lit(1)))
-        ).drop("splits")
-        keys = ["cell_id", "salt"]
+def write_clustered(assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, order: str = "y") -> None:
+    """Write points that carry ``cell_id``, in ``order`` "y" or "z" inside a cell.
+
+    Tasks take ranges of (cell, order, id), so a cell above ``rows_per_file`` is spread over several tasks, also where
+    it is a single place, and their files hold disjoint ranges of the order.
+    """
+    if order not in ("y", "z"):
+        raise ValueError(f"order must be y or z, got {order!r}")
+    diagnostics.cells_table(assigned).write.parquet(f"{path}/cells")
+    stored = assigned.sparkSession.read.parquet(f"{path}/cells")
+    size = stored.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"), *merged_box_aggregates()[1:]).first()
     tasks = max(1, size["cells"] + (size["n"] or 0) // rows_per_file)
+    out, keys = assigned, ["y", "x", "id"]
+    if order == "z":
+        box = [0.0 if size[b] is None else size[b] for b in BOX]
+        out, keys = codes.add_quad_number(assigned, Extent(size["n"] or 0, *box), codes.MAX_DEPTH, "__z"), ["__z", "y", "x", "id"]
     # the writer groups by cell_id, so the order must begin with it
-    placed = lookup.sort_within_cells(out.repartition(tasks, *keys)).drop("salt")
+    placed = out.repartitionByRange(tasks, "cell_id", *keys).sortWithinPartitions("cell_id", *keys).drop("__z")
     placed.write.partitionBy("cell_id").parquet(f"{path}/points")
 
 
@@ -61,8 +63,8 @@ class ClusteredPoints:
         return cls(points, local_copy(cells, n), n)
 
     @classmethod
-    def write(cls, assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> ClusteredPoints:
-        write_clustered(assigned, path, rows_per_file)
+    def write(cls, assigned: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE, order: str = "y") -> ClusteredPoints:
+        write_clustered(assigned, path, rows_per_file, order)
         return cls.read(assigned.sparkSession, path, assigned.schema)
 
     @property

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import codes
-from terrafold.operators import cells, diagnostics
+from terrafold.operators import cells, diagnostics, quadtable
 from terrafold.plans.extent import Extent
 
 N = 2_000
@@ -147,3 +147,26 @@ def test_boxes_cut_from_a_sample_leave_no_point_outside(spark, monkeypatch):
     assert boxes.agg(F.sum("n"), F.count("box_id")).first() == (6_000, 25)
     lost = cells.assign_to_boxes(points, boxes).filter("cell_id = -1")
     assert sorted(r["id"] for r in lost.collect()) == [6_000, 6_001]
+
+
+@pytest.mark.parametrize("bucket, light", [(4_096, True), (8, True), (8, False)])
+def test_leaves_as_a_table_are_the_same_tree(spark, points, monkeypatch, bucket, light):
+    monkeypatch.setattr(quadtable, "LEAVES_PER_BUCKET", bucket)
+    if not light:
+        monkeypatch.setattr(quadtable, "BROADCAST_CUTS", 0)
+    tree, table = cells.QuadTree.fit(points, 20, depth=6), quadtable.QuadTable.fit(points, 20, depth=6)
+    columns = ["zone_id", "code", "level", "n", "min_x", "min_y", "max_x", "max_y"]
+    assert table.zones().select(columns).orderBy("zone_id").collect() == tree.zones(spark).select(columns).orderBy("zone_id").collect()
+    odd = points.unionByName(spark.createDataFrame([(-1, -5.0, 0.0), (-2, None, 1.0), (-3, float("nan"), 1.0)], SCHEMA))
+    rows = lambda t: {r["id"]: r["cell_id"] for r in t.assign(odd).collect()}
+    assert rows(table) == rows(tree)
+    window = (3.0, 3.0, 5.0, 4.5)
+    assert table.zones_for_window(window).count() == tree.zones_for_window(spark, window).count()
+
+
+def test_leaf_table_of_little_data(spark, points):
+    for few in (points.limit(0), points.limit(1), points.filter("x = 3.0")):
+        table, tree = quadtable.QuadTable.fit(few, 4, depth=9), cells.QuadTree.fit(few, 4, depth=9)
+        assert table.n_leaves == len(tree.leaves) and table.assign(few).filter("cell_id IS NULL").count() == 0
+        got = [(r["start"], r["level"], r["n"]) for r in table.leaves.orderBy("cell_id").collect()]
+        assert got == list(tree.leaves)

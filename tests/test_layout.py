@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from conftest import plan_of
+from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
 from terrafold.operators import cells, distance, lookup, nearest
@@ -116,3 +117,28 @@ def test_geodesic_queries_read_only_near_cells(spark, tmp_path):
     assert 0 < len(kept) < 16
     filters = plan_of(made.distance_query(*asked[0][1:])).split("PartitionFilters: [")[1].split("]")[0]
     assert all(str(c) in filters for c in kept) and "cell_id" in filters
+
+
+def test_hot_cells_are_ranges_and_z_order_prunes_both_axes(spark, tmp_path):
+    """One cell of all rows: its files hold disjoint ranges; a small window meets fewer of them in Z-order than by y."""
+    rng = np.random.default_rng(31)
+    x, y = rng.uniform(0, 100, N), rng.uniform(0, 100, N)
+    x[: N // 3], y[: N // 3] = 50.0, 50.0
+    frame = pd.DataFrame({"id": np.arange(N), "x": x, "y": y})
+    frame.loc[N - 1, "x"] = None
+    one = spark.createDataFrame(frame).withColumn("cell_id", F.lit(0))
+    met = {}
+    for order in ("y", "z"):
+        made = ClusteredPoints.write(one, str(tmp_path / order), rows_per_file=100, order=order)
+        for window in WINDOWS:
+            assert ids(made.range_query(window)) == ids(lookup.range_query(one, window))
+        files = [pq.ParquetFile(f).read().to_pandas() for f in glob.glob(f"{tmp_path}/{order}/points/cell_id=0/*.parquet")]
+        assert len(files) > 20 and max(map(len, files)) < 500 and sum(map(len, files)) == N
+        spans = [(f.x.min(), f.x.max(), f.y.min(), f.y.max()) for f in files]
+        met[order] = sum(a <= 12 and b >= 10 and c <= 90 and d >= 10 for a, b, c, d in spans)
+        if order == "y":
+            ends = sorted((c, d) for _, _, c, d in spans)
+            assert all(d <= c2 for (_, d), (c2, _) in zip(ends, ends[1:]))
+    assert met["z"] * 2 < met["y"]
+    with pytest.raises(ValueError):
+        ClusteredPoints.write(one, str(tmp_path / "no"), order="hilbert")
