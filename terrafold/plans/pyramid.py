@@ -337,7 +337,7 @@ class PointIndex:
 
     def descend(
         self, queries: DataFrame, state: Callable[[tuple[Column, ...]], Column], settle: bool,
-        clip: dict[str, Callable[[tuple[Column, ...]], Column]] | None = None,
+        clip: dict[str, Callable[[tuple[Column, ...]], Column]] | None = None, settle_to: int | None = None,
     ) -> DataFrame:
         """Pair every query with pyramid nodes that meet it.
 
@@ -348,8 +348,12 @@ class PointIndex:
 
         ``clip`` gives for a query column the part of its value that matters in a node's box. It is applied at
         every level to border pairs; a covered pair keeps an empty array.
+
+        ``settle_to`` settles nodes down to that level only and adds the ``level`` of every row: a node that is
+        covered first below it goes on to its cells.
         """
         clip = clip or {}
+        known_level = [] if settle_to is None else ["level"]
         box = tuple(F.col(f"node_{b}") for b in BOX)
         border = F.col("state") == BORDER
         kept = [
@@ -362,14 +366,16 @@ class PointIndex:
             .select(*queries.columns, "node.*")
             .withColumn("state", state(box))
             .filter(F.col("state") != DISJOINT)
-            .select(*kept, *node, (F.col("state") == COVERED).alias("covered"))
+            .select(*kept, *node, (F.col("state") == COVERED).alias("covered"), *[F.lit(0).alias(c) for c in known_level])
         )
         for i in range(1, len(self.grid.shifts)):
             was = F.col("covered")
             nodes = self.level(i)
+            passes = was if settle_to is None else was & (F.col("level") <= settle_to)
+            depth = [F.when(passes, F.col(c)).otherwise(F.lit(i)).alias(c) for c in known_level]
             if settle:
                 # settled rows get a null key and pass through the outer join untouched
-                keys = {"px": F.when(~was, F.col("nx")), "py": F.when(~was, F.col("ny"))}
+                keys = {"px": F.when(~passes, F.col("nx")), "py": F.when(~passes, F.col("ny"))}
                 step = frontier.withColumns(keys).join(nodes, ["px", "py"], "left")
                 node = [F.coalesce(f"node_{k}", k).alias(k) for k in ("nx", "ny", "n")]
             else:
@@ -377,7 +383,7 @@ class PointIndex:
             frontier = (
                 step.withColumn("state", F.when(was, COVERED).otherwise(state(box)))
                 .filter(F.col("state") != DISJOINT)
-                .select(*kept, *node, (F.col("state") == COVERED).alias("covered"))
+                .select(*kept, *node, (F.col("state") == COVERED).alias("covered"), *depth)
             )
         return frontier
 

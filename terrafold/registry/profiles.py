@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrafold.operators import diagnostics, prepare, profile, sampling
+from terrafold.operators import diagnostics, joins, prepare, profile, sampling
+from terrafold.operators.sketches import RANK_ERROR, SketchIndex
 from terrafold.plans.extent import extent
 from terrafold.plans.ordering import exact_quantiles
+from terrafold.plans.session import written
 from terrafold.registry import core
-from terrafold.registry.core import DIRTY, DIRTY_BOX, EXT, PTS, TIES, UNIT, query
+from terrafold.registry.core import DIRTY, DIRTY_BOX, EXT, PTS, TIES, UNIT, WINDOWS, query
 
 
 def r6(c):
@@ -312,3 +314,31 @@ def runtime_summary(spark, sf):
 def speedup(spark, sf):
     out = diagnostics.speedup(core.table(spark, sf, "events"), "user_id", "event_type", "value", "click", "view")
     return out.withColumns({c: r6(c) for c in ("base_avg", "test_avg", "speedup")})
+
+
+@query(
+    "window_quantiles_ok",
+    f"""WITH {PTS}, {WINDOWS} SELECT w.qid, count(*) AS n, true AS ok FROM windows w
+    JOIN pts p ON p.x BETWEEN w.min_x AND w.max_x AND p.y BETWEEN w.min_y AND w.max_y GROUP BY w.qid""",
+)
+def window_quantiles_ok(spark, sf):
+    """Quantiles of windows from merged sketches, each held against the exact rank of its value in the window."""
+    index, windows = core.index(spark, sf), core.windows(spark, sf)
+    made = core.built(spark, sf, "sketches", lambda: SketchIndex.build(index))
+    probs = [0.05, 0.5, 0.95]
+    found = written(made.window_quantiles(windows, probs).filter("n > 0"), "window-quantiles")
+    held = joins.window_join(index, windows).join(found, "qid")
+    ranks = [
+        agg
+        for i in range(len(probs)) for axis in ("x", "y")
+        for agg in (
+            F.count_if(F.col(axis) < F.get(f"{axis}_quantiles", F.lit(i))).alias(f"{axis}{i}_lt"),
+            F.count_if(F.col(axis) <= F.get(f"{axis}_quantiles", F.lit(i))).alias(f"{axis}{i}_le"),
+        )
+    ]
+    counted = held.groupBy("qid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), *ranks)
+    good, slack = F.col("c") == F.col("n"), F.lit(RANK_ERROR) * F.col("n") + 1
+    for i, p in enumerate(probs):
+        for axis in ("x", "y"):
+            good = good & (F.col(f"{axis}{i}_lt") <= F.col("n") * p + slack) & (F.col(f"{axis}{i}_le") >= F.col("n") * p - slack)
+    return counted.select("qid", "n", good.alias("ok"))
