@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from terrafold.operators import cells, diagnostics
 from terrafold.operators.quadtable import QuadTable
+from terrafold.plans.session import scratch_path
 from terrafold.registry import core
 from terrafold.registry.core import EXT, PTS, grid_sql, query
 from terrafold.registry.filters import WINDOW
+from terrafold.sources import sinks
 
 
 def r6(c):
@@ -305,6 +307,31 @@ def loss_check(spark, sf):
     return diagnostics.loss_check(core.pts(spark, sf), core.grid_assigned(spark, sf, 20))
 
 
+@query(
+    "full_report",
+    f"""WITH {ALL_CELLS} SELECT 'grid' AS method, 'whole' AS label, true AS timed, count(*) AS partitions, min(n) AS min_n,
+      round(avg(n), 6) AS avg_n, max(n) AS max_n, count(*) FILTER (n = 0) AS empty, round(min(area), 6) AS min_area,
+      round(avg(area), 3) AS avg_area, round(max(area), 6) AS max_area,
+      (SELECT count(*) FROM pts) AS n_before, (SELECT count(*) FROM pts) AS n_after, CAST(0 AS BIGINT) AS n_lost,
+      count(*) FILTER (n > 0) AS non_empty, count(*) FILTER (n BETWEEN 1 AND 100) AS small,
+      round(count(*) FILTER (n BETWEEN 1 AND 100) / CAST(count(*) FILTER (n > 0) AS DOUBLE), 6) AS small_ratio,
+      count(*) FILTER (n = 0) || ',' || count(*) FILTER (n BETWEEN 1 AND 100) || ',' || count(*) FILTER (n BETWEEN 101 AND 1000)
+        || ',' || count(*) FILTER (n BETWEEN 1001 AND 10000) || ',' || count(*) FILTER (n > 10000) AS histogram FROM every""",
+)
+def full_report(spark, sf):
+    """Every column of the report, appended to a file and read back."""
+    p, path = core.pts(spark, sf), scratch_path(spark, "full-report")
+    made = diagnostics.report(p, core.grid_assigned(spark, sf, 20), "grid", PARTITIONS, "whole")
+    sinks.append_report(made, path, "parquet")
+    out = spark.read.schema(made.schema).parquet(path)
+    classes = F.transform(F.array(*[F.lit(b) for b in ("0", "1-100", "101-1000", "1001-10000", ">10000")]), lambda b: F.col("histogram")[b])
+    rounded = {c: r6(c) for c in ("avg_n", "min_area", "max_area", "small_ratio")}
+    return out.withColumns({
+        **rounded, "avg_area": F.round("avg_area", 3), "timed": F.col("reported_at").isNotNull(),
+        "histogram": F.concat_ws(",", F.transform(classes, lambda n: n.cast("string"))),
+    }).drop("reported_at")
+
+
 @query(
     "pruning_report",
     f"""WITH {CELLS}, h AS (SELECT *, min_x <= 150000 AND max_x >= 100000 AND min_y <= 900 AND max_y >= 500 AS hit FROM stats)
