@@ -1,8 +1,8 @@
 """Polygons or windows as quad nodes: the static side of a join with points that are not indexed, a stream above all.
 
 Every shape is cut into nodes of a quad tree over the extent of all shapes. A node that lies inside its shape is
-settled; a node on the border keeps the edges near it (and the parity of those beyond) and is cut again until it is small against its shape and few
-edges are left. A point has one node per level in use, so the join is an equi-join on (level, node) and needs no
+settled; a node on the border keeps the edges near it (and the parity of those beyond) and is cut again until it is
+small against its shape and few edges are left. A point has one node per level in use, so the join is an equi-join on (level, node) and needs no
 statistics of the points.
 """
 
