@@ -23,6 +23,7 @@ SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
 CHARS_PER_DOC = 400
 SEGMENT = 256
+DENSE_ENTRIES = 1 << 21  # transitions of a language are an array up to this size, a sorted list of edges beyond
 UNKNOWN, GAP, PAD = 0, 1, 2
 FAIL = 1 << 30
 UNDETERMINED = "und"
@@ -36,8 +37,49 @@ def _is_letter(point: int) -> bool:
     return chr(point).isalpha()
 
 
+class Transitions:
+    """The suffix automaton of one sample over the letters of that sample alone.
+
+    A missing edge ends the phrase: flagged, and the symbol starts anew. A large alphabet has few edges for its states,
+    so they are kept sorted instead of an entry for every state and letter.
+    """
+
+    def __init__(self, classes: np.ndarray, n_classes: int):
+        own = np.unique(classes[classes > PAD])
+        self.local = np.zeros(n_classes, dtype=np.int32)  # letters of other samples only are unknown here
+        self.local[[GAP, PAD]] = GAP, PAD
+        self.local[own] = np.arange(len(own)) + PAD + 1
+        self.width = len(own) + PAD + 1
+        edges = SuffixAutomaton([self.local[classes].tolist()]).next
+        self.anew = np.full(self.width, FAIL, dtype=np.int32)
+        for symbol, to in edges[0].items():
+            self.anew[symbol] = to | FAIL
+        listed = sorted((state * self.width + symbol, to) for state, by in enumerate(edges) for symbol, to in by.items())
+        self.keys = np.array([k for k, _ in listed], dtype=np.int64)
+        self.to = np.array([t for _, t in listed], dtype=np.int32)
+        self.table = None
+        if len(edges) * self.width <= DENSE_ENTRIES:
+            table = np.tile(self.anew, len(edges))
+            table[self.keys] = self.to
+            table[PAD :: self.width] = np.arange(len(edges))
+            self.table, self.keys, self.to = table, self.keys[:0], self.to[:0]
+
+    @property
+    def nbytes(self) -> int:
+        arrays = (self.local, self.anew, self.keys, self.to, self.table)
+        return sum(a.nbytes for a in arrays if a is not None)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table.take(state * self.width + symbol)
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        to = np.where(self.keys[at] == key, self.to[at], self.anew[symbol])
+        return np.where(symbol == PAD, state, to)
+
+
 class Parsers:
-    """One table of transitions per language, over classes of characters that the samples contain."""
+    """Transitions per language, over classes of characters that the samples contain."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         seen = sorted({int(p) for _, text in samples for p in np.unique(_points(text)) if _is_letter(int(p))})
@@ -51,7 +93,7 @@ class Parsers:
         self.tables, self.sizes = [], []
         for _, text in samples:
             classes = self.classes(text)
-            self.tables.append(self._table(SuffixAutomaton([classes.tolist()])))
+            self.tables.append(Transitions(classes, self.width))
             self.sizes.append(max(2, len(classes)))
 
     def classes(self, text: str) -> np.ndarray:
@@ -65,18 +107,6 @@ class Parsers:
         again[1:] = (out[1:] == GAP) & (out[:-1] == GAP)
         return out[~again]
 
-    def _table(self, automaton: SuffixAutomaton) -> np.ndarray:
-        """Where a symbol leads from a state. A missing edge ends the phrase: flagged, and the symbol starts anew."""
-        anew = np.zeros(self.width, dtype=np.int32)
-        for symbol, to in automaton.next[0].items():
-            anew[symbol] = to
-        table = np.tile(anew | FAIL, (len(automaton.next), 1))
-        for state, edges in enumerate(automaton.next):
-            for symbol, to in edges.items():
-                table[state, symbol] = to
-        table[:, PAD] = np.arange(len(automaton.next))
-        return table.ravel()
-
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(phrases[text, language], characters[text]). Texts are read in segments, all segments in step, so one
         long text costs no more than many short ones; a phrase also ends where its segment ends."""
@@ -93,7 +123,7 @@ class Parsers:
             state = np.zeros(columns.shape[1], dtype=np.int32)
             ended = np.ones(columns.shape[1], dtype=np.int64)
             for column in columns:
-                to = table.take(state * self.width + column)
+                to = table.step(state, table.local.take(column))
                 ended += to >> 30
                 state = to & (FAIL - 1)
             counts[:, k] = np.add.reduceat(ended, starts[:-1])
@@ -125,21 +155,23 @@ class Parsers:
 def language_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[tuple[str, str], ...]:
     """(language, text) from documents outside fold 0 with a language, in order of the language.
 
-    Documents are drawn by a hash of their id at a rate that gives about ``sample_docs`` per language (all, if
-    there are fewer), from each up to CHARS_PER_DOC characters of its middle, at most ``sample_chars`` together."""
+    Texts are drawn by a hash of the text, copies once, at a rate that gives about ``sample_docs`` per language (all,
+    if there are fewer), from each up to CHARS_PER_DOC characters of its middle. They are taken in the order of that
+    hash, so every id has the same chance, until there are ``sample_chars`` characters."""
     known = docs.filter(F.col("lang").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0) & (fold() != 0))
     counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang_counts")
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    draw = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000_000)) / F.lit(1e9)
     middle = F.greatest(F.lit(1), (F.length("text") / 2 - CHARS_PER_DOC // 2).cast("int"))
     drawn = (
-        known.select("lang", "doc_id", F.substring(F.col("text"), middle, F.lit(CHARS_PER_DOC)).alias("text"), draw.alias("draw"))
+        known.select("lang", F.substring(F.col("text"), middle, F.lit(CHARS_PER_DOC)).alias("text"), draw.alias("draw"))
         .join(counts, "lang")
         .filter(F.col("draw") * F.col("n") < sample_docs)
-        .select("lang", "doc_id", "text")
+        .select("lang", "draw", "text")
+        .distinct()
     )
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["doc_id", "text"])
+        ordered = group.sort_values(["draw", "text"])
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "text": ["\n".join(ordered["text"])[:sample_chars]]})
 
     rows = drawn.groupBy("lang").applyInPandas(joined, "lang string, text string").collect()

@@ -522,6 +522,32 @@ def test_languages(spark, odd, clash, empty):
     assert {r["lang_pred"] for r in languages.identify(odd, ()).collect()} == {"und"}
 
 
+def test_large_alphabets_stay_small_and_parse_alike(monkeypatch):
+    """Samples of many letters: bounded memory, and edges in a list give the phrases that the array gives."""
+    rng = np.random.default_rng(12)
+    draw = lambda low, size, n: "".join(map(chr, rng.integers(low, low + size, n)))
+    samples = (("en", draw(0x61, 26, 20_000)), ("ja", draw(0x3041, 80, 8_000) + draw(0x4E00, 2_500, 12_000)),
+               ("ko", draw(0xAC00, 3_000, 20_000)), ("zh", draw(0x4E00, 4_000, 20_000)))
+    p = languages.Parsers(samples)
+    assert sum(t.nbytes for t in p.tables) < 30_000_000 and {t.table is None for t in p.tables} == {True, False}
+    texts = [text[500:900] + other[:300] for _, text in samples for _, other in samples] + ["", "12 . 3", "\u0436" * 600]
+    got = p.phrases(texts)[0]
+    monkeypatch.setattr(languages, "DENSE_ENTRIES", 0)
+    again = languages.Parsers(samples)
+    assert all(t.table is None for t in again.tables) and (again.phrases(texts)[0] == got).all()
+    assert all(p.predict([text[300:600]])[0] == [name] for name, text in samples)
+
+
+def test_language_samples_take_ids_alike_and_copies_once(spark):
+    rows = [(i, "xx", f"text number {i} " * 40) for i in range(3_000)] + [(i, "xx", "a copy " * 80) for i in range(3_000, 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    ((_, sample),) = languages.language_samples(docs)
+    assert len(sample) == languages.SAMPLE_CHARS and sample.count("a copy a") <= 60
+    found = sorted({int(n) for n in re.findall(r"number (\d+) text", sample)})
+    assert found[-1] > 2_000 and found[0] < 1_000
+    assert languages.language_samples(docs.repartition(7)) == languages.language_samples(docs)
+
+
 def test_cross_parsing_counts():
     """Phrases in step agree with a plain greedy parse by substring search."""
     sample = "the cat sat on the mat and the rat sat"
