@@ -103,7 +103,7 @@ def test_settled_pairs_are_not_dealt_by_null(spark, index, boxes, monkeypatch):
     assert "hash(" in text and walked.count() == len(boxes) * len(index.top)
 
 
-@pytest.mark.parametrize("name", ["window_counts", "wild_window_counts"])
+@pytest.mark.parametrize("name", ["window_counts", "wild_window_counts", "window_counts_nested"])
 def test_registered_counts_pair_windows_with_parts(spark, sf, monkeypatch, name):
     pairs = spied(monkeypatch)
     found = core.QUERIES[name](spark, sf)
