@@ -22,6 +22,8 @@ from terrafold.plans.session import bounded_broadcast, written
 
 PART_ROWS = 262_144  # points of a part, unless they are one place
 ASKED_ROWS = 262_144  # windows that one task takes with a part
+WINDOWS_PER_CALL = 4_096
+PARTS_PER_GROUP = 8_192
 WINDOW = tuple(f"w_{b}" for b in ("min_x", "min_y", "max_x", "max_y"))
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -122,3 +124,59 @@ def count_in_parts(index: PointIndex, pairs: DataFrame, keep: list[str], part_ro
         return [pa.array(Ranks(y, x).window(along, across)[3] if len(windows) else np.zeros(0, np.int64))]
 
     return by_part(index, pairs, keep, ["n bigint"], answer, part_rows)
+
+
+def marks_in_parts(index: PointIndex, pairs: DataFrame, keep: list[str], part_rows: int, marks: int) -> DataFrame:
+    """Rows (keep..., n, x, y): of the points of each pair's part in its window their number and, per axis, ``marks``
+    values that stand for equal shares of them, each the middle one of its share, or all values of fewer points."""
+
+    def answer(x: np.ndarray, y: np.ndarray, windows: pa.Table) -> list[pa.Array]:
+        if not len(windows):
+            return [pa.array([], pa.int64()), *[pa.array([], pa.list_(pa.float64()))] * 2]
+        out = []
+        xs, ys = bounds(windows)
+        for ranks, along, across in ((Ranks(x, y), xs, ys), (Ranks(y, x), ys, xs)):
+            low, high, before, n = ranks.window(along, across)
+            taken = np.minimum(n, marks)
+            values = np.empty(taken.sum())
+            ends = np.concatenate(([0], np.cumsum(taken)))
+            for i in range(0, len(n), WINDOWS_PER_CALL):
+                of = np.repeat(np.arange(i, min(i + WINDOWS_PER_CALL, len(n))), taken[i : i + WINDOWS_PER_CALL])
+                place = np.arange(ends[i], ends[i] + len(of)) - ends[of]
+                nth = before[of] + (2 * place + 1) * n[of] // (2 * taken[of])
+                values[ends[i] : ends[i] + len(of)] = ranks.nth(low[of], high[of], nth)
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)))
+        return [pa.array(n), *out]
+
+    return by_part(index, pairs, keep, ["n bigint", "x array<double>", "y array<double>"], answer, part_rows)
+
+
+def merged_quantiles(marked: DataFrame, key: str, probs: list[float]) -> DataFrame:
+    """Rows (key, n, x_quantiles, y_quantiles) from rows (key, n, x, y) whose values each stand for an equal share of n.
+
+    Keys are dealt by hash into groups of some PARTS_PER_GROUP rows, and a group is merged at once."""
+    groups = max(1, -(-marked.count() // PARTS_PER_GROUP))
+    dealt = marked.withColumn("__group", F.pmod(F.xxhash64(key), F.lit(groups)))
+
+    def merge(rows: pa.Table) -> pa.Table:
+        coded = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        number, n = coded.indices.to_numpy(), rows.column("n").to_numpy()
+        total = np.bincount(number, n, len(coded.dictionary)).astype(np.int64)
+        out = [coded.dictionary, pa.array(total)]
+        for axis in ("x", "y"):
+            lists = rows.column(axis).combine_chunks()
+            sizes, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            of, weight = np.repeat(number, sizes), np.repeat(n / np.maximum(sizes, 1), sizes)
+            order = np.lexsort((values, of))
+            of, values, weight = of[order], values[order], np.cumsum(weight[order])
+            first = np.searchsorted(of, np.arange(len(total)), "left")
+            last = np.searchsorted(of, np.arange(len(total)), "right") - 1
+            before = np.concatenate(([0.0], weight))[first]
+            found = [np.clip(np.searchsorted(weight, before + p * total), first, last) for p in probs]
+            flat = values[np.stack(found, axis=1).ravel()]
+            out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1) * len(probs), pa.int32()), pa.array(flat)))
+        return pa.Table.from_arrays(out, names=[key, "n", "x_quantiles", "y_quantiles"])
+
+    kind = marked.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, n bigint, x_quantiles array<double>, y_quantiles array<double>"
+    return dealt.select("__group", key, "n", "x", "y").groupBy("__group").applyInArrow(merge, schema)

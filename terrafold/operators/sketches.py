@@ -1,7 +1,8 @@
 """Quantiles of any window from mergeable sketches that stand beside the pyramid.
 
-Nodes of many rows keep a KLL sketch per axis; those of coarser levels are merged from them. A window merges the
-sketches of the nodes inside it and reads points only in nodes that it cuts.
+Nodes of many rows keep a KLL sketch per axis; those of coarser levels are merged from them. A window merges values
+that stand for equal shares of the nodes inside it; in parts that it cuts, the points are ranked once for all windows
+and give such values too.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions import geometry as g
+from terrafold.operators.ranges import PART_ROWS, WINDOW, marks_in_parts, merged_quantiles
 from terrafold.plans.pyramid import BORDER, BOX, COVERED, DISJOINT, STEP_BITS, PointIndex
 from terrafold.plans.session import written
 
@@ -19,8 +21,8 @@ SKETCH_K = 800
 # Share of the rows by which a quantile's rank may be off, with 99 % confidence: about 2.3 / k ** 0.9, taken twice.
 RANK_ERROR = 0.012
 ROWS_PER_SKETCH = 65_536
+MARKS = 128  # values that stand for the points of a node or part: they add half a share, 0.004, to a rank's error
 AXES = ("x", "y")
-WINDOW = tuple(f"w_{b}" for b in BOX)
 
 
 @dataclass(frozen=True)
@@ -65,15 +67,13 @@ class SketchIndex:
             outside = ~g.boxes_intersect(WINDOW, box)
             return F.when(outside, DISJOINT).when(g.box_contains_box(WINDOW, box), COVERED).otherwise(BORDER)
 
-        pairs = self.index.stored(self.index.descend(named.filter(proper), state, settle=True, settle_to=self.base))
+        walked = self.index.descend(named.filter(proper), state, settle=True, settle_to=self.base, rows=PART_ROWS)
+        pairs = self.index.stored(walked)
         settled = F.col("covered") & (F.col("level") <= self.base)
-        whole = pairs.filter(settled).select(key, "level", "nx", "ny").join(self.nodes, ["level", "nx", "ny"])
-        inside = F.col("covered") | g.box_contains_point(*WINDOW, "x", "y")
-        cut = self.index.join_points(pairs.filter(~settled).drop("n", "level"), inside)
-        merge = [F.kll_merge_agg_double(F.col(a), F.lit(self.k)).alias(a) for a in AXES]
-        read = cut.groupBy(key).agg(*[F.kll_sketch_agg_double(F.col(a).cast("double"), F.lit(self.k)).alias(a) for a in AXES])
-        found = whole.select(key, *AXES).unionByName(read).groupBy(key).agg(*merge)
-        marks = F.array(*[F.lit(float(p)) for p in probs])
-        quantiles = [F.kll_sketch_get_quantile_double(F.col(a), marks).alias(f"{a}_quantiles") for a in AXES]
-        values = found.select(key, F.kll_sketch_get_n_double("x").alias("n"), *quantiles)
+        shares = F.array(*[F.lit((i + 0.5) / MARKS) for i in range(MARKS)])
+        marks = [F.kll_sketch_get_quantile_double(F.col(a), shares).alias(a) for a in AXES]
+        nodes = self.nodes.select("level", "nx", "ny", *marks)
+        whole = pairs.filter(settled).select(key, "level", "nx", "ny", "n").join(nodes, ["level", "nx", "ny"]).select(key, "n", *AXES)
+        cut = marks_in_parts(self.index, pairs.filter(~settled), [key], PART_ROWS, MARKS).filter("n > 0")
+        values = merged_quantiles(written(whole.unionByName(cut), "window-marks"), key, probs)
         return windows.select(key).join(values, key, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))

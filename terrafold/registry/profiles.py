@@ -8,6 +8,7 @@ from terrafold.operators import diagnostics, joins, prepare, profile, sampling
 from terrafold.operators.sketches import RANK_ERROR, SketchIndex
 from terrafold.plans.extent import extent
 from terrafold.plans.ordering import exact_quantiles
+from terrafold.plans.pyramid import BOX
 from terrafold.plans.session import written
 from terrafold.registry import core
 from terrafold.registry.core import DIRTY, DIRTY_BOX, EXT, PTS, TIES, UNIT, WINDOWS, query
@@ -327,18 +328,23 @@ def window_quantiles_ok(spark, sf):
     made = core.built(spark, sf, "sketches", lambda: SketchIndex.build(index))
     probs = [0.05, 0.5, 0.95]
     found = written(made.window_quantiles(windows, probs).filter("n > 0"), "window-quantiles")
-    held = joins.window_join(index, windows).join(found, "qid")
-    ranks = [
-        agg
-        for i in range(len(probs)) for axis in ("x", "y")
-        for agg in (
-            F.count_if(F.col(axis) < F.get(f"{axis}_quantiles", F.lit(i))).alias(f"{axis}{i}_lt"),
-            F.count_if(F.col(axis) <= F.get(f"{axis}_quantiles", F.lit(i))).alias(f"{axis}{i}_le"),
-        )
-    ]
-    counted = held.groupBy("qid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), *ranks)
+    asked = windows.join(found.dropDuplicates(["qid"]), "qid").select("qid", F.col("n").alias("m"), *BOX, "x_quantiles", "y_quantiles")
+    # the ranks of a value are the counts of the window's part up to it and from it on
+    parts = [F.struct(F.lit("c").alias("part"), *[F.col(b) for b in BOX])]
+    for i in range(len(probs)):
+        for axis, low, high in (("x", 0, 2), ("y", 1, 3)):
+            v = F.get(f"{axis}_quantiles", F.lit(i))
+            up, on = list(map(F.col, BOX)), list(map(F.col, BOX))
+            up[high], on[low] = v, v
+            for name, box in (("le", up), ("ge", on)):
+                parts.append(F.struct(F.lit(f"{axis}{i}_{name}").alias("part"), *[c.alias(b) for c, b in zip(box, BOX)]))
+    boxes = asked.select("qid", "m", F.explode(F.array(*parts)).alias("b")).select("qid", "m", "b.*")
+    held = joins.window_counts(index, boxes)
+    names = [f"{axis}{i}_{side}" for i in range(len(probs)) for axis in ("x", "y") for side in ("le", "ge")]
+    sums = [F.sum(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in ["c", *names]]
+    counted = held.groupBy("qid").agg(*sums, F.first("m").alias("n"))
     good, slack = F.col("c") == F.col("n"), F.lit(RANK_ERROR) * F.col("n") + 1
     for i, p in enumerate(probs):
         for axis in ("x", "y"):
-            good = good & (F.col(f"{axis}{i}_lt") <= F.col("n") * p + slack) & (F.col(f"{axis}{i}_le") >= F.col("n") * p - slack)
+            good = good & (F.col("c") - F.col(f"{axis}{i}_ge") <= F.col("n") * p + slack) & (F.col(f"{axis}{i}_le") >= F.col("n") * p - slack)
     return counted.select("qid", "n", good.alias("ok"))

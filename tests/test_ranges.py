@@ -9,6 +9,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from terrafold.operators import joins, ranges
+from terrafold.operators.sketches import RANK_ERROR, SketchIndex
 from terrafold.plans.pyramid import PointIndex
 from terrafold.registry import core
 
@@ -108,3 +109,26 @@ def test_registered_counts_pair_windows_with_parts(spark, sf, monkeypatch, name)
     pairs = spied(monkeypatch)
     found = core.QUERIES[name](spark, sf)
     assert found.count() == core.windows(spark, sf).count() and "level" in pairs[-1].columns
+
+
+def test_quantiles_of_many_windows_read_no_point_per_window(spark, index, data, boxes, monkeypatch):
+    """What a window takes from a part has a bounded size; ranks stay within their error."""
+    monkeypatch.setattr("terrafold.operators.sketches.PART_ROWS", 500)
+    pairs = spied(monkeypatch)
+    got = SketchIndex.build(index, rows_per_sketch=100).window_quantiles(spark.createDataFrame(boxes, BOXES), [0.0, 0.3, 1.0])
+    assert "FlatMapCoGroupsInArrow" not in plan_of(got) and "level" in pairs[0].columns  # the marks are written
+    for r in got.collect():
+        inside = held(data, boxes[[b[0] for b in boxes].index(r["qid"])])
+        assert r["n"] == len(inside) and (r["x_quantiles"] is None) == (not len(inside))
+        for axis in ("x", "y") if len(inside) else ():
+            values = np.sort(inside[axis].to_numpy())
+            for p, v in zip([0.0, 0.3, 1.0], r[f"{axis}_quantiles"]):
+                low, high = np.searchsorted(values, v, "left"), np.searchsorted(values, v, "right")
+                assert low <= len(inside) * (p + RANK_ERROR) + 1 and high >= len(inside) * (p - RANK_ERROR) - 1
+
+
+def test_quantile_check_joins_no_points(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(joins, "window_join", lambda *a, **k: asked.append(a))
+    rows = core.QUERIES["window_quantiles_ok"](spark, sf).collect()
+    assert rows and all(r["ok"] for r in rows) and not asked
