@@ -8,10 +8,12 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from terrafold.operators import joins, ranges
+from terrafold.operators import crossings, distance, joins, nearest, quadtable, ranges
 from terrafold.operators.sketches import RANK_ERROR, SketchIndex
 from terrafold.plans.pyramid import PointIndex
+from terrafold.plans import session
 from terrafold.registry import core
+from terrafold.sources import readers
 
 N = 4_000
 BOXES = "qid bigint, min_x double, min_y double, max_x double, max_y double"
@@ -132,3 +134,66 @@ def test_quantile_check_joins_no_points(spark, sf, monkeypatch):
     monkeypatch.setattr(joins, "window_join", lambda *a, **k: asked.append(a))
     rows = core.QUERIES["window_quantiles_ok"](spark, sf).collect()
     assert rows and all(r["ok"] for r in rows) and not asked
+
+
+def test_nearest_windows_hold_the_nearest(spark, index, data, boxes, monkeypatch):
+    """Candidates of a window are near its middle, however many points it holds; the k nearest are among them."""
+    asked = spark.createDataFrame([b for b in boxes if b[0] != 93], BOXES)
+    cut = {r["qid"]: r for r in nearest.nearest_windows(index, asked, 3).collect()}
+    few = {r["id"] for r in nearest.few_of_each_place(index, 3).select("id").collect()}
+    for b in boxes:
+        inside = held(data, b)
+        if not len(inside):
+            continue
+        mid = np.array([(b[1] + b[3]) / 2, (b[2] + b[4]) / 2])
+        dist = np.sqrt((inside.x - mid[0]) ** 2 + (inside.y - mid[1]) ** 2)
+        best = inside.assign(d=dist).sort_values(["d", "x", "y", "id"]).head(3)
+        r = cut[b[0]]
+        near = held(data, (0, r["min_x"], r["min_y"], r["max_x"], r["max_y"]))
+        assert set(best.id) <= set(near.id) & few and len(near) <= len(inside)
+    everything = cut[92]
+    assert len(held(data, (0, *[everything[c] for c in ("min_x", "min_y", "max_x", "max_y")]))) < N / 2
+
+
+def test_distances_meet_parts(spark, index, data, monkeypatch):
+    pairs = spied(monkeypatch)
+    places = spark.createDataFrame([(1, 50.0, 40.0, 3e6), (2, 20.0, 10.0, 5e5), (3, 0.0, 0.0, -1.0)], "qid int, lat double, lon double, metres double")
+    near = {k: sorted(r["id"] for r in distance.distance_query(spark.createDataFrame(data).filter("x < 180 AND y BETWEEN -90 AND 90"), lat, lon, m, "y", "x").collect())
+            for k, lat, lon, m in ((1, 50.0, 40.0, 3e6), (2, 20.0, 10.0, 5e5))}
+    joined = distance.distance_join(index, places).filter("x < 180 AND y BETWEEN -90 AND 90")
+    assert {k: sorted(r["id"] for r in joined.filter(F.col("qid") == k).collect()) for k in near} == near
+    assert pairs[0].groupBy("qid").count().agg(F.max("count")).first()[0] <= 16
+    counts = {r["qid"]: r["n"] for r in distance.distance_counts(index, places).collect()}
+    assert counts[3] == 0 and all(counts[k] >= len(v) for k, v in near.items()) and "level" in pairs[1].columns
+
+
+def test_crossings_of_layers():
+    rng = np.random.default_rng(44)
+    x, y = rng.integers(0, 30, (2, 400)) / 2
+    e = rng.integers(0, 30, (4, 300)) / 2
+    e = e[:, e[1] != e[3]]
+    x1, y1, x2, y2 = e[:, :, None]
+    want = (((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(axis=0)
+    for layer in (1, 7, 50, 1_000):
+        assert (crossings.crossings(x, y, e, layer) == want).all()
+
+
+def test_slabs_are_dealt_to_tasks_of_bounded_size(spark, index, data, monkeypatch):
+    """The same pairs when a slab's points and edges are dealt to many tasks; no row per point and edge is joined."""
+    turn, radius = np.linspace(0, 2 * np.pi, 600, endpoint=False), np.random.default_rng(45).uniform(5, 60, 600)
+    ring = [(1, i, float(50 + r * np.cos(t)), float(50 + r * np.sin(t))) for i, (t, r) in enumerate(zip(turn, radius))]
+    edges = readers.edges_from_vertices(spark.createDataFrame(ring, "poly_id int, seq bigint, x double, y double"))
+    want = sorted(r["id"] for r in joins.polygon_join(index, readers.rings_from_vertices(spark.createDataFrame(ring, "poly_id int, seq bigint, x double, y double"))).collect())
+    monkeypatch.setattr(joins, "SLAB_ROWS", 200)
+    got = joins.polygon_join_by_edges(index, edges)
+    assert sorted(r["id"] for r in got.collect()) == want and want
+    assert "FlatMapCoGroupsInArrow" in plan_of(got)
+
+
+def test_quad_table_counts_points_without_a_filter_on_them(spark, data, monkeypatch):
+    """A filter on the number repeats the expression of both slots for every digit."""
+    seen = []
+    monkeypatch.setattr(quadtable, "written", lambda df, name, **k: (seen.append(plan_of(df)), session.written(df, name, **k))[1])
+    made = quadtable.QuadTable.fit(spark.createDataFrame(data), 16, 6)
+    assert made.leaves.agg(F.sum("n")).first()[0] == N - 2
+    assert "Filter" not in seen[0]
