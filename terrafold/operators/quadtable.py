@@ -46,10 +46,9 @@ class QuadTable:
         want = cells or default_cells(e.n)
         depth = codes.check_depth(depth or min(codes.MAX_DEPTH, math.ceil(math.log(max(want, 4), 4)) + 5))
         limit = cap or max(1, e.n // want)
-        open_ = written(
-            codes.add_quad_number(points, e, depth).filter("quad IS NOT NULL").groupBy("quad").agg(F.count(F.lit(1)).alias("c")),
-            "quad-finest",
-        )
+        # the missing number is dropped from the written counts: a filter on the points would repeat the slots per digit
+        open_ = written(codes.add_quad_number(points, e, depth).groupBy("quad").agg(F.count(F.lit(1)).alias("c")), "quad-finest")
+        open_ = open_.filter("quad IS NOT NULL")
         rounds = []
         for low in range(0, depth + 1, LEVELS_PER_ROUND):
             last = min(low + LEVELS_PER_ROUND - 1, depth)
