@@ -197,3 +197,10 @@ def test_quad_table_counts_points_without_a_filter_on_them(spark, data, monkeypa
     made = quadtable.QuadTable.fit(spark.createDataFrame(data), 16, 6)
     assert made.leaves.agg(F.sum("n")).first()[0] == N - 2
     assert "Filter" not in seen[0]
+
+
+def test_queries_are_dealt_to_all_tasks(spark, index):
+    """Few bytes of queries meet many nodes, so the walk must not run in the one task they would fill."""
+    places = spark.createDataFrame([(i, 50.0, 40.0, 1e5) for i in range(1_000)], "qid int, lat double, lon double, metres double")
+    walked = index.descend(places.distinct(), lambda box: F.lit(1), True)
+    assert walked.select(F.spark_partition_id().alias("p")).distinct().count() > 1
