@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrafold.operators import crossings, distance, joins, nearest, quadtable, ranges
 from terrafold.operators.sketches import RANK_ERROR, SketchIndex
 from terrafold.plans.pyramid import PointIndex
-from terrafold.plans import session
+from terrafold.plans import pyramid, session
 from terrafold.registry import core
 from terrafold.sources import readers
 
@@ -167,6 +167,31 @@ def test_distances_meet_parts(spark, index, data, monkeypatch):
     assert counts[3] == 0 and all(counts[k] >= len(v) for k, v in near.items()) and "level" in pairs[1].columns
 
 
+@pytest.mark.parametrize("share", [10**9, 300], ids=["whole", "dealt"])
+def test_many_windows_meet_parts_packed_in_rows(spark, data, index, boxes, monkeypatch, share):
+    """A pair of the join is a window and a part of many points, in one row; parts that are one place are several rows."""
+    monkeypatch.setattr(joins, "PACKED_ROWS", 100)
+    monkeypatch.setattr(pyramid, "LEAST_SHARE", share)
+    monkeypatch.setattr(pyramid, "MOST_SHARE", share)
+    pairs = spied(monkeypatch)
+    got = joins.window_join(index, spark.createDataFrame(boxes, BOXES))
+    assert got.columns == ["id", "x", "y", "qid"]
+    assert "posexplode(x" in plan_of(got) and "SortMergeJoin" in plan_of(got)
+    large = pairs[0].filter("n > 100").select("nx", "ny").distinct().count()
+    assert large <= 2 * 16 and pairs[0].count() < got.count() / 10
+    want = [(b[0], i) for b in boxes for i in held(data, b).id]
+    assert sorted((r["qid"], r["id"]) for r in got.collect()) == sorted(want)
+
+
+def test_packed_parts_keep_missing_and_repeated_ids(spark, boxes):
+    rows = [(None if i % 3 == 0 else i % 50, float(i % 40), float(i % 7), "a" if i % 2 else None) for i in range(900)]
+    index = PointIndex.build(spark.createDataFrame(rows, "id bigint, x double, y double, name string"), per_cell=8)
+    asked = [(i, float(i % 30), 0.0, float(i % 30 + 9), float(i % 8)) for i in range(joins.FEW_QUERIES + 1)] + [(None, 0.0, 0.0, 3.0, 3.0)]
+    got = joins.window_join(index, spark.createDataFrame(asked + asked[:5], BOXES)).select("qid", "id", "x", "y", "name")
+    want = [(w[0], *p) for w in asked for p in rows if w[1] <= p[1] <= w[3] and w[2] <= p[2] <= w[4]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_crossings_of_layers():
     rng = np.random.default_rng(44)
     x, y = rng.integers(0, 30, (2, 400)) / 2
