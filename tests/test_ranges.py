@@ -8,6 +8,8 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from terrafold.functions import geometry as g
+from terrafold.functions.values import rounded
 from terrafold.operators import crossings, distance, joins, nearest, quadtable, ranges
 from terrafold.operators.sketches import RANK_ERROR, SketchIndex
 from terrafold.plans.pyramid import PointIndex
@@ -192,6 +194,32 @@ def test_packed_parts_keep_missing_and_repeated_ids(spark, boxes):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_many_places_meet_parts_packed_in_rows(spark, monkeypatch):
+    """All over the globe, at poles and at 180 degrees: the pairs and metres of the plain test."""
+    monkeypatch.setattr(distance, "PACKED_ROWS", 100)
+    rng = np.random.default_rng(47)
+    at = np.c_[rng.uniform(-180, 180, 3_000), np.degrees(np.arcsin(rng.uniform(-1, 1, 3_000)))].round(4)
+    at[:4] = [(180.0, 10.0), (-180.0, 10.0), (20.0, 90.0), (20.0, -90.0)]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id bigint, x double, y double")
+    asked = [(i, float(at[9 * i, 1]), float(at[9 * i, 0]), float(m)) for i, m in enumerate(10 ** rng.uniform(4, 7, 80))]
+    asked += [(90, 89.5, 0.0, 3e5), (91, -90.0, 7.0, 4e5), (92, 10.0, 179.99, 2e6), (93, 0.0, 0.0, 2.1e7), (94, at[5, 1].item(), at[5, 0].item(), 0.0), (95, 1.0, 1.0, -1.0)]
+    places = spark.createDataFrame(asked, "qid bigint, lat double, lon double, metres double")
+    pairs = spied(monkeypatch)
+    joined = distance.distance_join(PointIndex.build(points, per_cell=8), places)
+    assert joined.columns == ["id", "x", "y", "qid", "dist_m"] and "posexplode(x" in plan_of(joined)
+    far = points.crossJoin(places).withColumn("dist_m", g.haversine_m("y", "x", "lat", "lon")).filter("dist_m <= metres")
+    want = sorted(map(tuple, far.select("qid", "id", "dist_m").collect()))
+    assert sorted(map(tuple, joined.select("qid", "id", "dist_m").collect())) == want and len(want) > pairs[0].count()
+
+
+def test_rounding_without_decimals_is_the_same(spark):
+    rng = np.random.default_rng(48)
+    ties = [k / 2000 for k in range(-4_001, 4_001)]
+    rows = [*ties, *np.nextafter(ties, 9e9), *np.nextafter(ties, -9e9), *rng.uniform(-2e4, 2e4, 5_000), *rng.uniform(0, 2e7, 2_000), 1e300, float("nan"), float("inf"), None]
+    values = spark.createDataFrame([(None if v is None else float(v),) for v in rows], "v double")
+    assert not values.filter(~rounded(F.col("v"), 3).eqNullSafe(F.round("v", 3))).count()
+
+
 def test_crossings_of_layers():
     rng = np.random.default_rng(44)
     x, y = rng.integers(0, 30, (2, 400)) / 2
